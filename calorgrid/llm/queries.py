@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from calorgrid.llm import packing, quantiles, sample, tokenize
+from calorgrid.llm import packing, quantiles, reading, sample, tokenize
 from calorgrid.operators.selection import exact_quantiles
 from calorgrid.runtime import drop_scratch, scratch, table
 
@@ -134,7 +134,17 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_containers(tokenize.token_counts(table(spark, sf, "documents"), "doc_id", "text"), specs)
 
 
-QUERIES = {"p2_pixel_sample": p2_pixel_sample, "p2_manifest_fit": p2_manifest_fit, "p4_found": p4_found, "p4_class_percentiles": p4_class_percentiles, "p8_ids": p8_ids, "p9_containers": p9_containers}
+def p10_reading_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Estimated level and its parts for every document."""
+    return reading.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of English prose that need level 4 or 5."""
+    return p10_reading_levels(spark, sf).where("demanding").select("doc_id")
+
+
+QUERIES = {"p2_pixel_sample": p2_pixel_sample, "p2_manifest_fit": p2_manifest_fit, "p4_found": p4_found, "p4_class_percentiles": p4_class_percentiles, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_reading_levels": p10_reading_levels}
 
 _STRATA_SQL = """
     with formal as (
