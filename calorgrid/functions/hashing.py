@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _LOW = (1 << 32) - 1
@@ -12,33 +12,45 @@ def _word(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _add(a: Column, c: int) -> Column:
+def _cut(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(_LOW))
+
+
+def _add(a: Column, c: Column) -> Column:
     """Sum modulo 2^64 by halves, since BIGINT sums that overflow are errors."""
-    c &= (1 << 64) - 1
-    low = a.bitwiseAND(F.lit(_LOW)) + (c & _LOW)
-    high = F.shiftrightunsigned(a, 32) + (c >> 32) + F.shiftrightunsigned(low, 32)
-    return F.shiftleft(high.bitwiseAND(F.lit(_LOW)), 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
+    low = _cut(a) + _cut(c)
+    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(c, 32) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(_cut(high), 32).bitwiseOR(_cut(low))
 
 
 def _times(a: Column, c: int) -> Column:
     """Product modulo 2^64 from 16-bit limbs of the constant."""
     l0, l1, h0, h1 = (c >> s & 0xFFFF for s in (0, 16, 32, 48))
-    a0, a1 = a.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(a, 32)
+    a0, a1 = _cut(a), F.shiftrightunsigned(a, 32)
     p0, p1 = a0 * l0, a0 * l1
-    low = p0.bitwiseAND(F.lit(_LOW)) + F.shiftleft(p1.bitwiseAND(F.lit(0xFFFF)), 16)
-    carry = F.shiftrightunsigned(p0, 32) + F.shiftrightunsigned(p1, 16) + F.shiftrightunsigned(low, 32)
-    cut = lambda x: x.bitwiseAND(F.lit(_LOW))
     shifted = lambda x: F.shiftleft(x.bitwiseAND(F.lit(0xFFFF)), 16)
-    high = cut(a0 * h0) + shifted(a0 * h1) + cut(a1 * l0) + shifted(a1 * l1)
-    return F.shiftleft(cut(carry + high), 32).bitwiseOR(cut(low))
+    low = _cut(p0) + shifted(p1)
+    carry = F.shiftrightunsigned(p0, 32) + F.shiftrightunsigned(p1, 16) + F.shiftrightunsigned(low, 32)
+    high = _cut(a0 * h0) + shifted(a0 * h1) + _cut(a1 * l0) + shifted(a1 * l1)
+    return F.shiftleft(_cut(carry + high), 32).bitwiseOR(_cut(low))
+
+
+def gamma(seed: int) -> int:
+    """The increment of a seed as a signed word, to be passed to :func:`with_splitmix64`."""
+    return _word((seed + GOLDEN) & ((1 << 64) - 1))
+
 
+def with_splitmix64(df: DataFrame, x: str, increment: Column, to: str) -> DataFrame:
+    """Adds ``to``: splitmix64 of ``x`` as a signed BIGINT with the same bits.
 
-def splitmix64(x: Column, seed: int) -> Column:
-    """The 64-bit mixer of splitmix as a signed BIGINT with the same bits."""
-    x = _add(x.cast("long"), seed + GOLDEN)
-    x = _times(x.bitwiseXOR(F.shiftrightunsigned(x, 30)), MIX_A)
-    x = _times(x.bitwiseXOR(F.shiftrightunsigned(x, 27)), MIX_B)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 31))
+    One column per step: nested in one expression the operands would be repeated exponentially often.
+    """
+    h = F.col("__h")
+    df = df.withColumn("__h", _add(F.col(x).cast("long"), increment))
+    for shift, factor in ((30, MIX_A), (27, MIX_B)):
+        df = df.withColumn("__h", h.bitwiseXOR(F.shiftrightunsigned(h, shift)))
+        df = df.withColumn("__h", _times(h, factor))
+    return df.withColumn(to, h.bitwiseXOR(F.shiftrightunsigned(h, 31))).drop("__h")
 
 
 def unsigned_order(x: Column) -> Column:

@@ -366,8 +366,7 @@ def _mix_sql(x: str, seed: int) -> str:
 
 @query("smp01_splitmix64", f"with base as (select row_id from pixel_samples) select row_id, cast(z // 4294967296 as bigint) as high, cast(z % 4294967296 as bigint) as low from ({_mix_sql('row_id', 20260715)})")
 def _(spark, sf):
-    z = hashing.splitmix64(F.col("row_id"), 20260715)
-    rows = px(spark, sf).select("row_id", z.alias("z"))
+    rows = hashing.with_splitmix64(px(spark, sf).select("row_id"), "row_id", F.lit(hashing.gamma(20260715)), "z")
     return rows.select("row_id", F.shiftrightunsigned("z", 32).alias("high"), F.col("z").bitwiseAND(F.lit((1 << 32) - 1)).alias("low"))
 
 
