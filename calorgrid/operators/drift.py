@@ -116,3 +116,60 @@ def history(lines: DataFrame, *, payload: str, feed: str, file_id: str, seq: str
     out = out.unionByName(row(moved.where("t0 != t1"), F.col("gone"), F.col("new"), "retyped"))
     out = out.unionByName(row(spans.where("type_before != ftype"), F.col("field"), F.col("field"), "retyped"))
     return out, spans, alias
+
+
+#: Field names beyond this are an error: the names become columns.
+MAX_FIELDS = 2000
+
+
+def canonical_names(spans: DataFrame, alias: DataFrame) -> DataFrame:
+    """``field, canonical``: names joined by renamings share the one that most files use (ties: by name).
+
+    Labels spread along the renamings until none changes; the tables have one row per name.
+    """
+    own = spans.groupBy("field").agg(F.count("*").alias("n")).select("field", F.struct((-F.col("n")).alias("n"), F.col("field").alias("name")).alias("label"))
+    edges = alias.select(F.col("gone").alias("a"), F.col("new").alias("b")).distinct()
+    edges = scratch(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = scratch(own)
+    while True:
+        heard = edges.join(labels, edges["b"] == labels["field"]).groupBy("a").agg(F.min("label").alias("l"))
+        new = scratch(labels.join(heard, labels["field"] == heard["a"], "left").select("field", F.least("label", F.coalesce("l", "label")).alias("label"), (F.col("l") < F.col("label")).alias("moved")))
+        done = new.where("moved").isEmpty()
+        labels = new.drop("moved")
+        if done:
+            return labels.select("field", F.col("label.name").alias("canonical"))
+
+
+def consistent_table(lines: DataFrame, *, payload: str, feed: str, file_id: str, seq: str, key: str, keep: list[str]) -> DataFrame:
+    """All valid lines as one table: the columns ``keep`` and one column per canonical field, cast to its type.
+
+    The casts are generated from the alias table: every name of a field is read, wrapped values
+    (``{"value": x}`` and ``[x]``) are unwrapped, numbers and truth values are cast where the field's most
+    frequent scalar type asks for it, else the text is kept; what cannot be cast is null. Where a line
+    carries a field under two names the canonical one counts. A field's column that clashes with ``keep``
+    gets the suffix ``_field``.
+    """
+    entries = scratch(fields(lines, payload, feed, file_id, seq, key))
+    spans = scratch(lifespans(catalogue(lines, entries, feed, file_id, seq)))
+    names = scratch(canonical_names(spans, scratch(renamings(entries, spans))))
+    typed = entries.where("jtype in ('string', 'number', 'boolean')").join(names, "field").groupBy("canonical", "jtype").agg(F.count("*").alias("n"))
+    best = typed.groupBy("canonical").agg(F.min_by("jtype", F.struct((-F.col("n")).alias("n"), "jtype")).alias("t")).limit(MAX_FIELDS + 1).collect()
+    types = {r["canonical"]: r["t"] for r in best}
+    aliases: dict[str, list[str]] = {}
+    for r in names.limit(MAX_FIELDS + 1).collect():
+        aliases.setdefault(r["canonical"], []).append(r["field"])
+    if sum(map(len, aliases.values())) > MAX_FIELDS:
+        raise ValueError(f"more than {MAX_FIELDS} field names")
+    valid = F.try_parse_json(F.col(payload))
+    rows = lines.where(valid.isNotNull() & F.schema_of_variant(valid).startswith("OBJECT"))
+    rows = rows.withColumn("__m", F.from_json(payload, "map<string,string>"))
+    taken = {c.lower() for c in keep}
+    out = []
+    for canonical in sorted(aliases):
+        order = [canonical, *sorted(a for a in aliases[canonical] if a != canonical)]
+        raw = F.coalesce(*[F.col("__m")[a] for a in order])
+        bare = F.when(raw.startswith("{"), F.coalesce(F.get_json_object(raw, "$.value"), raw)).when(raw.startswith("["), F.coalesce(F.get_json_object(raw, "$[0]"), raw)).otherwise(raw)
+        cast = {"number": "double", "boolean": "boolean"}.get(types.get(canonical))
+        name = f"{canonical}_field" if canonical.lower() in taken else canonical
+        out.append((bare.try_cast(cast) if cast else bare).alias(name))
+    return rows.select(*keep, *out)

@@ -86,7 +86,12 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return drift.changes(table(spark, sf, "raw_exports"), **EXPORT_FIELDS)
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_group_profile": p3_group_profile, "p5_found": p5_found, "p5_capture_instants": p5_capture_instants, "p6_found": p6_found, "p6_capture_cases": p6_capture_cases, "p7_found": p7_found}
+def p7_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Every valid exported line in one consistent table."""
+    return drift.consistent_table(table(spark, sf, "raw_exports"), keep=["record_id", "feed", "file_id", "file_seq", "line_no"], **EXPORT_FIELDS)
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_group_profile": p3_group_profile, "p5_found": p5_found, "p5_capture_instants": p5_capture_instants, "p6_found": p6_found, "p6_capture_cases": p6_capture_cases, "p7_found": p7_found, "p7_records": p7_records}
 
 SQL = {
     "p3_found": """
