@@ -26,7 +26,8 @@ def frozen_bottom_k(records: DataFrame, strata: DataFrame, *, on: Sequence[str],
     with null keys do not meet. A batch of a stratum is one capture's grid at most, so ranking it is bounded.
     """
     r = F.col(rate).cast("double")
-    usable = strata.select(*on, seed, F.least(r, F.lit(1.0)).alias(rate)).where((r > 0) & ~F.isnan(r))
+    # the filter comes first: least() passes over a null
+    usable = strata.where((r > 0) & ~F.isnan(r)).select(*on, seed, F.least(r, F.lit(1.0)).alias(rate))
     joined = records.join(usable, list(on)).withColumn("__h", salted(F.col(seed), F.col(name)))
     part = W.partitionBy(*on, seed, batch)
     # products such as 0.2 * 35 must not be lifted above their integer by the last bit
