@@ -31,17 +31,18 @@ def pair_in_time(left: DataFrame, right: DataFrame, *, key: str, left_id: str, r
     Times are matched in buckets of the tolerance, so a key's rows meet only their neighbours in time and a
     busy key is spread over its buckets. Several candidates or none leave ``right_id`` null.
     """
-    width = float(tolerance_s)
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
-    lhs = left.select(F.col(key).alias("__k"), F.col(left_id).alias(left_id), seconds(at).alias("__t"))
-    rhs = right.select(F.col(key).alias("__rk"), F.col(right_id).alias(right_id), seconds(at).alias("__u"))
+    width = max(1, int(tolerance_s * 1_000_000))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    lhs = left.select(F.col(key).alias("__k"), F.col(left_id).alias(left_id), micros(at).alias("__t"))
+    rhs = right.select(F.col(key).alias("__rk"), F.col(right_id).alias(right_id), micros(at).alias("__u"))
     lb = lhs.withColumn("__b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("__t") / width) + d)))
     rb = rhs.withColumn("__rb", F.floor(F.col("__u") / width))
-    hit = lb.join(rb, (F.col("__k") == F.col("__rk")) & (F.col("__b") == F.col("__rb")) & (F.abs(F.col("__t") - F.col("__u")) <= tolerance_s))
-    found = hit.groupBy(F.col(left_id).alias("__l")).agg(F.count("*").alias("n"), F.first(right_id).alias("__one"), F.first(F.abs(F.col("__t") - F.col("__u"))).alias("__gap"))
+    apart = F.abs(F.col("__t") - F.col("__u"))
+    hit = lb.join(rb, (F.col("__k") == F.col("__rk")) & (F.col("__b") == F.col("__rb")) & (apart <= width))
+    found = hit.groupBy(F.col(left_id).alias("__l")).agg(F.count("*").alias("n"), F.first(right_id).alias("__one"), F.first(apart).alias("__gap"))
     one = F.col("n") == 1
     out = lhs.join(found, lhs[left_id] == found["__l"], "left")
-    return out.select(left_id, F.when(one, F.col("__one")).alias(right_id), F.coalesce("n", F.lit(0).cast("long")).alias("n_candidates"), F.when(one, F.col("__gap")).alias("gap_s"))
+    return out.select(left_id, F.when(one, F.col("__one")).alias(right_id), F.coalesce("n", F.lit(0).cast("long")).alias("n_candidates"), F.when(one, F.col("__gap") / 1e6).alias("gap_s"))
 
 
 def pair_two_stage(files: DataFrame, *, folder: str, base: str, sample: str, role: str, path: str) -> DataFrame:

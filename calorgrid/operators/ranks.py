@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from calorgrid.runtime import scratch
 
@@ -48,12 +49,12 @@ def upper_gamma(a: float, x: float) -> float:
     return front * h
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_tail(statistic: pd.Series, freedom: pd.Series) -> pd.Series:
     return pd.Series([upper_gamma(f / 2, s / 2) if s == s and f >= 1 else math.nan for s, f in zip(statistic, freedom)], dtype=float)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series([min(1.0, math.erfc(v / math.sqrt(2))) if v == v else math.nan for v in z], dtype=float)
 

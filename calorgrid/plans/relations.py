@@ -53,11 +53,11 @@ def _(spark, sf):
 
 @query("join06_pair_in_time", """with v as (select * from events where event_id % 2 = 0), t as (select * from events where event_id % 2 = 1),
     p as (select v.event_id l, count(t.event_id) n, min(t.event_id) r, min(abs(epoch_us(v.ts) - epoch_us(t.ts)) / 1e6) g from v left join t on v.user_id = t.user_id and abs(epoch_us(v.ts) - epoch_us(t.ts)) <= 21600000000 group by 1)
-    select l as visible_id, case when n = 1 then r end as thermal_id, n as n_candidates, round(case when n = 1 then g end, 3) as gap_s from p""")
+    select l as visible_id, case when n = 1 then r end as thermal_id, n as n_candidates, round(case when n = 1 then g end, 6) as gap_s from p""")
 def _(spark, sf):
     e = table(spark, sf, "events")
     v, t = e.where("event_id % 2 = 0").withColumnRenamed("event_id", "visible_id"), e.where("event_id % 2 = 1").withColumnRenamed("event_id", "thermal_id")
-    return J.pair_in_time(v, t, key="user_id", left_id="visible_id", right_id="thermal_id", at="ts", tolerance_s=21600).withColumn("gap_s", F.round("gap_s", 3))
+    return J.pair_in_time(v, t, key="user_id", left_id="visible_id", right_id="thermal_id", at="ts", tolerance_s=21600).withColumn("gap_s", F.round("gap_s", 6))
 
 
 _FILES_SQL = """(select distinct flight_id folder, regexp_extract(p, 'DJI_(\\d{14})_(\\d+)', 0) base, cast(regexp_extract(p, 'DJI_(\\d{14})_(\\d+)', 2) as bigint) % 400 sample, r role, p path from
@@ -297,10 +297,10 @@ def _(spark, sf):
     return px(spark, sf).where(finite(F.col("temperature_c"))).withColumn("r", F.row_number().over(w)).where("r <= 5").select("row_id")
 
 
-@query("win04_gap_seconds", "select event_id, round((epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 1e6, 3) as gap_s from events")
+@query("win04_gap_seconds", "select event_id, round((epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 1e6, 6) as gap_s from events")
 def _(spark, sf):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, sf, "events").select("event_id", F.round((us - F.lag(us).over(W.partitionBy("user_id").orderBy("ts", "event_id"))) / 1e6, 3).alias("gap_s"))
+    return table(spark, sf, "events").select("event_id", F.round((us - F.lag(us).over(W.partitionBy("user_id").orderBy("ts", "event_id"))) / 1e6, 6).alias("gap_s"))
 
 
 @query("win05_duplicates", "select record_id from (select record_id, count(*) over (partition by image_id, capture_datetime) n from validation_records) where n > 1")

@@ -31,7 +31,7 @@ def file_digests(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``path, line_no, line`` of text files, in order."""
-    t = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return t.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
 
 
