@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from calorgrid.runtime import broadcast_if_small, drop_scratch, scratch
+from calorgrid.runtime import broadcast_if_small, scratch
 
 BUCKETS, FINISH = 512, 4096
 
@@ -32,26 +32,35 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame
     return finite.groupBy(*keys, (F.col("__v") + F.lit(0.0)).alias("__v")).agg(F.count("*").alias("__c"))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float], buckets: int = BUCKETS, finish: int = FINISH) -> DataFrame:
-    """Exact quantiles (linear between neighbours) of the finite values per key.
+def _interpolated(n: Column, lo: Column, hi: Column, p: float) -> Column:
+    at = F.lit(float(p)) * (n - 1)
+    return lo + (hi - lo) * (at - F.floor(at))
 
-    Returns ``keys..., n_values`` and one double column per entry of ``probs``. Null, NaN and infinite
-    values are left out; a key without a finite value has no row; a null key is a key of its own; an
-    empty input gives no row. Cost: one shuffle of distinct (key, value) counts, then one round per
-    factor ``buckets`` of a key's distinct values above ``finish`` (a key with fewer resolves in one).
-    """
-    keys = list(keys)
-    counts = scratch(value_counts(df, keys, value))
-    base = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.count("*").alias("__d"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    ends = []
-    for p in probs.values():
-        at = F.lit(float(p)) * (F.col("__n") - 1)
-        ends += [F.floor(at).cast("long"), F.ceil(at).cast("long")]
-    targets = scratch(
-        base.withColumn("__k", F.explode(F.array_distinct(F.array(*ends)))).select(*keys, "__n", "__k", "__lo", "__hi", "__d", F.lit(0).cast("long").alias("__below"))
-    )
-    done = targets.where("__lo = __hi").select(*keys, "__n", "__k", F.col("__lo").alias("__v"))
-    todo, old, finals = targets.where("__lo < __hi"), [targets], [done]
+
+def _ranks(n: Column, p: float) -> tuple[Column, Column]:
+    at = F.lit(float(p)) * (n - 1)
+    return F.floor(at).cast("long"), F.ceil(at).cast("long")
+
+
+def _resolved(counts: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """The last histogram: one bucket per distinct value, all ranks of a key found in one running sum over at most ``finish`` counts."""
+    upto = F.sum("__c").over(W.partitionBy(*keys).orderBy("__v"))
+    rows = counts.withColumn("__upto", upto).withColumn("__n", F.sum("__c").over(W.partitionBy(*keys)))
+    holds = lambda k: (F.col("__upto") > k) & (F.col("__upto") - F.col("__c") <= k)
+    aggs = []
+    for i, p in enumerate(probs.values()):
+        for side, k in zip("lh", _ranks(F.col("__n"), p)):
+            aggs.append(F.max(F.when(holds(k), F.col("__v"))).alias(f"__{side}{i}"))
+    g = rows.groupBy(*keys).agg(F.max("__n").alias("n_values"), *aggs)
+    return g.select(*keys, "n_values", *[_interpolated(F.col("n_values"), F.col(f"__l{i}"), F.col(f"__h{i}"), p).alias(name) for i, (name, p) in enumerate(probs.items())])
+
+
+def _refined(counts: DataFrame, base: DataFrame, keys: list[str], probs: dict[str, float], buckets: int, finish: int) -> DataFrame:
+    """Ranks of keys with very many distinct values by iterated histograms."""
+    ends = [k for p in probs.values() for k in _ranks(F.col("__n"), p)]
+    targets = scratch(base.withColumn("__k", F.explode(F.array_distinct(F.array(*ends)))).select(*keys, "__n", "__k", "__lo", "__hi", "__d", F.lit(0).cast("long").alias("__below")))
+    finals = [targets.where("__lo = __hi").select(*keys, "__n", "__k", F.col("__lo").alias("__v"))]
+    todo = targets.where("__lo < __hi")
     left = todo.count()
     while left:
         spans = todo.select(*keys, "__lo", "__hi", "__d").distinct()
@@ -66,8 +75,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: di
         hist = inside.groupBy(*keys, "__slo", "__shi", bucket.alias("__b")).agg(
             F.sum("__c").alias("__bc"), F.count("*").alias("__bd"), F.min("__v").alias("__bl"), F.max("__v").alias("__bh")
         )
-        upto = F.sum("__bc").over(W.partitionBy(*keys, "__slo", "__shi").orderBy("__b"))
-        hist = hist.withColumn("__upto", upto)
+        hist = hist.withColumn("__upto", F.sum("__bc").over(W.partitionBy(*keys, "__slo", "__shi").orderBy("__b")))
         renamed = hist.select(*[F.col(c).alias(f"__h{i}") for i, c in enumerate(keys)], "__slo", "__shi", "__bc", "__bd", "__bl", "__bh", "__upto")
         cond = (todo["__lo"] == renamed["__slo"]) & (todo["__hi"] == renamed["__shi"])
         for i, c in enumerate(keys):
@@ -80,20 +88,39 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: di
         finals.append(step.where("__lo = __hi").select(*keys, "__n", "__k", F.col("__lo").alias("__v")))
         todo = step.where("__lo < __hi")
         left = todo.count()
-        old.append(step)
     found = finals[0]
     for more in finals[1:]:
         found = found.unionByName(more)
-    n, outs = F.col("__n"), []
-    got = F.map_from_entries(F.collect_list(F.struct("__k", "__v")))
-    grouped = found.groupBy(*keys, "__n").agg(got.alias("__m"))
+    grouped = found.groupBy(*keys, "__n").agg(F.map_from_entries(F.collect_list(F.struct("__k", "__v"))).alias("__m"))
+    outs = []
     for name, p in probs.items():
-        at = F.lit(float(p)) * (n - 1)
-        lo, hi = F.element_at("__m", F.floor(at).cast("long")), F.element_at("__m", F.ceil(at).cast("long"))
-        outs.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    result = scratch(grouped.select(*keys, n.alias("n_values"), *outs))
-    drop_scratch(counts, *old)
-    return result
+        lo, hi = (F.element_at("__m", k) for k in _ranks(F.col("__n"), p))
+        outs.append(_interpolated(F.col("__n"), lo, hi, p).alias(name))
+    return grouped.select(*keys, F.col("__n").alias("n_values"), *outs)
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float], buckets: int = BUCKETS, finish: int = FINISH) -> DataFrame:
+    """Exact quantiles (linear between neighbours) of the finite values per key.
+
+    Returns ``keys..., n_values`` and one double column per entry of ``probs``. Null, NaN and infinite
+    values are left out; a key without a finite value has no row; a null key is a key of its own; an
+    empty input gives no row. Cost: one shuffle of distinct (key, value) counts; a key with at most
+    ``finish`` distinct values needs one histogram, others one round per factor ``buckets`` of their
+    distinct values above that.
+    """
+    keys = list(keys)
+    counts = scratch(value_counts(df, keys, value))
+    base = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.count("*").alias("__d"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    wide = scratch(base.where(F.col("__d") > finish))
+    n_wide = wide.count()
+    if not n_wide:
+        return _resolved(counts, keys, probs)
+    names = broadcast_if_small(wide.select(*[F.col(c).alias(f"__w{i}") for i, c in enumerate(keys)]), n_wide)
+    cond = F.lit(True)
+    for i, c in enumerate(keys):
+        cond = cond & counts[c].eqNullSafe(names[f"__w{i}"])
+    narrow, hot = counts.join(names, cond, "left_anti"), counts.join(names, cond, "left_semi")
+    return _resolved(narrow, keys, probs).unionByName(_refined(hot, wide, keys, probs, buckets, finish))
 
 
 def key_profile(df: DataFrame, key: str, value: str, probs: dict[str, float] | None = None) -> DataFrame:
@@ -114,6 +141,7 @@ def key_profile(df: DataFrame, key: str, value: str, probs: dict[str, float] | N
 
 def hot_keys(profile: DataFrame, key: str, share: float) -> DataFrame:
     """Non-null keys of a :func:`key_profile` that hold at least ``share`` of all rows or of the whole total."""
+    profile = scratch(profile)
     whole = profile.agg(F.sum("n_rows"), F.sum("total")).first()
     rows, total = float(whole[0] or 0), float(whole[1] or 0)
     heavy = (F.col("n_rows") >= share * rows) | ((F.col("total") >= share * total) & F.lit(total > 0))
