@@ -84,6 +84,16 @@ def report_entries(line_table: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("entry", F.sum(starts.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumnRenamed("__name", "entry_name")
 
 
+def report_records(line_table: DataFrame, key: str, labels: list[str]) -> DataFrame:
+    """One row per report entry: ``key, entry, entry_name`` and a column per label with the value that follows it."""
+    entries = report_entries(line_table, key).where("entry > 0").withColumn("__e", F.struct(F.col(key).alias("k"), F.col("entry").alias("n")))
+    names = entries.groupBy("__e").agg(F.min("entry_name").alias("entry_name"))
+    values = value_after_label(entries.select("__e", "line_no", "line"), "__e", labels)
+    wide = values.groupBy("__e").agg(*[F.max(F.when(F.col("label") == x, F.col("value"))).alias(x.replace(" ", "_")) for x in labels])
+    out = names.join(wide, "__e", "left")
+    return out.select(F.col("__e.k").alias(key), F.col("__e.n").alias("entry"), "entry_name", *[x.replace(" ", "_") for x in labels])
+
+
 POINT = r"(?i)^Point\s+([A-Za-z0-9_-]+)\s*:\s*(?:x\s*=\s*(\d+(?:\.\d+)?)\s*,\s*y\s*=\s*(\d+(?:\.\d+)?)\s*;\s*)?temperature\s*=\s*(-?\d+(?:\.\d+)?)\s*°?\s*C$"
 REGION = r"(?i)^Region\s+([A-Za-z0-9_-]+)\s*:\s*geometry\s*=\s*(.+?);\s*min\s*=\s*(-?\d+(?:\.\d+)?)\s+max\s*=\s*(-?\d+(?:\.\d+)?)\s+mean\s*=\s*(-?\d+(?:\.\d+)?)\s*°?\s*C$"
 

@@ -40,7 +40,7 @@ def fit(points: DataFrame, key: str, kind: str = "affine") -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf[["x", "y", "u", "v"]].to_numpy(dtype=float)
         if len(p) < least:
-            return pd.DataFrame({key: [], "matrix": [], "mean": [], "max": [], "rmse": []})
+            return pd.DataFrame(columns=[key, "matrix", "mean", "max", "rmse"], dtype=object)
         m = solve(p)
         r = residuals(m, p)
         return pd.DataFrame({key: [pdf[key].iloc[0]], "matrix": [m.ravel().tolist()], "mean": [r.mean()], "max": [r.max()], "rmse": [np.sqrt((r * r).mean())]})

@@ -102,3 +102,20 @@ def unique_fallback(left: DataFrame, right: DataFrame, *, exact: Sequence[str],
     out = left.join(e, list(exact), "left").join(u, loose, "left")
     match = F.when(F.col("__e").isNotNull(), "exact").when(F.col("__n") == 1, "unique").when(F.col("__n") > 1, "ambiguous").otherwise("missing")
     return out.withColumn("match", match).withColumn(value, F.coalesce("__e", F.when(F.col("__n") == 1, F.col("__u")))).drop("__e", "__n", "__u")
+
+
+def match_by_key_or_place(requests: DataFrame, results: DataFrame, *, key: str, place: str, value: str) -> DataFrame:
+    """The requests with the result of the same key, else (where no result has the key) of the same place; ``found_by`` is key, place or missing."""
+    by_key = results.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min(value).alias("__v"))
+    by_place = results.where(F.col(key).isNull()).groupBy(F.col(place).alias("__p")).agg(F.min(value).alias("__w"))
+    out = requests.join(by_key, requests[key] == by_key["__k"], "left").join(by_place, requests[place] == by_place["__p"], "left")
+    how = F.when(F.col("__k").isNotNull(), "key").when(F.col("__p").isNotNull(), "place").otherwise("missing")
+    return out.withColumn("found_by", how).withColumn(value, F.when(F.col("__k").isNotNull(), F.col("__v")).otherwise(F.col("__w"))).drop("__k", "__v", "__p", "__w")
+
+
+def lookup_or_fail(df: DataFrame, dimension: DataFrame, on: Sequence[str]) -> DataFrame:
+    """An inner look-up that must find every row: keys without an entry are named in the error, none is invented."""
+    lost = df.select(*on).distinct().join(dimension, list(on), "left_anti").limit(3).collect()
+    if lost:
+        raise CardinalityError(f"no entry for {[tuple(r) for r in lost]}")
+    return checked_join(df, dimension, on, "inner", left_unique=False)

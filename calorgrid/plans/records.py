@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from calorgrid.functions.predicates import COVERS, finite, near
+from calorgrid.functions import geo, text as T
+from calorgrid.functions.predicates import COVERS, density_status, finite, near
 from calorgrid.operators import alignment, describe as D, joins as J
 from calorgrid.operators.selection import exact_quantiles
 from calorgrid.operators.timenorm import with_parses
 from calorgrid.plans.analysis import _COVER_PX, cover_pixels
 from calorgrid.plans.registry import Registry
-from calorgrid.plans.scalars import GRID_SQL, grid, px
+from calorgrid.plans.scalars import FAMILY_SQL, GRID_SQL, family_groups, grid, px
 from calorgrid.runtime import scratch, table
 from calorgrid.sources.tables import one_row_each, with_defaults
 
@@ -278,3 +279,81 @@ def _(spark, sf):
 @query("x17_camera_neighbours", "select record_id, abs(focal_length_mm - 9.1) <= 0.5 as near_wide from validation_records where focal_length_mm is not null")
 def _(spark, sf):
     return table(spark, sf, "validation_records").where("focal_length_mm is not null").select("record_id", near(F.col("focal_length_mm"), 9.1, 0.5).alias("near_wide"))
+
+
+@query("geo04_hong_kong_grid")
+def _(spark, sf):
+    v = table(spark, sf, "validation_records").where("gps_latitude between 22 and 23 and gps_longitude between 113 and 115")
+    return v.select("record_id", geo.hong_kong_grid(F.col("gps_latitude"), F.col("gps_longitude")).alias("g")).select("record_id", F.round("g.easting", 2).alias("easting"), F.round("g.northing", 2).alias("northing"))
+
+
+@query("geo12_region_of_interest", """with c as (select record_id, least(1.0, tan(radians(61.0) / 2) / tan(radians(degrees(2 * atan(36.0 / (2 * focal_length_mm * 2)))) / 2)) s from validation_records where focal_length_mm > 0)
+    select record_id, round((4032 - 4032 * s) / 2, 4) as x0, round(3024 * s, 4) as h from c""")
+def _(spark, sf):
+    v = table(spark, sf, "validation_records").where("focal_length_mm > 0")
+    roi = geo.region_of_interest(geo.field_of_view(F.col("focal_length_mm") * 2, F.lit(36.0)), F.lit(61.0), F.lit(4032.0), F.lit(3024.0))
+    return v.select("record_id", roi.alias("r")).select("record_id", F.round("r.x0", 4).alias("x0"), F.round("r.h", 4).alias("h"))
+
+
+@query("str08_report_records", "select flight_id, cast(row_number() over (partition by flight_id order by qa_id) as bigint) as entry, image_id || '_T' as entry_name, cast(minimum_temperature_c as varchar) || ' C' as ambient_temperature, cast(matrix_width as varchar) as distance from subzero_qa where minimum_temperature_c > 1 and minimum_temperature_c < 1000 and qa_id in (select min(qa_id) from subzero_qa group by image_id)")
+def _(spark, sf):
+    """The flights' reports, written from the QA rows and parsed again."""
+    q = table(spark, sf, "subzero_qa")
+    q = q.join(q.groupBy("image_id").agg(F.min("qa_id").alias("qa_id")), ["image_id", "qa_id"]).where("minimum_temperature_c > 1 and minimum_temperature_c < 1000")
+    parts = F.array(F.concat("image_id", F.lit("_T")), F.lit("Ambient Temperature"), F.concat(F.col("minimum_temperature_c").cast("string"), F.lit(" C")), F.concat(F.lit("Distance: "), F.col("matrix_width").cast("string")))
+    lines = q.select("flight_id", F.posexplode(parts).alias("k", "line"), "qa_id").select("flight_id", (F.col("qa_id") * 4 + F.col("k")).alias("line_no"), "line")
+    return T.report_records(lines, "flight_id", ["ambient temperature", "distance"])
+
+
+@query("str09_measurements", "select qa_id, unnest(['min', 'max', 'mean']) as statistic, unnest([minimum_temperature_c, maximum_temperature_c, mean_temperature_c]) as value from subzero_qa where minimum_temperature_c is not null and not isnan(minimum_temperature_c) and maximum_temperature_c is not null and mean_temperature_c is not null")
+def _(spark, sf):
+    """Region lines written from the QA rows and parsed again."""
+    q = table(spark, sf, "subzero_qa").where("minimum_temperature_c is not null and not isnan(minimum_temperature_c) and maximum_temperature_c is not null and mean_temperature_c is not null")
+    line = F.concat(F.lit("Region R"), F.col("capture_seq").cast("string"), F.lit(": geometry=box; min="), F.col("minimum_temperature_c").cast("string"), F.lit(" max="), F.col("maximum_temperature_c").cast("string"), F.lit(" mean="), F.col("mean_temperature_c").cast("string"), F.lit(" C"))
+    return T.measurements(q.select("qa_id", line.alias("line")), "qa_id").select("qa_id", "statistic", "value")
+
+
+@query("st11_spectrum_summary", f"""select family, group_name, n, round(m, 4) as mean, round(q, 4) as median, case when n < 100 then 'insufficient_samples' when u < 5 then 'too_few_distinct_values' when sd < 0.02 then 'near_constant' else 'eligible' end as density
+    from (select family, group_name, count(*) n, avg(cast(delta_t_c as double)) m, quantile_cont(cast(delta_t_c as double), 0.5) q, count(distinct delta_t_c) u, stddev_samp(cast(delta_t_c as double)) sd from {FAMILY_SQL} group by 1, 2)""")
+def _(spark, sf):
+    p = family_groups(px(spark, sf)).select("family", "group_name", F.col("delta_t_c").cast("double").alias("d"))
+    g = p.groupBy("family", "group_name", "d").agg(F.count("*").alias("c"))  # values first, so that a hot group is combined map-side
+    s = g.groupBy("family", "group_name").agg(F.sum("c").alias("n"), F.count("*").alias("u"), F.sum(F.col("c") * F.col("d")).alias("s"), F.sum(F.col("c") * F.col("d") * F.col("d")).alias("ss"))
+    sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / F.when(F.col("n") > 1, F.col("n") - 1)))
+    q = exact_quantiles(p, ["family", "group_name"], F.col("d"), {"q": 0.5}).drop("n_values")
+    out = s.join(q, ["family", "group_name"])
+    return out.select("family", "group_name", "n", F.round(F.col("s") / F.col("n"), 4).alias("mean"), F.round("q", 4).alias("median"), density_status(F.col("n"), F.col("u"), sd).alias("density"))
+
+
+@query("agg28_family_totals", "select analysis_family, cast(sum(full_eligible_pixel_count) as bigint) as eligible, cast(sum(sampled_pixel_count) as bigint) as sampled, max(full_image_count) as images from sample_coverage group by 1")
+def _(spark, sf):
+    return table(spark, sf, "sample_coverage").groupBy("analysis_family").agg(F.sum("full_eligible_pixel_count").alias("eligible"), F.sum("sampled_pixel_count").alias("sampled"), F.max("full_image_count").alias("images"))
+
+
+@query("agg33_evidence_rollup", """select flight_id, n_missing, n_distinct, case when n_missing > 0 then 'incomplete' when n_distinct > 1 then 'differs' else 'same' end as status from (select flight_id, count(*) filter (where nullif(ambient_source_record, '') is null) n_missing, count(distinct nullif(ambient_source_record, '')) n_distinct from pixel_samples group by 1)""")
+def _(spark, sf):
+    f = D.findings(px(spark, sf), "flight_id", ["ambient_source_record"])
+    status = F.when(F.col("n_missing") > 0, "incomplete").when(F.col("n_distinct") > 1, "differs").otherwise("same")
+    return f.select("flight_id", "n_missing", "n_distinct", status.alias("status"))
+
+
+@query("qa10_checkpoint_rollup", "select flight_id, case when bool_and(coalesce(minimum_temperature_c, 0) > -5) then 'continue' when bool_or(minimum_temperature_c < -20) then 'review' else 'continue_with_warning' end as advice from subzero_qa group by 1")
+def _(spark, sf):
+    m = F.col("minimum_temperature_c")
+    advice = F.when(F.bool_and(F.coalesce(m, F.lit(0.0)) > -5), "continue").when(F.bool_or(m < -20), "review").otherwise("continue_with_warning")
+    return table(spark, sf, "subzero_qa").groupBy("flight_id").agg(advice.alias("advice"))
+
+
+@query("x04_match_by_key_or_place", """with r as (select record_id place, image_id k from validation_records), o as (select qa_id place, case when qa_id % 3 <> 0 then image_id end k, capture_seq v from subzero_qa),
+    a as (select k, min(v) v from o where k is not null group by 1), b as (select place, min(v) v from o where k is null group by 1)
+    select r.place as record_id, case when a.k is not null then a.v else b.v end as capture_seq, case when a.k is not null then 'key' when b.place is not null then 'place' else 'missing' end as found_by from r left join a using (k) left join b on b.place = r.place""")
+def _(spark, sf):
+    r = table(spark, sf, "validation_records").select("record_id", "image_id")
+    o = table(spark, sf, "subzero_qa").select(F.col("qa_id").alias("record_id"), F.when(F.col("qa_id") % 3 != 0, F.col("image_id")).alias("image_id"), "capture_seq")
+    return J.match_by_key_or_place(r, o, key="image_id", place="record_id", value="capture_seq").select("record_id", "capture_seq", "found_by")
+
+
+@query("x16_capture_summary", f"""select image_id, flight_id, count(*) as n, count(*) filter (where isfinite(temperature_c)) as n_finite, round(max({_T}) - min({_T}), 3) as range_c, min(ingest_batch) as first_batch from pixel_samples group by 1, 2""")
+def _(spark, sf):
+    t = F.when(finite(F.col("temperature_c")), F.col("temperature_c").cast("double"))
+    return px(spark, sf).groupBy("image_id", "flight_id").agg(F.count("*").alias("n"), F.count(t).alias("n_finite"), F.round(F.max(t) - F.min(t), 3).alias("range_c"), F.min("ingest_batch").alias("first_batch"))

@@ -80,3 +80,20 @@ def test_tails():
     assert ranks.upper_gamma(0.5, 3.841458820694124 / 2) == pytest.approx(0.05, abs=1e-12)
     assert ranks.upper_gamma(5, 18.307038053275146 / 2) == pytest.approx(0.05, abs=1e-12)
     assert ranks.upper_gamma(1, 0) == 1.0
+
+
+def test_hong_kong_grid(spark):
+    # the published rule of thumb: HK80 latitude is WGS 84 plus 5.5 seconds, longitude minus 8.8 seconds
+    lat0, lon0, east0, north0 = geo.HK80_GRID
+    g = one(spark, geo.hong_kong_grid(F.lit(lat0 - 5.5 / 3600), F.lit(lon0 + 8.8 / 3600)))[0]
+    assert abs(g["easting"] - east0) < 5 and abs(g["northing"] - north0) < 5
+    a, b = one(spark, geo.hong_kong_grid(F.lit(22.40), F.lit(114.10)), geo.hong_kong_grid(F.lit(22.41), F.lit(114.11)))
+    flat = math.hypot(b["easting"] - a["easting"], b["northing"] - a["northing"])
+    assert flat == pytest.approx(one(spark, geo.haversine_m(F.lit(22.40), F.lit(114.10), F.lit(22.41), F.lit(114.11)))[0], rel=5e-3)
+
+
+def test_report_records(spark):
+    text = "DJI_20240102030405_0012_T\nEmissivity\n0.95\nDJI_20240102030405_0013_T\nEmissivity: 0.9\nDistance: 5 m"
+    lines = T.lines(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t")
+    got = [tuple(r) for r in T.report_records(lines, "id", ["emissivity", "distance"]).orderBy("entry").collect()]
+    assert got == [(1, 1, "DJI_20240102030405_0012_T", "0.95", None), (1, 2, "DJI_20240102030405_0013_T", "0.9", "5 m")]

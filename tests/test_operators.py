@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from calorgrid.operators import describe as D, joins as J, quality as QA, ranks, temporal as T, thinning
+from calorgrid.operators import alignment, describe as D, joins as J, quality as QA, ranks, temporal as T, thinning
 from calorgrid.operators.prefix import prefix_sum
 
 
@@ -134,3 +134,23 @@ def test_series(spark):
     assert gap["gate_failures"] == "maximum_sampling_gap_exceeds_four_hours" and gap["largest_gap_hours"] == 8.0
     px = spark.createDataFrame([("x", 0, 0, 10.0), ("y", 0, 0, 11.0), ("x", 0, 1, 12.0), ("y", 0, 1, 15.0), ("x", 1, 1, 1.0)], "img string, r int, c int, v double")
     assert sorted((p["r"], p["c"], p["range"], p["max_image"]) for p in T.pixelwise_range(px, "img", "r", "c", "v", 2).collect()) == [(0, 0, 1.0, "y"), (0, 1, 3.0, "y")]
+
+
+def test_lookups(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
+    with pytest.raises(J.CardinalityError):
+        J.lookup_or_fail(spark.createDataFrame([(3,)], "k int"), a, ["k"])
+    assert J.lookup_or_fail(spark.createDataFrame([(1,), (1,)], "k int"), a, ["k"]).count() == 2
+
+
+def test_alignment(spark):
+    true = np.array([[1.1, 0.05, 3.0], [-0.02, 0.9, -7.0], [0.0, 0.0, 1.0]])
+    xy = np.random.default_rng(1).uniform(0, 100, (12, 2))
+    uv = (true @ np.column_stack([xy, np.ones(12)]).T)[:2].T
+    points = np.column_stack([xy, uv])
+    assert np.allclose(alignment.affine(points), true) and np.allclose(alignment.homography(points), true, atol=1e-6)
+    df = spark.createDataFrame([("a", *map(float, r)) for r in points] + [("b", 1.0, 2.0, 3.0, 4.0), ("a", None, 1.0, 1.0, 1.0)], "k string, x double, y double, u double, v double")
+    rows = alignment.fit(df, "k").collect()
+    assert [r["k"] for r in rows] == ["a"] and rows[0]["rmse"] < 1e-9
+    box = spark.range(1).select(alignment.clamped_box(F.lit(-5.0), F.lit(500.0), F.lit(50.0), F.lit(0.2), (640, 512)).alias("b")).first()["b"]
+    assert tuple(box) == (0, 500, 50, 501)
