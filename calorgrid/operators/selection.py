@@ -134,7 +134,7 @@ def key_profile(df: DataFrame, key: str, value: str, probs: dict[str, float] | N
     v = F.col(value)
     v = F.when(F.isnan(v.cast("double")), None).otherwise(v)
     sums = df.groupBy(key).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(v), F.lit(0)).alias("total"))
-    parts = exact_quantiles(df, [key], F.col(value), probs).withColumnRenamed(key, "__k")
+    parts = exact_quantiles(df, [key], F.col(value), probs, finish=BUCKETS).withColumnRenamed(key, "__k")
     joined = sums.join(parts, sums[key].eqNullSafe(parts["__k"]), "left")
     return joined.select(key, "n_rows", "total", F.coalesce("n_values", F.lit(0).cast("long")).alias("n_values"), *probs)
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from calorgrid.functions.hashing import gamma, unsigned_order, with_splitmix64
 from calorgrid.operators.prefix import prefix_sum
+from calorgrid.runtime import scratch
 
 SECOND_SEED = 0xA5A5A5A5
 
@@ -88,7 +89,7 @@ def thinned_sample(pixels: DataFrame, seeds: Sequence[int], *, tile: int, per_im
     base = numbered(pixels)
     c = candidates(base, seeds, tile)
     by = W.partitionBy("seed", "image_id", "group_name").orderBy("score", "base_id")
-    c = c.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_image)
+    c = scratch(c.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_image).drop("base_id", "score"))  # read twice below
     eligible = pixels.groupBy("group_name", "image_id").agg(F.count("*").alias("eligible"))
     have = c.groupBy("seed", "group_name", "image_id").agg(F.count("*").alias("candidates")).join(eligible, ["group_name", "image_id"])
     sums = have.groupBy(F.col("seed").alias("__e"), F.col("group_name").alias("__g")).agg(F.sum("candidates").alias("__all"))

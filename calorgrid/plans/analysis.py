@@ -51,6 +51,12 @@ def _(spark, sf):
     return _sample(spark, sf)[1]
 
 
+@query("smp03_three_seeds")
+def _(spark, sf):
+    """The sample of three seeds over one numbering of the pixels."""
+    return _sample(spark, sf, (SEED, SEED + 1, SEED + 2))[1]
+
+
 @query("smp05_quota_manifest")
 def _(spark, sf):
     pixels, sample = _sample(spark, sf)

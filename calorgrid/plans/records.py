@@ -26,6 +26,18 @@ def _(spark, sf):
     return p.select("image_id", "thermal_row", "thermal_col", (F.col("temperature_c") > 30).alias("warm"), "unit", "roi")
 
 
+@query("src03_three_columns", "select image_id, surface_cover_class, round(cast(delta_t_c as double), 4) as delta_t_c from pixel_samples where delta_t_c is not null and isfinite(delta_t_c)")
+def _(spark, sf):
+    return px(spark, sf).where(finite(F.col("delta_t_c"))).select("image_id", "surface_cover_class", F.round(F.col("delta_t_c").cast("double"), 4).alias("delta_t_c"))
+
+
+@query("agg35_image_count_mean_median", "select image_id, count(t) as n, round(avg(t), 4) as mean, round(quantile_cont(t, 0.5), 4) as median from (select image_id, case when isfinite(temperature_c) then cast(temperature_c as double) end t from pixel_samples) group by 1")
+def _(spark, sf):
+    """Count, mean and median per capture in one aggregate: a capture's distinct values are bounded by its grid."""
+    t = F.when(finite(F.col("temperature_c")), F.col("temperature_c").cast("double"))
+    return px(spark, sf).groupBy("image_id").agg(F.count(t).alias("n"), F.round(F.avg(t), 4).alias("mean"), F.round(F.percentile(t, F.lit(0.5)), 4).alias("median"))
+
+
 @query("src02_image_scan", "select thermal_row, thermal_col, round(cast(temperature_c as double), 3) as t from pixel_samples where image_id = (select min(image_id) from pixel_samples)")
 def _(spark, sf):
     first = px(spark, sf).agg(F.min("image_id")).first()[0]
