@@ -60,7 +60,7 @@ def p2_manifest_fit(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(c, cond, "left").groupBy("manifest_id", "sampled_pixel_count").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n_selected"))
 
 
-EPS = 0.0005
+EPS = 0.002
 SUMMARY_KEYS = ["flight_id", "luhk_class_code", "surface_cover_class"]
 PERCENTILES = {"q05_full": 0.05, "q25_full": 0.25, "median_full": 0.5, "q75_full": 0.75, "q95_full": 0.95}
 
