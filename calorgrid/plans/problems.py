@@ -78,6 +78,16 @@ def p6_capture_cases(spark: SparkSession, sf: str) -> DataFrame:
     return _odd_captures(table(spark, sf, "subzero_qa")).select(F.col("source").alias("flight_id"), F.col("o0").alias("capture_seq"), "reading", "case")
 
 
+def p6_flight_tails(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels beyond the fitted tail of their flight, as residuals from the flight's level at their hour of capture."""
+    hour = F.regexp_extract("image_id", r"DJI_\d{8}(\d{2})", 1).try_cast("int")
+    p = table(spark, sf, "pixel_samples").select("row_id", "flight_id", "image_id", "thermal_row", "thermal_col", "temperature_c", hour.alias("hour"))
+    place = [F.col(c) for c in ("image_id", "thermal_row", "thermal_col")]
+    once = p.groupBy(F.col("flight_id").alias("source"), *place).agg(F.min(spikes.clean(F.col("temperature_c"))).alias("v"), F.min("hour").alias("hour"))
+    tail = spikes.peaks_over_threshold(once, "v", spikes.SpikeRule(0.2), season="hour").where("tail_spike")
+    return tail.select(F.col("source").alias("flight_id"), "image_id", "thermal_row", "thermal_col", "hour", F.round("residual", 4).alias("residual"), F.round("tail_cutoff", 4).alias("tail_cutoff"))
+
+
 EXPORT_FIELDS = {"payload": "payload", "feed": "feed", "file_id": "file_id", "seq": "file_seq", "key": "pixel_uid"}
 
 
@@ -91,7 +101,7 @@ def p7_records(spark: SparkSession, sf: str) -> DataFrame:
     return drift.consistent_table(table(spark, sf, "raw_exports"), keep=["record_id", "feed", "file_id", "file_seq", "line_no"], **EXPORT_FIELDS)
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_group_profile": p3_group_profile, "p5_found": p5_found, "p5_capture_instants": p5_capture_instants, "p6_found": p6_found, "p6_capture_cases": p6_capture_cases, "p7_found": p7_found, "p7_records": p7_records}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_group_profile": p3_group_profile, "p5_found": p5_found, "p5_capture_instants": p5_capture_instants, "p6_found": p6_found, "p6_capture_cases": p6_capture_cases, "p6_flight_tails": p6_flight_tails, "p7_found": p7_found, "p7_records": p7_records}
 
 SQL = {
     "p3_found": """
