@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from calorgrid.runtime import scratch
+from calorgrid.runtime import broadcast_if_small, scratch
 
 def _json_type(v: Column) -> Column:
     t = F.schema_of_variant(v)
@@ -68,15 +68,17 @@ def renamings(entries: DataFrame, spans: DataFrame) -> DataFrame:
     """
     gone = spans.where("ends").select("feed", F.col("next_file").alias("at"), F.col("file_id").alias("src"), "field")
     new = spans.where("starts").select("feed", F.col("file_id").alias("at"), F.col("file_id").alias("src"), "field")
-    both = gone.select("feed", "at").intersect(new.select("feed", "at"))
-    values = entries.where("key is not null and value is not null").groupBy("feed", "file_id", "key", "field").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo = hi").drop("hi")
-
-    def side(x: DataFrame, tag: str) -> DataFrame:
-        x = x.join(both.toDF("__f", "__a"), x["feed"].eqNullSafe(F.col("__f")) & (x["at"] == F.col("__a")), "left_semi").toDF("__f", "at", "__s", "__n")
-        hit = values.join(x, values["feed"].eqNullSafe(x["__f"]) & (values["file_id"] == x["__s"]) & (values["field"] == x["__n"]))
-        return hit.select(F.col("feed").alias(f"feed_{tag}"), F.col("at").alias(f"at_{tag}"), F.col("key").alias(f"key_{tag}"), F.col("field").alias(f"field_{tag}"), F.col("lo").alias(f"v_{tag}"))
-
-    g, n = side(gone, "g"), side(new, "n")
+    both = gone.select("feed", "at").intersect(new.select("feed", "at")).toDF("__f", "__a")
+    sides = gone.withColumn("side", F.lit("g")).unionByName(new.withColumn("side", F.lit("n")))
+    sides = sides.join(both, sides["feed"].eqNullSafe(both["__f"]) & (sides["at"] == both["__a"]), "left_semi")
+    sides = scratch(sides.select(F.col("feed").alias("__f"), "at", F.col("src").alias("__s"), F.col("field").alias("__n"), "side"))
+    # only values of fields that end or start where others start or end are looked at, repeated lines folded
+    wanted = broadcast_if_small(sides, sides.count())
+    known = entries.where("key is not null and value is not null")
+    hit = known.join(wanted, known["feed"].eqNullSafe(wanted["__f"]) & (known["file_id"] == wanted["__s"]) & (known["field"] == wanted["__n"]))
+    values = scratch(hit.groupBy("feed", "at", "side", "key", "field").agg(F.min("value").alias("v"), F.max("value").alias("w")).where("v = w").drop("w"))
+    side = lambda tag: values.where(F.col("side") == tag).select(*[F.col(c).alias(f"{c}_{tag}") for c in ("feed", "at", "key", "field", "v")])
+    g, n = side("g"), side("n")
     pairs = g.join(n, g["feed_g"].eqNullSafe(n["feed_n"]) & (g["at_g"] == n["at_n"]) & (g["key_g"] == n["key_n"]))
     same = pairs.groupBy(F.col("feed_g").alias("feed"), F.col("at_g").alias("file_id"), F.col("field_g").alias("gone"), F.col("field_n").alias("new")).agg(
         F.count(F.when(F.col("v_g") == F.col("v_n"), 1)).alias("eq"), F.count(F.when(F.col("v_g") != F.col("v_n"), 1)).alias("ne")
