@@ -10,11 +10,11 @@ rank in their class, and look their container up by it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from calorgrid.runtime import broadcast_if_small, scratch
 
@@ -74,20 +74,20 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
 
 
 def _locator(plans: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]]):
-    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            spec, size, rank = (pdf[c].to_numpy() for c in ("spec_id", "n_tokens", "__rank"))
-            where = np.zeros(len(pdf), dtype="int64")
-            for s in np.unique(spec):
-                keys, first, containers, used = plans[int(s)]
-                pick = spec == s
-                filled = pick & (size > 0)
-                wanted = size[filled].astype("int64") * (1 << 42) + rank[filled]
-                k = np.searchsorted(keys, wanted, side="right") - 1
-                where[filled] = containers[k] + rank[filled] - first[k]
-                nothing = pick & (size == 0)
-                where[nothing] = rank[nothing] % max(used, 1)
-            yield pd.DataFrame({"spec_id": pdf["spec_id"], "container_id": where, "doc_id": pdf["doc_id"], "part_no": pdf["part_no"], "token_from": pdf["token_from"], "n_tokens": pdf["n_tokens"]})
+    """The container of an item of a spec by its size and its rank among the items of that size."""
+
+    @pandas_udf(LongType())
+    def locate(spec: pd.Series, size: pd.Series, rank: pd.Series) -> pd.Series:
+        spec, size, rank = (x.to_numpy(dtype="int64") for x in (spec, size, rank))
+        where = np.zeros(len(spec), dtype="int64")
+        for s in np.unique(spec):
+            keys, first, containers, used = plans[int(s)]
+            mine = spec == s
+            filled, empty = mine & (size > 0), mine & (size == 0)
+            k = np.searchsorted(keys, size[filled] * (1 << 42) + rank[filled], side="right") - 1
+            where[filled] = containers[k] + rank[filled] - first[k]
+            where[empty] = rank[empty] % max(used, 1)
+        return pd.Series(where)
 
     return locate
 
@@ -127,5 +127,6 @@ def fill_containers(sizes: DataFrame, specs: dict[int, int], doc_id: str = "doc_
         plans[k] = (m[:, 0] * (1 << 42) + m[:, 1], m[:, 1], m[:, 2], used)
     small = broadcast_if_small(runs.select(F.col("spec_id").alias("__k"), F.col("n_tokens").alias("__z"), F.col("__part").alias("__p"), "__first", "__before"), runs.count())
     placed = ranked.join(small, (ranked["spec_id"] == small["__k"]) & (ranked["n_tokens"] == small["__z"]) & (ranked["__part"] == small["__p"]))
-    placed = placed.select("spec_id", "n_tokens", "doc_id", "part_no", "token_from", (F.col("__at") - F.col("__first") + F.col("__before")).alias("__rank"))
-    return placed.mapInPandas(_locator(plans), "spec_id int, container_id long, doc_id long, part_no int, token_from long, n_tokens long")
+    rank = F.col("__at") - F.col("__first") + F.col("__before")
+    where = _locator(plans)(F.col("spec_id"), F.col("n_tokens"), rank)
+    return placed.select("spec_id", where.alias("container_id"), "doc_id", "part_no", "token_from", "n_tokens")

@@ -66,5 +66,11 @@ def test_frame(spark):
     assert out and sorted(map(tuple, out)) == sorted(map(tuple, rows(spark, sizes[::-1], {1: 128, 2: 512})))
 
 
+def test_null_and_large_ids(spark):
+    big = 2**62 + 1
+    out = rows(spark, [(None, 5), (big, 6), (big + 2, 7)], {1: 10})
+    assert {r["doc_id"] for r in out} == {None, big, big + 2} and len({r["container_id"] for r in out}) == 3
+
+
 def test_empty(spark):
     assert rows(spark, [], {1: 10}) == []
