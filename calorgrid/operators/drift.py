@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from calorgrid.runtime import broadcast_if_small, scratch
+from calorgrid.runtime import broadcast_if_small, scratch, spread
 
 def _json_type(v: Column) -> Column:
-    t = F.schema_of_variant(v)
-    return F.when(t == "VOID", None).when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").otherwise("number")
+    """JSON type of a variant from the first word of its schema, null for a null."""
+    kinds = {"VOID": "null", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
+    known = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)]
+    return F.nullif(F.coalesce(known, F.lit("number")), F.lit("null"))
 
 
 def fields(lines: DataFrame, payload: str, feed: str, file_id: str, seq: str, key: str) -> DataFrame:
@@ -24,10 +26,12 @@ def fields(lines: DataFrame, payload: str, feed: str, file_id: str, seq: str, ke
     A line is valid if it is one JSON object. ``value`` is canonical: numbers and texts that read as a
     number alike, other values by type and content. Explicit nulls have a field but no type or value.
     """
-    rows = lines.select(F.col(feed).alias("feed"), F.col(file_id).alias("file_id"), F.col(seq).alias("seq"), F.try_parse_json(F.col(payload)).alias("__v"))
-    rows = rows.where(F.col("__v").isNotNull() & F.schema_of_variant("__v").startswith("OBJECT")).withColumn("key", F.try_variant_get("__v", f"$.{key}", "string"))
+    rows = lines.select(F.col(feed).alias("feed"), F.col(file_id).alias("file_id"), F.col(seq).alias("seq"), F.col(payload).alias("__p"))
+    rows = spread(rows, "__p", per_core=1).withColumn("__v", F.try_parse_json("__p")).drop("__p")
+    # no filter on the parsed line, it would parse it again: lines that are no object explode into nothing or have no names
+    rows = rows.withColumn("key", F.try_variant_get("__v", f"$.{key}", "string"))
     rows.createOrReplaceTempView("__calorgrid_lines")
-    ex = rows.sparkSession.sql("select l.feed, l.file_id, l.seq, l.key, e.key as field, e.value as v from __calorgrid_lines l, lateral variant_explode(l.__v) e")
+    ex = rows.sparkSession.sql("select l.feed, l.file_id, l.seq, l.key, e.key as field, e.value as v from __calorgrid_lines l, lateral variant_explode(l.__v) e where e.key is not null")
     ex = ex.withColumn("jtype", _json_type(F.col("v"))).withColumn("text", F.col("v").cast("string"))
     number = F.when(F.col("jtype").isin("number", "string"), F.col("text").try_cast("double"))
     value = F.when(F.col("jtype").isNull(), None).when(number.isNotNull() & ~F.isnan(number), F.concat(F.lit("n:"), number.cast("string"))).otherwise(F.concat(F.substring("jtype", 1, 1), F.lit(":"), "text"))
