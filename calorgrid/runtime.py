@@ -67,7 +67,7 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str, per_core: int = 4) -> DataFrame:
-    """Repartition by ``keys`` when the scan has too few partitions to keep all cores busy with Python work."""
+    """Repartition by ``keys`` when a scan has too few partitions to keep all cores busy with costly per-row work; at scale it does nothing."""
     want = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
 
