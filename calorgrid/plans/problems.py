@@ -103,7 +103,39 @@ def p7_records(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_group_profile": p3_group_profile, "p5_found": p5_found, "p5_capture_instants": p5_capture_instants, "p6_found": p6_found, "p6_capture_cases": p6_capture_cases, "p6_flight_tails": p6_flight_tails, "p7_found": p7_found, "p7_records": p7_records}
 
+
+
+def _odd_sql(table_name: str, row_id: str, source: str, order: list[str], value: str, floor: float, least: int, impossible: str, other: str = "0") -> str:
+    place = ", ".join(order)
+    same = " and ".join(f"p.{c} = odd.{c}" for c in order)
+    return f"""select distinct '{table_name}' as table_name, {row_id} as record_id from {table_name} p join (
+      with d as (select {source} src, {place}, min(case when not isnan(cast({value} as double)) then cast({value} as double) end) v, min({other}) o from {table_name} group by all),
+      q as (select src, quantile_cont(v, 0.5) m, greatest(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), {floor}) s from d where v is not null group by 1),
+      b as (select *, case when v is null or lag(v) over w is null or v <> lag(v) over w then 1 else 0 end b from d window w as (partition by src order by {place})),
+      r as (select *, sum(b) over (partition by src order by {place}) run from b), n as (select *, count(*) over (partition by src, run) n from r)
+      select src, {place} from d join q using (src) where abs(v - m) > 5 * s union select src, {place} from n where v is not null and n >= {least} union select src, {place} from d where {impossible}
+    ) odd on p.{source} = odd.src and {same}"""
+
+
+_PLACES = "(select record_id, image_id, gps_latitude lat, gps_longitude lon from validation_records where gps_latitude between -90 and 90 and gps_longitude between -180 and 180 and not (gps_latitude = 0 and gps_longitude = 0))"
+
 SQL = {
+    "p1_found": f"""
+        select distinct 'near' as relation, a.record_id as left_id, b.record_id as right_id from {_PLACES} a join {_PLACES} b on a.record_id < b.record_id and a.image_id <> b.image_id and abs(a.lat - b.lat) < 0.0002
+        where 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 12
+        union all
+        select distinct 'inside', p.record_id, c.cell_key from {_PLACES} p join luhk_cells c on p.lat >= c.cell_min_lat and p.lat < c.cell_max_lat
+          and case when c.cell_min_lon <= c.cell_max_lon then p.lon >= c.cell_min_lon and p.lon < c.cell_max_lon else p.lon >= c.cell_min_lon or p.lon < c.cell_max_lon end""",
+    "p6_found": " union all ".join(
+        [
+            _odd_sql("pixel_samples", "row_id", "image_id", PIXEL_ORDER, "temperature_c", 0.2, 8, "v < -273.15"),
+            "select * from ("
+            + _odd_sql("subzero_qa", "qa_id", "flight_id", CAPTURE_ORDER, "minimum_temperature_c", 0.2, 6, "v < -273.15")
+            + " union "
+            + _odd_sql("subzero_qa", "qa_id", "flight_id", CAPTURE_ORDER, "below_0_pixel_count", 5, 1_000_000_000, "v < 0 or v > o", "valid_temperature_pixel_count")
+            + ")",
+        ]
+    ),
     "p3_found": """
         with g as (select group_name, count(*) n, coalesce(sum(full_eligible_pixel_count), 0) t from sample_coverage group by 1),
         w as (select sum(n) n, sum(t) t from g)
