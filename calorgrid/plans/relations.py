@@ -218,9 +218,11 @@ def _(spark, sf):
 @query("agg15_recurring_coordinates", """with k as (select thermal_row, thermal_col, count(distinct image_id) k from pixel_samples where temperature_c > 30 and not isnan(temperature_c) group by 1, 2), h as (select k, count(*) n from k group by 1)
     select cast(s as bigint) as images, coalesce(h.n, 0) as n_coordinates from generate_series(2, 12) g(s) left join h on h.k = s""")
 def _(spark, sf):
-    k = px(spark, sf).where("temperature_c > 30 and not isnan(temperature_c)").select("thermal_row", "thermal_col", "image_id").distinct().groupBy("thermal_row", "thermal_col").agg(F.count("*").alias("images"))
+    k = px(spark, sf).where("temperature_c > 30 and not isnan(temperature_c)").select("thermal_row", "thermal_col", "image_id").distinct().groupBy("thermal_row", "thermal_col").agg(F.count("image_id").alias("images"))
     h = k.groupBy("images").agg(F.count("*").alias("n"))
-    return spark.range(2, 13).withColumnRenamed("id", "images").join(h, "images", "left").select("images", F.coalesce("n", F.lit(0).cast("long")).alias("n_coordinates"))
+    n = px(spark, sf).select("image_id").distinct().agg(F.count("image_id")).first()[0]
+    # every recurrence up to the number of images, zero rows kept; 2 to 12 are there for fewer images too
+    return spark.range(2, max(n, 12) + 1).withColumnRenamed("id", "images").join(h, "images", "left").select("images", F.coalesce("n", F.lit(0).cast("long")).alias("n_coordinates"))
 
 
 @query("agg16_mode", """select flight_id, luhk_class_code, n from (select flight_id, luhk_class_code, count(*) n, row_number() over (partition by flight_id order by count(*) desc, luhk_class_code) r from pixel_samples group by 1, 2) where r = 1""")
