@@ -54,7 +54,7 @@ def _(spark, sf):
 def _(spark, sf):
     from calorgrid.sources.tables import ordered
 
-    return ordered(px(spark, sf).where("thermal_row % 16 = 0"), ["image_id", "roi_id", "thermal_row"])
+    return ordered(px(spark, sf), ["image_id", "roi_id", "thermal_row"])
 
 
 @query("proj16_camera_parameters", """with c as (select record_id, case when record_id % 4 = 0 then 70.0 end fov, focal_length_mm f, case when record_id % 3 = 0 then 36.0 end s, case when record_id % 2 = 0 then 24.0 end f35 from validation_records)

@@ -3,8 +3,12 @@
 import sys
 from pathlib import Path
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+import duckdb
+import pytest
+
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 import __spark_entry__ as entry  # noqa: E402
+from test_queries import DATA, rows  # noqa: E402
 
 
 def result(spark, folder, name, **tables):
@@ -16,6 +20,33 @@ def result(spark, folder, name, **tables):
 
 def test_recurrence_has_no_cap(spark, tmp_path):
     """One coordinate is warm in all 15 images, one in 3."""
-    rows = [(f"i{k:02}", 5, 7, 31.0) for k in range(15)] + [(f"i{k:02}", 6, 7, 31.0) for k in range(3)]
-    got = result(spark, tmp_path, "agg15_recurring_coordinates", pixel_samples=(rows, "image_id string, thermal_row short, thermal_col short, temperature_c float"))
+    pixels = [(f"i{k:02}", 5, 7, 31.0) for k in range(15)] + [(f"i{k:02}", 6, 7, 31.0) for k in range(3)]
+    got = result(spark, tmp_path, "agg15_recurring_coordinates", pixel_samples=(pixels, "image_id string, thermal_row short, thermal_col short, temperature_c float"))
     assert {r["images"]: r["n_coordinates"] for r in got} == {k: int(k in (3, 15)) for k in range(2, 16)}
+
+
+def test_ordered_sample_keeps_every_row(spark, tmp_path):
+    pixels = [("a", r, 1.5) for r in range(40)]
+    got = result(spark, tmp_path, "snk06_ordered_sample", pixel_samples=(pixels, "image_id string, thermal_row short, temperature_c float"))
+    assert sorted(map(tuple, got)) == [("a", None, r) for r in range(40)]
+    assert got[0].__fields__ == ["image_id", "roi_id", "thermal_row"]
+
+
+#: What the registered SQL would have to say to cover the whole job: text in it and its replacement.
+WHOLE = {
+    "snk06_ordered_sample": [(" where thermal_row % 16 = 0", "")],
+}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+@pytest.mark.parametrize("name", WHOLE)
+def test_query_equals_the_whole_sql(spark, name):
+    con, sql = duckdb.connect(), entry.oracle_sql()[name]
+    for f in DATA.glob("*.parquet"):
+        con.sql(f"create view {f.stem} as select * from '{f}'")
+    for cut, whole in WHOLE[name]:
+        sql = sql.replace(cut, whole)
+    df, rel = entry.queries()[name](spark, str(DATA)), con.sql(sql)
+    columns = sorted(df.columns)
+    assert columns == sorted(rel.columns)
+    assert rows(columns, df.columns, df.collect()) == rows(columns, rel.columns, rel.fetchall())
