@@ -72,8 +72,8 @@ _FILES_SQL = """(select distinct flight_id folder, regexp_extract(p, 'DJI_(\\d{1
 def _(spark, sf):
     v = table(spark, sf, "validation_records")
     name = lambda k: F.regexp_extract("path", r"DJI_(\d{14})_(\d+)", k)
-    side = lambda col, role, skip: v.where(f"record_id % {skip} != 0").select(F.col("flight_id").alias("folder"), F.col(col).alias("path"), F.lit(role).alias("role"))
-    files = side("visible_path", "V", 7).unionByName(side("thermal_path", "T", 11)).where("path is not null and path != ''")
+    side = lambda col, role: v.select(F.col("flight_id").alias("folder"), F.col(col).alias("path"), F.lit(role).alias("role"))
+    files = side("visible_path", "V").unionByName(side("thermal_path", "T")).where("path is not null and path != ''")
     files = files.select("folder", name(0).alias("base"), (name(2).cast("long") % 400).alias("sample"), "role", "path").distinct()
     return J.pair_two_stage(files, folder="folder", base="base", sample="sample", role="role", path="path")
 

@@ -32,8 +32,18 @@ def test_ordered_sample_keeps_every_row(spark, tmp_path):
     assert got[0].__fields__ == ["image_id", "roi_id", "thermal_row"]
 
 
+def test_pairing_sees_every_file(spark, tmp_path):
+    """Records 7, 11 and 77 have both files, 1 lacks the visible and 2 the thermal one."""
+    path = lambda k, side: f"raw/f/DJI_20240101000000_{k:04}_{side}.JPG"
+    records = [(k, "f", None if k == 1 else path(k, "V"), "" if k == 2 else path(k, "T")) for k in (1, 2, 7, 11, 77)]
+    got = result(spark, tmp_path, "join07_pair_two_stage", validation_records=(records, "record_id long, flight_id string, visible_path string, thermal_path string"))
+    paired = [("base", "f", f"DJI_20240101000000_{k:04}", path(k, "V"), path(k, "T"), "ok") for k in (7, 11, 77)]
+    assert sorted(map(tuple, got), key=lambda r: r[:3]) == [*paired, ("sample", "f", "1", None, path(1, "T"), "missing_visible"), ("sample", "f", "2", path(2, "V"), None, "missing_thermal")]
+
+
 #: What the registered SQL would have to say to cover the whole job: text in it and its replacement.
 WHOLE = {
+    "join07_pair_two_stage": [(" where record_id % 7 <> 0", ""), (" where record_id % 11 <> 0", "")],
     "snk06_ordered_sample": [(" where thermal_row % 16 = 0", "")],
 }
 
