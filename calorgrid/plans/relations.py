@@ -135,7 +135,7 @@ def _(spark, sf):
 @query("join22_unique_fallback", """with r as (select flight_id, image_id, luhk_class_name v from pixel_samples where thermal_row < 40), e as (select flight_id, image_id, min(v) v from r group by 1, 2), u as (select flight_id, count(distinct v) n, min(v) v from r group by 1)
     select q.qa_id, coalesce(e.v, case when u.n = 1 then u.v end) as name, case when e.v is not null then 'exact' when u.n = 1 then 'unique' when u.n > 1 then 'ambiguous' else 'missing' end as match from subzero_qa q left join e using (flight_id, image_id) left join u using (flight_id)""")
 def _(spark, sf):
-    r = px(spark, sf).where("thermal_row < 40").select("flight_id", "image_id", F.col("luhk_class_name").alias("name"))
+    r = px(spark, sf).select("flight_id", "image_id", F.col("luhk_class_name").alias("name"))
     return J.unique_fallback(table(spark, sf, "subzero_qa").select("qa_id", "flight_id", "image_id"), r, exact=["flight_id", "image_id"], loose="flight_id", value="name").select("qa_id", "name", "match")
 
 

@@ -41,9 +41,22 @@ def test_pairing_sees_every_file(spark, tmp_path):
     assert sorted(map(tuple, got), key=lambda r: r[:3]) == [*paired, ("sample", "f", "1", None, path(1, "T"), "missing_visible"), ("sample", "f", "2", path(2, "V"), None, "missing_thermal")]
 
 
+def test_fallback_sees_every_row_of_a_capture(spark, tmp_path):
+    """The smallest name of capture a and the second class of flight f lie below row 40."""
+    pixels = [("f", "a", 3, "wood"), ("f", "a", 400, "road"), ("g", "b", 500, "wood")]
+    asked = [(1, "f", "a"), (2, "f", "x"), (3, "g", "x"), (4, "h", "x")]
+    got = result(
+        spark, tmp_path, "join22_unique_fallback",
+        pixel_samples=(pixels, "flight_id string, image_id string, thermal_row short, luhk_class_name string"),
+        subzero_qa=(asked, "qa_id long, flight_id string, image_id string"),
+    )
+    assert sorted(map(tuple, got)) == [(1, "road", "exact"), (2, None, "ambiguous"), (3, "wood", "unique"), (4, None, "missing")]
+
+
 #: What the registered SQL would have to say to cover the whole job: text in it and its replacement.
 WHOLE = {
     "join07_pair_two_stage": [(" where record_id % 7 <> 0", ""), (" where record_id % 11 <> 0", "")],
+    "join22_unique_fallback": [(" where thermal_row < 40", "")],
     "snk06_ordered_sample": [(" where thermal_row % 16 = 0", "")],
 }
 
