@@ -376,9 +376,11 @@ def _(spark, sf):
 
 @query("set04_intersect", """select thermal_row, thermal_col from (select distinct image_id, thermal_row, thermal_col from pixel_samples where isfinite(temperature_c) and image_id in (select image_id from pixel_samples group by 1 order by count(*) desc, image_id limit 2)) group by 1, 2 having count(*) = 2""")
 def _(spark, sf):
-    top = px(spark, sf).groupBy("image_id").count().orderBy(F.desc("count"), "image_id").limit(2).select("image_id")
-    p = px(spark, sf).where(finite(F.col("temperature_c"))).join(F.broadcast(top), "image_id", "left_semi")
-    return p.select("image_id", "thermal_row", "thermal_col").distinct().groupBy("thermal_row", "thermal_col").agg(F.count("*").alias("n")).where("n = 2").select("thermal_row", "thermal_col")
+    """Coordinates that are finite in every capture of their series, the flight."""
+    p = px(spark, sf)
+    captures = p.select("flight_id", "image_id").distinct().groupBy("flight_id").agg(F.count("image_id").alias("n_captures"))
+    hits = p.where(finite(F.col("temperature_c"))).select("flight_id", "image_id", "thermal_row", "thermal_col").distinct().groupBy("flight_id", "thermal_row", "thermal_col").agg(F.count("image_id").alias("n"))
+    return hits.join(captures, "flight_id").where("n = n_captures").select("flight_id", "thermal_row", "thermal_col")
 
 
 @query("set05_equal_sets", "select (select count(*) from (select image_id from subzero_qa except select image_id from validation_records)) = 0 and (select count(*) from (select image_id from validation_records except select image_id from subzero_qa)) = 0 as same")
