@@ -114,6 +114,20 @@ def _(spark, sf):
     return d.groupBy("cover").agg(side(0, "n").alias("n_sunlit"), side(1, "n").alias("n_shaded"), F.round(side(0, "m") - side(1, "m"), 3).alias("mean_difference"), F.when(F.count("*") == 2, "tested").otherwise("skipped").alias("status"))
 
 
+@query("st03_shadow_tests")
+def _(spark, sf):
+    """Mann-Whitney test of sunlit against shaded pixels within each cover, over the pixels of ``st03_shadow_contrast``; covers without both are skipped."""
+    p = px(spark, sf).where(F.col("shadow_valid") & F.col("shadow_flag").isin(0, 1) & F.col("surface_cover_class").isNotNull() & finite(F.col("delta_t_c")))
+    group = lambda flag: F.concat(F.col("cover"), F.lit(" | shadow="), flag.cast("string"))
+    p = p.select(F.col("surface_cover_class").alias("cover"), F.col("shadow_flag").cast("int").alias("s"), F.round(F.col("delta_t_c").cast("double"), 6).alias("v")).withColumn("g", group(F.col("s")))
+    tests = ranks.mann_whitney(ranks.rank_statistics(p, "g", "v")[1]).select("a", "b", "u", "p_value", "effect")
+    q = exact_quantiles(p, ["cover", "s"], F.col("v"), {"median": 0.5})
+    side = lambda k, c: F.max(F.when(F.col("s") == k, F.col(c)))
+    covers = q.groupBy("cover").agg(side(0, "n_values").alias("n_sunlit"), side(1, "n_values").alias("n_shaded"), (side(0, "median") - side(1, "median")).alias("median_difference"))
+    out = covers.join(tests, (group(F.lit(0)) == F.col("a")) & (group(F.lit(1)) == F.col("b")), "left")
+    return out.select("cover", "n_sunlit", "n_shaded", "u", "p_value", "effect", "median_difference", F.when(F.col("u").isNotNull(), "tested").otherwise("skipped").alias("status"))
+
+
 @query("st07_seed_stability")
 def _(spark, sf):
     """Share of secondary seeds whose sample orders two covers' means as the primary seed's does."""

@@ -1,5 +1,6 @@
 """Queries over all rows they are given, on small tables made here."""
 
+import math
 import sys
 from pathlib import Path
 
@@ -62,6 +63,16 @@ def test_intersection_of_every_series(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("f", 1, 1), ("g", 3, 3)]
 
 
+def test_shadow_contrast_is_tested_within_each_cover(spark, tmp_path):
+    pixels = [("road", 0, v) for v in (1.0, 2.0, 3.0)] + [("road", 1, v) for v in (2.0, 4.0)] + [("wood", 0, 9.0)]
+    pixels = [(c, s, True, v) for c, s, v in pixels] + [("road", 1, False, 50.0), ("road", 1, True, None)]
+    got = result(spark, tmp_path, "st03_shadow_tests", pixel_samples=(pixels, "surface_cover_class string, shadow_flag byte, shadow_valid boolean, delta_t_c float"))
+    road, wood = sorted(map(tuple, got))
+    z = (3 - 1.5 - 0.5) / math.sqrt(6 / 12 * (6 - 6 / 20))  # one pair of equal values
+    assert road == ("road", 3, 2, 1.5, pytest.approx(math.erfc(z / math.sqrt(2))), -0.5, -1.0, "tested")
+    assert wood == ("wood", 1, None, None, None, None, None, "skipped")
+
+
 #: What the registered SQL would have to say to cover the whole job: text in it and its replacement, or all of it.
 WHOLE = {
     "join07_pair_two_stage": [(" where record_id % 7 <> 0", ""), (" where record_id % 11 <> 0", "")],
