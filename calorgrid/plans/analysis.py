@@ -13,7 +13,7 @@ from calorgrid.functions.predicates import finite
 from calorgrid.operators import quality as QA, ranks, temporal as T, thinning
 from calorgrid.operators.selection import exact_quantiles
 from calorgrid.plans.registry import Registry
-from calorgrid.plans.scalars import GRID_SQL, _mix_sql, grid, px
+from calorgrid.plans.scalars import GRID_SQL, _mix_sql, family_groups, grid, px
 from calorgrid.runtime import scratch, table
 
 query = Registry()
@@ -46,6 +46,13 @@ def _sample(spark, sf, seeds=(SEED,), per_group=PER_GROUP, per_image=PER_IMAGE):
     return pixels, thinning.thinned_sample(pixels.drop("delta_t_c"), list(seeds), tile=TILE, per_image=per_image, per_group=per_group)
 
 
+def family_sample(spark, sf, family, seeds=(SEED,)):
+    """Formal pixels of an analysis family, once per group, and their thinned sample."""
+    p = family_groups(px(spark, sf)).where(F.col("family") == family)
+    pixels = scratch(p.groupBy("image_id", "thermal_row", "thermal_col", "group_name").agg(F.min(F.col("delta_t_c").cast("double")).alias("delta_t_c"), F.min("luhk_class_code").alias("luhk_class_code")))
+    return pixels, thinning.thinned_sample(pixels.drop("delta_t_c", "luhk_class_code"), list(seeds), tile=TILE, per_image=PER_IMAGE, per_group=PER_GROUP)
+
+
 @query("smp02_thinned_sample")
 def _(spark, sf):
     return _sample(spark, sf)[1]

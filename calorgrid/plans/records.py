@@ -9,7 +9,7 @@ from calorgrid.functions.predicates import COVERS, density_status, finite, near
 from calorgrid.operators import alignment, describe as D, joins as J
 from calorgrid.operators.selection import exact_quantiles
 from calorgrid.operators.timenorm import with_parses
-from calorgrid.plans.analysis import _COVER_PX, cover_pixels
+from calorgrid.plans.analysis import _COVER_PX, cover_pixels, family_sample
 from calorgrid.plans.registry import Registry
 from calorgrid.plans.scalars import FAMILY_SQL, GRID_SQL, family_groups, grid, px
 from calorgrid.runtime import scratch, table
@@ -159,8 +159,10 @@ def _(spark, sf):
 @query("join12_manifest_counts", """with e as (select image_id, surface_cover_class g, count(*) n from pixel_samples group by 1, 2), s as (select image_id, surface_cover_class g, count(*) n from pixel_samples where thermal_row % 64 = 0 group by 1, 2)
     select e.image_id, e.g as group_name, e.n as eligible, coalesce(s.n, 0) as sampled from e left join s on s.image_id = e.image_id and s.g is not distinct from e.g""")
 def _(spark, sf):
-    g = px(spark, sf).groupBy("image_id", F.col("surface_cover_class").alias("group_name"))  # one pass gives both counts
-    return g.agg(F.count("*").alias("eligible"), F.count_if(F.col("thermal_row") % 64 == 0).alias("sampled"))
+    e = px(spark, sf).groupBy("image_id", F.col("surface_cover_class").alias("group_name")).agg(F.count("*").alias("eligible"))
+    s = family_sample(spark, sf, "surface_cover")[1].groupBy(F.col("image_id").alias("__i"), F.col("group_name").alias("__g")).agg(F.count("*").alias("n"))
+    out = e.join(s, (F.col("image_id") == F.col("__i")) & F.col("group_name").eqNullSafe(F.col("__g")), "left")
+    return out.select("image_id", "group_name", "eligible", F.coalesce("n", F.lit(0).cast("long")).alias("sampled"))
 
 
 @query("join19_set_differences", """select 'only_pixels' as side, count(*) as n from (select distinct image_id from pixel_samples except select image_id from sampling_manifest) union all select 'only_manifest', count(*) from (select distinct image_id from sampling_manifest except select image_id from pixel_samples)""")

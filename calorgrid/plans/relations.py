@@ -6,9 +6,11 @@ from pyspark.sql import Window as W, functions as F
 
 from calorgrid.functions.predicates import COVERS, NO_COVER, finite
 from calorgrid.operators import describe as D, joins as J
+from calorgrid.operators.selection import exact_quantiles
+from calorgrid.plans.analysis import family_sample
 from calorgrid.plans.registry import Registry
 from calorgrid.plans.scalars import FAMILY_SQL, GRID_SQL, family_groups, grid, px
-from calorgrid.runtime import table
+from calorgrid.runtime import scratch, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -159,9 +161,12 @@ def _(spark, sf):
     p = px(spark, sf).where(finite(F.col("delta_t_c"))).withColumn("d", F.col("delta_t_c").cast("double"))
     per = p.groupBy("luhk_class_code", "image_id").agg(F.count("*").alias("n"), F.sum("d").alias("s"))
     full = per.groupBy("luhk_class_code").agg(F.sum("n").alias("n_full"), F.count("*").alias("n_images"), (F.sum("s") / F.sum("n")).alias("m"))
-    s = p.where("thermal_row % 8 = 0").groupBy(F.col("luhk_class_code").alias("__c")).agg(F.count("*").alias("ns"), F.avg("d").alias("ms"))
-    out = full.join(s, full["luhk_class_code"].eqNullSafe(s["__c"]), "left")
-    return out.select("luhk_class_code", "n_full", "n_images", F.round("m", 4).alias("mean_full"), F.coalesce("ns", F.lit(0).cast("long")).alias("n_sampled"), F.round("ms", 4).alias("mean_sampled"))
+    pixels, sample = family_sample(spark, sf, "luhk")
+    drawn = scratch(sample.join(pixels, ["image_id", "group_name", "thermal_row", "thermal_col"]).select(F.col("luhk_class_code").alias("code"), F.col("delta_t_c").alias("d")))
+    s = drawn.groupBy("code").agg(F.count("*").alias("ns"), F.avg("d").alias("ms"))
+    q = exact_quantiles(drawn, ["code"], F.col("d"), {"median": 0.5}).withColumnRenamed("code", "__q")
+    out = full.join(s, full["luhk_class_code"].eqNullSafe(s["code"]), "left").join(q, full["luhk_class_code"].eqNullSafe(q["__q"]), "left")
+    return out.select("luhk_class_code", "n_full", "n_images", F.round("m", 4).alias("mean_full"), F.coalesce("ns", F.lit(0).cast("long")).alias("n_sampled"), F.round("ms", 4).alias("mean_sampled"), F.round("median", 4).alias("median_sampled"))
 
 
 @query("agg05_capture_reduction", f"""select image_id, count(*) filter (where analysis_eligible and target_mask and isfinite(temperature_c)) as n_temperature, count(*) filter (where analysis_eligible and target_mask and isfinite(temperature_c) and isfinite(delta_t_c)) as n_delta,

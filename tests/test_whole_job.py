@@ -73,6 +73,28 @@ def test_shadow_contrast_is_tested_within_each_cover(spark, tmp_path):
     assert wood == ("wood", 1, None, None, None, None, None, "skipped")
 
 
+PIXELS = """image_id string, thermal_row short, thermal_col short, delta_t_c float, luhk_class_code int, luhk_class_name string, luhk_label_valid boolean,
+    surface_cover_class string, surface_cover_valid boolean, shadow_flag byte, shadow_valid boolean, analysis_eligible boolean, target_mask boolean"""
+
+
+def pixel(image, row, col, d, code, cover, valid=True):
+    return (image, row, col, d, code, f"class {code}", code is not None, cover, True, 0, True, valid, True)
+
+
+def test_summary_describes_the_drawn_sample(spark, tmp_path):
+    """One pixel of every tile of 8 x 8 is drawn, of formal pixels with a land-use label only."""
+    pixels = [pixel("a", r, 1, d, 1, "road") for r, d in ((1, 1.0), (9, 2.0), (17, 9.0), (25, 4.0), (26, 4.0))]
+    pixels += [pixel("a", 33, 1, 7.0, None, "road"), pixel("b", 1, 1, 5.0, 2, "road", valid=False)]
+    got = result(spark, tmp_path, "agg03_full_and_sample", pixel_samples=(pixels, PIXELS))
+    assert {tuple(r) for r in got} == {(1, 5, 1, 4.0, 4, 4.0, 3.0), (None, 1, 1, 7.0, 0, None, None), (2, 1, 1, 5.0, 0, None, None)}
+
+
+def test_manifest_counts_the_drawn_sample(spark, tmp_path):
+    pixels = [pixel("a", r, 1, 1.0, 1, "road") for r in (1, 2, 9)] + [pixel("a", 64, 1, 1.0, 1, "wood", valid=False)]
+    got = result(spark, tmp_path, "join12_manifest_counts", pixel_samples=(pixels, PIXELS))
+    assert sorted(map(tuple, got)) == [("a", "road", 3, 2), ("a", "wood", 1, 0)]
+
+
 #: What the registered SQL would have to say to cover the whole job: text in it and its replacement, or all of it.
 WHOLE = {
     "join07_pair_two_stage": [(" where record_id % 7 <> 0", ""), (" where record_id % 11 <> 0", "")],
