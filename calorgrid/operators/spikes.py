@@ -1,9 +1,11 @@
 """Implausible readings, judged against their own source.
 
-Per source the centre and spread are exact quantiles (see :mod:`calorgrid.operators.selection`). Residuals
-beyond an initial threshold are peaks; a generalised Pareto tail is fitted to the peaks of each source
-from mergeable sums, and the reading's tail risk decides. Stuck runs are found in bands of the source's
-order and stitched across band edges, so no task has to sort a whole hot source.
+Per source the level and spread are exact quantiles (see :mod:`calorgrid.operators.selection`). Residuals
+from the source's seasonal level beyond an initial threshold are peaks; to the peaks of each side of each
+source a generalised Pareto tail is fitted by probability-weighted moments, and the cutoff that a normal
+reading exceeds with a fixed risk makes the candidates. An exact rule may judge the candidates further: the
+cutoff never lies beyond what the rule would pass, so it loses nothing. Stuck runs are found in bands of the
+source's order and stitched across band edges, so no task has to sort a whole hot source.
 """
 
 from __future__ import annotations
@@ -16,15 +18,19 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from calorgrid.operators.selection import exact_quantiles
 from calorgrid.runtime import broadcast_if_small, scratch
 
+#: Bins of the excess per spread, from whose counts and sums the tails are fitted.
+BINS = 64
+
 
 @dataclass(frozen=True)
 class SpikeRule:
-    """``peak`` times the spread starts the tail, ``far`` times the spread is the exact rule for a spike."""
+    """``peak`` spreads start the tail, ``far`` spreads is the exact rule for a spike; the spread is at least ``floor``."""
 
     floor: float
     peak: float = 1.5
     far: float = 5.0
     risk: float = 1e-4
+    least: int = 10
 
 
 def clean(c: Column) -> Column:
@@ -33,63 +39,111 @@ def clean(c: Column) -> Column:
     return F.when(~F.isnan(d), d)
 
 
-def distinct_readings(df: DataFrame, source: str, order: Sequence[str], values: dict[str, Column], row_id: str) -> DataFrame:
+def distinct_readings(df: DataFrame, source: str, order: Sequence[str], values: dict[str, Column], row_id: str, season: Column | None = None) -> DataFrame:
     """One row per source and position (re-deliveries once); a row without position stands for itself.
 
-    Columns: ``source``, ``o0..``, ``lone`` and the values. Copies are combined map-side.
+    Columns: ``source``, ``o0..``, ``lone``, the values and ``season``. Copies are combined map-side.
     """
     lone = F.lit(False)
     for c in order:
         lone = lone | F.col(c).isNull()
     keys = [F.col(source).alias("source"), *[F.col(c).cast("long").alias(f"o{k}") for k, c in enumerate(order)], F.when(lone, F.col(row_id)).alias("lone")]
-    return df.groupBy(*keys).agg(*[F.min(clean(v)).alias(k) for k, v in values.items()])
+    season = F.lit(0) if season is None else season
+    return df.groupBy(*keys).agg(*[F.min(clean(v)).alias(k) for k, v in values.items()], F.min(season.cast("int")).alias("season"))
 
 
-def source_levels(readings: DataFrame, value: str, season: str | None = None) -> DataFrame:
-    """``source[, season], centre, spread, n_source`` from exact quantiles: the centre is the (seasonal) median, the spread the quartile distance of the residuals."""
-    q = {"q25": 0.25, "centre": 0.5, "q75": 0.75}
-    if season is None:
-        levels = exact_quantiles(readings, ["source"], F.col(value), q)
-        return levels.select("source", "centre", (F.col("q75") - F.col("q25")).alias("spread"), F.col("n_values").alias("n_source"))
-    centres = exact_quantiles(readings, ["source", season], F.col(value), {"centre": 0.5}).toDF("__s", "__t", "__n", "centre")
-    joined = readings.join(centres, readings["source"].eqNullSafe(centres["__s"]) & readings[season].eqNullSafe(centres["__t"]))
-    spread = exact_quantiles(joined, ["source"], F.col(value) - F.col("centre"), q).select(F.col("source").alias("__r"), (F.col("q75") - F.col("q25")).alias("spread"), F.col("n_values").alias("n_source"))
-    return centres.join(spread, F.col("__s").eqNullSafe(F.col("__r"))).select(F.col("__s").alias("source"), F.col("__t").alias(season), "centre", "spread", "n_source")
+def _by_reading(rules: dict[str, SpikeRule], field: str) -> Column:
+    """The rule's field of a row's ``reading``."""
+    out = F.lit(None)
+    for name, rule in rules.items():
+        out = F.when(F.col("reading") == name, F.lit(float(getattr(rule, field)))).otherwise(out)
+    return out.cast("double")
 
 
-def peaks_over_threshold(readings: DataFrame, value: str, rule: SpikeRule, season: str | None = None) -> DataFrame:
-    """The peaks: readings whose residual exceeds ``rule.peak`` spreads, with the tail fitted to their source.
+def long_form(readings: DataFrame, rules: dict[str, SpikeRule]) -> DataFrame:
+    """One row ``.., reading, v`` per reading that is there; all columns but the values stay."""
+    others = [c for c in readings.columns if c not in rules]
+    one = lambda name: F.struct(F.lit(name).alias("reading"), F.col(name).cast("double").alias("v"))
+    if len(rules) == 1:
+        name = next(iter(rules))
+        rows = readings.select(*others, F.lit(name).alias("reading"), F.col(name).cast("double").alias("v"))
+    else:
+        rows = readings.select(*others, F.explode(F.array(*map(one, rules))).alias("__x")).select(*others, "__x.*")
+    return rows.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
-    Adds ``centre, spread`` (at least ``rule.floor``), ``residual, tail_cutoff`` and ``tail_spike``: the
-    generalised Pareto law is fitted by moments to the source's exceedances, those beyond ``rule.far``
-    spreads left out of the fit, and the cutoff is exceeded with probability ``rule.risk`` by a normal
-    reading. With fewer than ten exceedances, or none that vary, the cutoff is ``rule.far`` spreads.
-    Infinite readings are peaks. Null sources are a source; null readings are no peaks.
-    """
-    levels = scratch(source_levels(readings, value, season))
-    n = levels.count()
-    keys = ["source"] + ([season] if season else [])
-    small = broadcast_if_small(levels.toDF(*[f"__{k}" if k in keys else k for k in levels.columns]), n)
+
+def _joined(rows: DataFrame, side: DataFrame, n: int, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    small = broadcast_if_small(side.toDF(*[f"__{c}" if c in keys else c for c in side.columns]), n)
     cond = F.lit(True)
     for k in keys:
-        cond = cond & readings[k].eqNullSafe(small[f"__{k}"])
-    judged = readings.where(F.col(value).isNotNull()).join(small, cond).drop(*[f"__{k}" for k in keys])
-    spread = F.greatest(F.col("spread"), F.lit(rule.floor))
-    judged = judged.withColumn("spread", spread).withColumn("residual", F.col(value) - F.col("centre"))
-    excess = F.abs("residual") - rule.peak * F.col("spread")
-    found = scratch(judged.where(excess > 0))
-    fit_on = F.when(F.abs("residual") <= rule.far * F.col("spread"), excess)
-    tails = found.groupBy("source").agg(F.count(fit_on).alias("k"), F.avg(fit_on).alias("m"), F.var_samp(fit_on).alias("v"), F.max("n_source").alias("n_source"))
-    ratio = F.col("m") * F.col("m") / F.col("v")
-    xi, sigma = 0.5 * (1 - ratio), 0.5 * F.col("m") * (ratio + 1)
-    odds = F.col("n_source") * rule.risk / F.col("k")
+        cond = cond & rows[k].eqNullSafe(small[f"__{k}"])
+    return rows.join(small, cond, how).drop(*[f"__{k}" for k in keys])
+
+
+def residuals(readings: DataFrame, rules: dict[str, SpikeRule]) -> DataFrame:
+    """The :func:`long_form` with ``centre, spread, n_source`` of the source, ``level``, the centre of its season, and ``scale``, the spread of the residuals.
+
+    The centre is the median, the spread the distance between the quartiles. A season's level is the mean of
+    its readings, those beyond ``peak`` spreads moved there; the scale is the quartile distance of a normal
+    law with the deviation of the moved readings from their levels, at most the spread. A source without
+    seasons has one level.
+    """
+    rows = long_form(readings, rules)
+    q = exact_quantiles(rows, ["source", "reading"], F.col("v"), {"q25": 0.25, "centre": 0.5, "q75": 0.75}, reread=True)
+    levels = scratch(q.select("source", "reading", "centre", F.greatest(F.col("q75") - F.col("q25"), _by_reading(rules, "floor")).alias("spread"), F.col("n_values").alias("n_source")))
+    judged = _joined(rows, levels, levels.count(), ["source", "reading"])
+    reach = _by_reading(rules, "peak") * F.col("spread")
+    moved = F.greatest(-reach, F.least(reach, F.col("v") - F.col("centre")))
+    seasons = judged.groupBy("source", "reading", "season").agg(F.first("centre").alias("c"), F.first("spread").alias("s"), F.avg(moved).alias("m"), F.count("*").alias("n"), F.var_pop(moved).alias("var"))
+    by = W.partitionBy("source", "reading")  # the seasons of a source
+    deviation = 1.349 * F.sqrt(F.sum(F.col("n") * F.col("var")).over(by) / F.sum("n").over(by))
+    scale = F.least(F.col("s"), F.greatest(deviation, _by_reading(rules, "floor")))
+    seasons = scratch(seasons.select("source", "reading", "season", (F.col("c") + F.col("m")).alias("level"), scale.alias("scale")))
+    return _joined(judged, seasons, seasons.count(), ["source", "reading", "season"])
+
+
+def fitted_tails(peaks: DataFrame, rules: dict[str, SpikeRule]) -> DataFrame:
+    """``source, reading, upper, beyond``: by how much a normal reading exceeds the tail's start with half the risk.
+
+    The generalised Pareto law of each side is fitted by probability-weighted moments over the excesses
+    within ``far`` spreads. The moments come from counts and sums in :data:`BINS` bins a source and side, so
+    no tail is gathered. Null where fewer than ``least`` peaks or equal ones only give no law.
+    """
+    excess = F.abs("residual") - F.col("start")
+    fit = peaks.where((excess > 0) & (F.abs("residual") <= _by_reading(rules, "far") * F.col("spread"))).withColumn("excess", excess).withColumn("upper", F.col("residual") > 0)
+    width = _by_reading(rules, "far") * F.col("spread") - F.col("start")
+    cell = F.least(F.floor(F.col("excess") / width * BINS), F.lit(BINS - 1))
+    side = ["source", "reading", "upper"]
+    bins = fit.groupBy(*side, cell.alias("cell")).agg(F.count("*").alias("c"), F.sum("excess").alias("s"), F.max("n_source").alias("n_source"))
+    bins = bins.withColumn("before", F.sum("c").over(W.partitionBy(*side).orderBy("cell")) - F.col("c")).withColumn("k", F.sum("c").over(W.partitionBy(*side)))
+    above = F.col("k") - F.col("before") - (F.col("c") + 1) / 2  # mean number of peaks above one of the bin
+    m = bins.groupBy(*side).agg(F.max("k").alias("k"), F.max("n_source").alias("n_source"), (F.sum("s") / F.max("k")).alias("a"), (F.sum(F.col("s") * above) / F.max("k") / F.greatest(F.lit(1), F.max("k") - 1)).alias("b"))
+    free = F.col("a") - 2 * F.col("b")
+    xi = 2 - F.try_divide(F.col("a"), free)
     xi = F.when(F.abs(xi) < 1e-6, F.lit(1e-6)).otherwise(xi)
-    beyond = F.when((F.col("k") >= 10) & (F.col("v") > 0) & (odds < 1), sigma / xi * (F.pow(odds, -xi) - 1))
-    tails = tails.select(F.col("source").alias("__s"), beyond.alias("__beyond"))
-    tails = broadcast_if_small(tails, n)
-    out = found.join(tails, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    cut = F.coalesce(rule.peak * F.col("spread") + F.col("__beyond"), rule.far * F.col("spread"))
-    return out.withColumn("tail_cutoff", cut).withColumn("tail_spike", F.abs("residual") > cut).drop("__beyond")
+    odds = F.col("n_source") * _by_reading(rules, "risk") / 2 / F.col("k")
+    law = (F.col("k") >= _by_reading(rules, "least")) & (free > 1e-12 * F.col("a")) & (odds < 1)
+    beyond = F.when(law, F.try_divide(2 * F.col("a") * F.col("b"), free) / xi * (F.pow(odds, -xi) - 1))
+    return m.select(*side, beyond.alias("beyond"))
+
+
+def candidates(readings: DataFrame, rules: dict[str, SpikeRule]) -> DataFrame:
+    """The readings beyond the cutoff of their source's tail, one row per reading: ``.., reading, v, centre, spread, level, residual, cutoff, bound``.
+
+    ``cutoff`` is the tail's start plus its excess at the fixed risk (``far`` spreads where there is no
+    law); it is lowered to ``bound``, ``far`` spreads less the distance between seasonal level and centre:
+    whatever lies more than ``far`` spreads from the centre lies beyond the bound, so none of it is lost.
+    Infinite readings are candidates. Null sources are a source; null and NaN readings are none.
+    """
+    rows = residuals(readings, rules).withColumn("residual", F.col("v") - F.col("level")).withColumn("start", _by_reading(rules, "peak") * F.col("scale"))
+    far = _by_reading(rules, "far") * F.col("spread")
+    # a hair less than the bound, for the rounding of the differences
+    rows = rows.withColumn("bound", (far - F.abs(F.col("level") - F.col("centre"))) * (1 - 1e-9) - 1e-9)
+    peaks = scratch(rows.where(F.abs("residual") > F.least("start", "bound")))
+    tails = scratch(fitted_tails(peaks, rules)).withColumnRenamed("upper", "up")
+    out = _joined(peaks.withColumn("up", F.col("residual") > 0), tails, tails.count(), ["source", "reading", "up"], "left").drop("up")
+    cut = F.coalesce(F.col("start") + F.col("beyond"), _by_reading(rules, "far") * F.col("spread"))
+    return out.withColumn("cutoff", cut).where(F.abs("residual") > F.least("cutoff", "bound")).drop("beyond", "start", "scale")
 
 
 def stuck(readings: DataFrame, value: str, order: int, band: int, least: int) -> DataFrame:
@@ -143,27 +197,25 @@ class Reading:
     impossible: str
 
 
-def odd_readings(df: DataFrame, *, row_id: str, source: str, order: Sequence[str], band: int, readings: dict[str, Reading], needed: Sequence[str] = ()) -> DataFrame:
+def odd_readings(df: DataFrame, *, row_id: str, source: str, order: Sequence[str], band: int, readings: dict[str, Reading], needed: Sequence[str] = (), season: Column | None = None) -> DataFrame:
     """``source, o0.., lone, reading, case`` of every odd distinct reading.
 
-    Cases: ``peak`` (tail law exceeded but within the exact rule), ``spike`` (farther from the source's
-    median than ``rule.far`` spreads), ``stuck`` and ``impossible``. ``needed`` are further columns the
-    conditions use. Missing and NaN readings are no cases; repeated deliveries count once; an empty table
-    gives no rows; a source with one reading has no spread and so the floor.
+    Cases: ``peak`` (a candidate of the tail within the exact rule), ``spike`` (a candidate farther from the
+    source's median than ``rule.far`` spreads), ``stuck`` and ``impossible``. ``needed`` are further columns
+    the conditions use, ``season`` numbers the seasons. Missing and NaN readings are no cases; repeated
+    deliveries count once; an empty table gives no rows; a source with one reading has no spread and so the
+    floor. One pass of levels and tails serves all readings of the table.
     """
     values = {c: F.col(c) for c in [*readings, *needed]}
-    base = scratch(distinct_readings(df, source, order, values, row_id))
+    base = scratch(distinct_readings(df, source, order, values, row_id, season))
     cols = ["source", *[f"o{k}" for k in range(len(order))], "lone"]
-    out = None
+    rules = {name: r.rule for name, r in readings.items()}
+    far = F.abs(F.col("v") - F.col("centre")) > _by_reading(rules, "far") * F.col("spread")
+    out = candidates(base.select(*cols, "season", *readings), rules).select(*cols, "reading", F.when(far, F.lit("spike")).otherwise(F.lit("peak")).alias("case"))
     for name, reading in readings.items():
-        tail = peaks_over_threshold(base, name, reading.rule)
-        far = F.abs("residual") > reading.rule.far * F.col("spread")
-        case = F.when(far, F.lit("spike")).when(F.col("tail_spike"), F.lit("peak"))
-        parts = [tail.withColumn("case", case).where("case is not null").select(*cols, "case")]
-        parts.append(base.where(F.expr(reading.impossible)).select(*cols, F.lit("impossible").alias("case")))
+        parts = [base.where(F.expr(reading.impossible)).select(*cols, F.lit("impossible").alias("case"))]
         if reading.stuck:
             parts.append(stuck(base, name, len(order), band, reading.stuck).withColumn("lone", F.lit(None).cast(base.schema["lone"].dataType)).select(*cols, F.lit("stuck").alias("case")))
         for part in parts:
-            part = part.withColumn("reading", F.lit(name))
-            out = part if out is None else out.unionByName(part)
+            out = out.unionByName(part.withColumn("reading", F.lit(name)))
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from calorgrid.operators import drift, near, selection, spikes, timenorm
-from calorgrid.runtime import table
+from calorgrid.runtime import scratch, side_by_side, table
 
 QUANTILES = {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}
 
@@ -18,18 +18,14 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.key_profile(table(spark, sf, "sample_coverage"), "group_name", "full_eligible_pixel_count", QUANTILES)
-
-
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Group names with at least 3 % of all rows or of all eligible pixels."""
-    return selection.hot_keys(_coverage(spark, sf), "group_name", 0.03).select("group_name")
+    return selection.hot_keys(table(spark, sf, "sample_coverage"), "group_name", "full_eligible_pixel_count", 0.03)
 
 
 def p3_group_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Rows, pixels and exact percentiles of every group name."""
-    return _coverage(spark, sf)
+    return selection.key_profile(table(spark, sf, "sample_coverage"), "group_name", "full_eligible_pixel_count", QUANTILES)
 
 
 TIME_FIELDS = {"text": "capture_datetime", "fallback": "capture_time_local", "zone": "capture_timezone", "assumption": "timezone_assumption", "source": "metadata_source"}
@@ -52,25 +48,30 @@ CAPTURE_READINGS = {
     "minimum_temperature_c": spikes.Reading(spikes.SpikeRule(0.2), 6, "minimum_temperature_c < -273.15"),
 }
 PIXEL_ORDER, CAPTURE_ORDER = ["thermal_row", "thermal_col"], ["capture_seq"]
+#: Seasons: bands of 64 rows within a capture (the frame's drift), hours of the day within a flight.
+PIXEL_SEASON, CAPTURE_SEASON = "thermal_row div 64", "hour(generated_at)"
 
 
 def _odd_pixels(df: DataFrame) -> DataFrame:
-    return spikes.odd_readings(df, row_id="row_id", source="image_id", order=PIXEL_ORDER, band=256, readings=PIXEL_READINGS)
+    return spikes.odd_readings(df, row_id="row_id", source="image_id", order=PIXEL_ORDER, band=256, readings=PIXEL_READINGS, season=F.expr(PIXEL_SEASON))
 
 
 def _odd_captures(df: DataFrame) -> DataFrame:
-    return spikes.odd_readings(df, row_id="qa_id", source="flight_id", order=CAPTURE_ORDER, band=4096, readings=CAPTURE_READINGS, needed=["valid_temperature_pixel_count"])
+    return spikes.odd_readings(df, row_id="qa_id", source="flight_id", order=CAPTURE_ORDER, band=4096, readings=CAPTURE_READINGS, needed=["valid_temperature_pixel_count"], season=F.expr(CAPTURE_SEASON))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of pixel_samples and subzero_qa with an odd reading, by the exact rules."""
-    out = None
-    for name, odd, source, order, row_id in (("pixel_samples", _odd_pixels, "image_id", PIXEL_ORDER, "row_id"), ("subzero_qa", _odd_captures, "flight_id", CAPTURE_ORDER, "qa_id")):
+    """Rows of pixel_samples and subzero_qa with an odd reading: the tails' candidates that the exact rule confirms, stuck and impossible ones."""
+    def rows(name, odd, source, order, row_id):
         df = table(spark, sf, name)
         cases = odd(df).where("case != 'peak'")
-        rows = spikes.delivered(df, cases, source, order, row_id).select(F.lit(name).alias("table_name"), "record_id")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        return spikes.delivered(df, cases, source, order, row_id).select(F.lit(name).alias("table_name"), "record_id")
+
+    # the tables do not wait for each other's small jobs
+    pixels, captures = side_by_side(
+        spark, lambda: rows("pixel_samples", _odd_pixels, "image_id", PIXEL_ORDER, "row_id"), lambda: rows("subzero_qa", _odd_captures, "flight_id", CAPTURE_ORDER, "qa_id")
+    )
+    return pixels.unionByName(captures)
 
 
 def p6_capture_cases(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,9 +84,9 @@ def p6_flight_tails(spark: SparkSession, sf: str) -> DataFrame:
     hour = F.regexp_extract("image_id", r"DJI_\d{8}(\d{2})", 1).try_cast("int")
     p = table(spark, sf, "pixel_samples").select("row_id", "flight_id", "image_id", "thermal_row", "thermal_col", "temperature_c", hour.alias("hour"))
     place = [F.col(c) for c in ("image_id", "thermal_row", "thermal_col")]
-    once = p.groupBy(F.col("flight_id").alias("source"), *place).agg(F.min(spikes.clean(F.col("temperature_c"))).alias("v"), F.min("hour").alias("hour"))
-    tail = spikes.peaks_over_threshold(once, "v", spikes.SpikeRule(0.2), season="hour").where("tail_spike")
-    return tail.select(F.col("source").alias("flight_id"), "image_id", "thermal_row", "thermal_col", "hour", F.round("residual", 4).alias("residual"), F.round("tail_cutoff", 4).alias("tail_cutoff"))
+    once = scratch(p.groupBy(F.col("flight_id").alias("source"), *place).agg(F.min(spikes.clean(F.col("temperature_c"))).alias("temperature_c"), F.min("hour").alias("season")))
+    tail = spikes.candidates(once, {"temperature_c": spikes.SpikeRule(0.2)})
+    return tail.select(F.col("source").alias("flight_id"), "image_id", "thermal_row", "thermal_col", F.col("season").alias("hour"), F.round("residual", 3).alias("residual"), F.round("cutoff", 3).alias("tail_cutoff"))
 
 
 EXPORT_FIELDS = {"payload": "payload", "feed": "feed", "file_id": "file_id", "seq": "file_seq", "key": "pixel_uid"}
@@ -117,6 +118,41 @@ def _odd_sql(table_name: str, row_id: str, source: str, order: list[str], value:
     ) odd on p.{source} = odd.src and {same}"""
 
 
+def _tail_sql(rows: str, place: str, floor: float) -> str:
+    """Candidates of ``rows`` (source, season, place.., v) by the fitted tails."""
+    return f"""select * from (with r as (select * from ({rows}) where v is not null and not isnan(v)),
+      q as (select source, quantile_cont(v, 0.5) m, greatest(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), {floor}) s, count(*) ns from r where isfinite(v) group by 1),
+      j as (select r.*, m, s, ns, greatest(-1.5 * s, least(1.5 * s, v - m)) w from r join q on r.source is not distinct from q.source),
+      l as (select source, season, any_value(m) + avg(w) lv, count(*) c, var_pop(w) vr from j group by 1, 2), d as (select source, sqrt(sum(c * vr) / sum(c)) d from l group by 1),
+      x as (select j.*, v - lv res, 1.5 * least(s, greatest(1.349 * d, {floor})) st, (5 * s - abs(lv - m)) * (1 - 1e-9) - 1e-9 bound from j join l on j.source is not distinct from l.source and j.season is not distinct from l.season join d on j.source is not distinct from d.source),
+      p as (select *, res > 0 up from x where abs(res) > least(st, bound)),
+      b as (select source, up, least(floor((abs(res) - st) / (5 * s - st) * 64), 63) cell, count(*) c, sum(abs(res) - st) sm, any_value(ns) ns from p where abs(res) > st and abs(res) <= 5 * s group by 1, 2, 3),
+      e as (select *, sum(c) over (partition by source, up order by cell) - c bf, sum(c) over (partition by source, up) k from b),
+      t as (select source, up, max(k) k, max(ns) ns, sum(sm) / max(k) a, sum(sm * (k - bf - (c + 1) / 2.0)) / max(k) / greatest(1, max(k) - 1) b from e group by 1, 2),
+      f as (select source, up, case when k >= 10 and a - 2 * b > 1e-12 * a and ns * 1e-4 / 2 / k < 1 then 2 * a * b / (a - 2 * b) / xi * (pow(ns * 1e-4 / 2 / k, -xi) - 1) end beyond
+        from (select *, case when abs(2 - a / (a - 2 * b)) < 1e-6 then 1e-6 else 2 - a / (a - 2 * b) end xi from t))
+      select p.source, {place}, p.season, v, m, s, res, coalesce(st + beyond, 5 * s) cutoff, bound from p left join f on p.source is not distinct from f.source and p.up = f.up) where abs(res) > least(cutoff, bound)"""
+
+
+def _capture_cases_sql() -> str:
+    """Every case of both readings of the captures."""
+    def clean(c):
+        return f"min(case when not isnan(cast({c} as double)) then cast({c} as double) end)"
+
+    base = f"select flight_id source, capture_seq, {clean('below_0_pixel_count')} n, {clean('minimum_temperature_c')} t, {clean('valid_temperature_pixel_count')} o, min(hour(generated_at)) season from subzero_qa group by 1, 2"
+    parts = []
+    for reading, c, floor, impossible in (("below_0_pixel_count", "n", 5.0, "n < 0 or n > o"), ("minimum_temperature_c", "t", 0.2, "t < -273.15")):
+        tail = _tail_sql(f"select source, capture_seq, season, {c} v from base", "capture_seq", floor)
+        parts.append(f"select source, capture_seq, '{reading}' as reading, case when abs(v - m) > 5 * s then 'spike' else 'peak' end as \"case\" from ({tail})")
+        parts.append(f"select source, capture_seq, '{reading}', 'impossible' from base where {impossible}")
+    runs = """select *, sum(b) over (partition by source order by capture_seq) run from (select *, case when t is null or lag(t) over w is null or t <> lag(t) over w then 1 else 0 end b from base where capture_seq is not null window w as (partition by source order by capture_seq))"""
+    parts.append(f"select source, capture_seq, 'minimum_temperature_c', 'stuck' from (select *, count(*) over (partition by source, run) k from ({runs})) where t is not null and k >= 6")
+    return f"with base as ({base}) select source as flight_id, capture_seq, reading, \"case\" from (" + " union all ".join(parts) + ")"
+
+
+_FLIGHT_PX = r"""select flight_id source, image_id, thermal_row, thermal_col, min(case when not isnan(temperature_c) then cast(temperature_c as double) end) v, min(try_cast(nullif(regexp_extract(image_id, 'DJI_\d{8}(\d{2})', 1), '') as int)) season
+  from pixel_samples group by 1, 2, 3, 4"""
+
 _PLACES = "(select record_id, image_id, gps_latitude lat, gps_longitude lon from validation_records where gps_latitude between -90 and 90 and gps_longitude between -180 and 180 and not (gps_latitude = 0 and gps_longitude = 0))"
 
 SQL = {
@@ -136,6 +172,8 @@ SQL = {
             + ")",
         ]
     ),
+    "p6_capture_cases": _capture_cases_sql(),
+    "p6_flight_tails": f"select source as flight_id, image_id, thermal_row, thermal_col, season as hour, round(res, 3) as residual, round(cutoff, 3) as tail_cutoff from ({_tail_sql(_FLIGHT_PX, 'image_id, thermal_row, thermal_col', 0.2)})",
     "p3_found": """
         with g as (select group_name, count(*) n, coalesce(sum(full_eligible_pixel_count), 0) t from sample_coverage group by 1),
         w as (select sum(n) n, sum(t) t from g)

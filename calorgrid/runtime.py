@@ -5,22 +5,32 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.util import inheritable_thread_target
 
-#: A side is broadcast only if it has been counted and holds at most this many (narrow) rows.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if it has been counted and its rows, at their schema's width, fit into this.
+BROADCAST_BYTES = 8 << 20
 
 _written: list[tuple[object, object]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Only a local session may do without either (tests); on a cluster a machine's own folder is refused.
+    """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
     own = spark.conf.get("calorgrid.shared.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="calorgrid-")
         spark.conf.set("calorgrid.shared.dir", own)
     return own.rstrip("/")
@@ -61,9 +71,15 @@ def _clean() -> None:
             return
 
 
+def row_bytes(df: DataFrame) -> int:
+    """Width of a row by its schema: 8 bytes a field, 64 for texts, 256 for nested values."""
+    width = {"string": 64, "binary": 64, "struct": 256, "array": 256, "map": 256}
+    return 16 + sum(width.get(f.dataType.typeName(), 8) for f in df.schema.fields)
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast when the counted ``rows`` prove the side small; otherwise leave the join to AQE."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows * row_bytes(df) <= BROADCAST_BYTES else df
 
 
 def spread(df: DataFrame, *keys: str, per_core: int = 4) -> DataFrame:
@@ -72,6 +88,12 @@ def spread(df: DataFrame, *keys: str, per_core: int = 4) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
 
 
+def side_by_side(spark: SparkSession, *builds):
+    """Results of independent builders whose jobs may run at the same time."""
+    with ThreadPoolExecutor(len(builds)) as pool:
+        return [job.result() for job in [pool.submit(inheritable_thread_target(spark)(build)) for build in builds]]
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name starting with ``stem`` that ``df`` does not have yet (names compare without case)."""
     taken, name, k = {c.lower() for c in df.columns}, stem, 0

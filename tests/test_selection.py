@@ -34,10 +34,11 @@ def test_profile_and_hot_keys(spark):
     p = S.key_profile(spark.createDataFrame(rows, "k string, v long"), "k", "v")
     got = {r["k"]: (r["n_rows"], r["total"], r["n_values"], r["median"]) for r in p.collect()}
     assert got == {"a": (60, 60, 60, 1.0), "b": (2, 2000, 2, 1000.0), None: (30, 150, 30, 5.0), "c": (8, 0, 0, None)}
-    assert sorted(r["k"] for r in S.hot_keys(p, "k", 0.5).collect()) == ["a", "b"]
+    df = spark.createDataFrame(rows, "k string, v long")
+    assert sorted(r["k"] for r in S.hot_keys(df, "k", "v", 0.5).collect()) == ["a", "b"]
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, v double, n_values long")
     assert S.key_profile(df, "k", "v").count() == 0
-    assert S.hot_keys(S.key_profile(df, "k", "v"), "k", 0.03).count() == 0
+    assert S.hot_keys(df, "k", "v", 0.03).count() == 0

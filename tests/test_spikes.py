@@ -64,22 +64,54 @@ def test_cases_with_a_hot_source_and_repeats(spark):
     assert "stuck" in cases["stuck", 3, 0] and {6000, 6001, 6002} <= got
 
 
+def tails(spark, rows, **rule):
+    """Candidates of one reading from (source, position, season, value)."""
+    df = spark.createDataFrame(rows, "source string, o0 long, season int, v double")
+    return {(r["source"], r["o0"]): r for r in S.candidates(df, {"v": S.SpikeRule(0.2, **rule)}).collect()}
+
+
 def test_tail_cutoff_flags_beyond_the_fitted_tail(spark):
     rng = np.random.default_rng(3)
-    rows = [(k, "a", k // 100, k % 100, float(v)) for k, v in enumerate(rng.normal(0, 1, 5000))] + [(9999, "a", 99, 99, 6.0)]
-    df = spark.createDataFrame([(*x, "", "") for x in rows], SCHEMA)
-    base = S.distinct_readings(df, "src", ["r", "c"], {"v": F.col("v")}, "id")
-    peaks = {(r["o0"], r["o1"]): r for r in S.peaks_over_threshold(base, "v", S.SpikeRule(0.2)).collect()}
-    assert peaks[99, 99]["tail_spike"]
-    assert 3 < peaks[99, 99]["tail_cutoff"] < 6
-    assert sum(r["tail_spike"] for r in peaks.values()) <= 4
-
-
-def test_seasonal_centres(spark):
-    rows = [("a", k % 2, 10.0 * (k % 2) + k / 1000) for k in range(200)]
-    df = spark.createDataFrame(rows, "source string, season int, v double")
-    lv = {r["season"]: r for r in S.source_levels(df, "v", "season").collect()}
-    assert abs(lv[0]["centre"] - 0.099) < 1e-9 and abs(lv[1]["centre"] - 10.1) < 1e-9 and lv[0]["spread"] < 0.2
+    rows = [("a", k, 0, float(v)) for k, v in enumerate(rng.normal(0, 1, 5000))] + [("a", 9999, 0, 6.0), ("a", 9998, 0, float("inf"))]
+    got = tails(spark, rows)
+    assert ("a", 9999) in got and ("a", 9998) in got and len(got) <= 5
+    assert 3 < got["a", 9999]["cutoff"] < 6
+
+
+def test_tails_are_fitted_apart_and_recover_the_law(spark):
+    """Exponential excesses above (shape 0, scale 1) and short ones below; quartiles held by a wide middle."""
+    rng = np.random.default_rng(5)
+    middle = np.linspace(-1, 1, 20_000)
+    up, down = 3 + rng.exponential(1.0, 2000), -3 - rng.random(2000) * 0.5
+    rows = [("a", k, 0, float(v)) for k, v in enumerate(np.concatenate([middle, up, down]))]
+    df = spark.createDataFrame(rows, "source string, o0 long, season int, v double")
+    rules = {"v": S.SpikeRule(0.2, peak=3 / 1.1, far=12.0)}
+    peaks = S.residuals(df, rules).withColumn("residual", F.col("v") - F.col("level")).withColumn("start", F.lit(3.0)).where("abs(residual) > 3")
+    beyond = {r["upper"]: r["beyond"] for r in S.fitted_tails(peaks, rules).collect()}
+    # an exponential law exceeds ln(share of peaks / half the risk)
+    assert abs(beyond[True] - np.log(2000 / 24_000 / 5e-5)) < 1.0
+    assert 0.35 < beyond[False] < 0.75
+
+
+def test_seasons_take_their_level_away(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", k, k % 2, float(4 * (k % 2) + v)) for k, v in enumerate(rng.normal(0, 0.3, 4000))]
+    rows += [("a", 9000, 0, 4.0), ("a", 9001, 1, 4.0)]
+    got = tails(spark, rows)
+    assert ("a", 9000) in got and ("a", 9001) not in got
+
+
+def test_no_reading_of_the_exact_rule_is_lost(spark):
+    """A season of odd readings only has its level among them, and still they are candidates."""
+    rng = np.random.default_rng(6)
+    rows = [("a", k, 0, float(v)) for k, v in enumerate(rng.normal(0, 1, 500))] + [("a", 1000 + k, 1, 12.0 + k) for k in range(5)]
+    rows += [("b", k, k % 24, float(v)) for k, v in enumerate(rng.standard_cauchy(800))]
+    got = tails(spark, rows)
+    for s in "ab":
+        v = np.array([x[3] for x in rows if x[0] == s])
+        q = np.quantile(v, [0.25, 0.5, 0.75])
+        far = {x[1] for x in rows if x[0] == s and abs(x[3] - q[1]) > 5 * max(0.2, q[2] - q[0])}
+        assert far and far <= {k for t, k in got if t == s}
 
 
 def test_empty(spark):
