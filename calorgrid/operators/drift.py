@@ -1,10 +1,11 @@
 """Schemas that drift between the files of a feed.
 
-Every file yields a catalogue of its fields and their types. Per feed and field the files are numbered,
-``lag`` finds where a field's presence is interrupted, and the islands are the field's lifespans; their
-starts and ends are the changes. An ending and a start at the same file are a renaming if the records in
-both files carry the same values under either name. The renamings form the alias table from which the
-casts into one consistent table are generated.
+One pass over the lines catalogues every file: its fields and how many values of which type each has. Per
+feed, field and type ``lag`` over the files' order finds where a presence is interrupted; the islands are
+the lifespans, and their starts and endings are the changes: a type that ends where another of the same
+field starts is a retyping, a field that ends where another starts is a renaming if the records in both
+files carry the same values under either name. Only for such fields are values read, in a second pass. The
+renamings form the alias table from which the casts into one consistent table are generated.
 """
 
 from __future__ import annotations
@@ -13,73 +14,93 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from calorgrid.runtime import broadcast_if_small, scratch, spread
 
-def _json_type(v: Column) -> Column:
-    """JSON type of a variant from the first word of its schema, null for a null."""
-    kinds = {"VOID": "null", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
-    known = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)]
-    return F.nullif(F.coalesce(known, F.lit("number")), F.lit("null"))
+#: JSON types by the first letters of a variant's schema; all others are numbers.
+KINDS = {"VOI": "null", "STR": "string", "BOO": "boolean", "ARR": "array", "OBJ": "object"}
 
 
-def fields(lines: DataFrame, payload: str, feed: str, file_id: str, seq: str, key: str) -> DataFrame:
-    """``feed, file_id, seq, key, field, jtype, value`` of every field of every valid line.
+def _parsed(lines: DataFrame, payload: str, feed: str, file_id: str, **more: Column) -> DataFrame:
+    """``__feed, __file, .., __v``: every line parsed; null if it is no JSON."""
+    rows = lines.select(F.col(feed).alias("__feed"), F.col(file_id).alias("__file"), F.col(payload).alias("__p"), *[c.alias(k) for k, c in more.items()])
+    return spread(rows, "__p", per_core=1).withColumn("__v", F.try_parse_json("__p")).drop("__p")
 
-    A line is valid if it is one JSON object. ``value`` is canonical: numbers and texts that read as a
-    number alike, other values by type and content. Explicit nulls have a field but no type or value.
+
+def field_types(lines: DataFrame, payload: str, feed: str, file_id: str) -> DataFrame:
+    """``feed, file_id, field, jtype, n``: how many values of each JSON type (null for null) the file's valid lines have.
+
+    A line is valid if it is one JSON object; others explode into nothing or into entries without a name.
+    Counts are combined map-side.
     """
-    rows = lines.select(F.col(feed).alias("feed"), F.col(file_id).alias("file_id"), F.col(seq).alias("seq"), F.col(payload).alias("__p"))
-    rows = spread(rows, "__p", per_core=1).withColumn("__v", F.try_parse_json("__p")).drop("__p")
-    # no filter on the parsed line, it would parse it again: lines that are no object explode into nothing or have no names
-    rows = rows.withColumn("key", F.try_variant_get("__v", f"$.{key}", "string"))
-    rows.createOrReplaceTempView("__calorgrid_lines")
-    ex = rows.sparkSession.sql("select l.feed, l.file_id, l.seq, l.key, e.key as field, e.value as v from __calorgrid_lines l, lateral variant_explode(l.__v) e where e.key is not null")
-    ex = ex.withColumn("jtype", _json_type(F.col("v"))).withColumn("text", F.col("v").cast("string"))
-    number = F.when(F.col("jtype").isin("number", "string"), F.col("text").try_cast("double"))
-    value = F.when(F.col("jtype").isNull(), None).when(number.isNotNull() & ~F.isnan(number), F.concat(F.lit("n:"), number.cast("string"))).otherwise(F.concat(F.substring("jtype", 1, 1), F.lit(":"), "text"))
-    return ex.select("feed", "file_id", "seq", "key", "field", "jtype", value.alias("value"))
-
-
-def catalogue(lines: DataFrame, entries: DataFrame, feed: str, file_id: str, seq: str) -> DataFrame:
-    """``feed, file_id, ordinal, prev_file, field, ftype``: each file's fields with the type of most non-null values (ties: by name)."""
+    each = "select l.__feed as feed, l.__file as file_id, e.key as field, substring(schema_of_variant(e.value), 1, 3) as kind from {rows} l, lateral variant_explode(l.__v) e where e.key is not null"
+    n = lines.sparkSession.sql(each, rows=_parsed(lines, payload, feed, file_id)).groupBy("feed", "file_id", "field", "kind").agg(F.count("*").alias("n"))
+    known = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    jtype = F.nullif(F.coalesce(known[F.col("kind")], F.lit("number")), F.lit("null"))
+    return n.groupBy("feed", "file_id", "field", jtype.alias("jtype")).agg(F.sum("n").alias("n"))
+
+
+def catalogue(lines: DataFrame, types: DataFrame, feed: str, file_id: str, seq: str) -> DataFrame:
+    """``feed, file_id, ordinal, prev_file, next_file, field, ftype``: each file's fields with the type of most non-null values (ties: by name; null where all are null)."""
     files = lines.select(F.col(feed).alias("feed"), F.col(file_id).alias("file_id"), F.col(seq).alias("seq")).distinct()
-    order = W.partitionBy("feed").orderBy("seq", "file_id")
+    order = W.partitionBy("feed").orderBy("seq", "file_id")  # the files of a feed
     files = files.withColumn("ordinal", F.row_number().over(order)).withColumn("prev_file", F.lag("file_id").over(order)).withColumn("next_file", F.lead("file_id").over(order))
-    typed = entries.groupBy("feed", "file_id", "field", "jtype").agg(F.count("*").alias("n"))
     # negative counts put the most frequent first; a null type never wins against a type
-    best = typed.groupBy("feed", "file_id", "field").agg(F.min(F.when(F.col("jtype").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("jtype").alias("t")))).alias("b"))
+    best = types.groupBy("feed", "file_id", "field").agg(F.min(F.when(F.col("jtype").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("jtype").alias("t")))).alias("b"))
     renamed = files.toDF("__f", "__i", "seq", "ordinal", "prev_file", "next_file")
-    return best.join(renamed, best["feed"].eqNullSafe(renamed["__f"]) & (best["file_id"] == renamed["__i"])).select("feed", "file_id", "seq", "ordinal", "prev_file", "next_file", "field", F.col("b.t").alias("ftype"))
+    return best.join(renamed, best["feed"].eqNullSafe(renamed["__f"]) & (best["file_id"] == renamed["__i"])).select("feed", "file_id", "ordinal", "prev_file", "next_file", "field", F.col("b.t").alias("ftype"))
 
 
 def lifespans(cat: DataFrame) -> DataFrame:
-    """The catalogue with ``starts`` / ``ends`` (the field is not in the file before / after) and the type before."""
-    w = W.partitionBy("feed", "field").orderBy("ordinal")
-    before, after = F.lag("ordinal").over(w), F.lead("ordinal").over(w)
-    goes_on = before == F.col("ordinal") - 1
-    return (
-        cat.withColumn("type_before", F.when(goes_on, F.lag("ftype").over(w)))
-        .withColumn("starts", F.col("prev_file").isNotNull() & ~F.coalesce(goes_on, F.lit(False)))
-        .withColumn("ends", F.col("next_file").isNotNull() & ~F.coalesce(after == F.col("ordinal") + 1, F.lit(False)))
-        .withColumn("island", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(w))
-    )
-
+    """Islands of successive files in which a feed's field has one type, in order.
 
-def renamings(entries: DataFrame, spans: DataFrame) -> DataFrame:
+    Columns: ``feed, field, ftype, island, first_file, last_file, n_files, file_before, file_after,
+    begins`` (the field is not in the file before, and there is one), ``type_before`` (of the lifespan that
+    ends right before) and ``ends`` (the field is not in the file after, and there is one).
+    """
+    by = W.partitionBy("feed", "field", "ftype").orderBy("ordinal")
+    fresh = F.coalesce(F.lag("ordinal").over(by) != F.col("ordinal") - 1, F.lit(True))
+    rows = cat.withColumn("__n", fresh.cast("int")).withColumn("island", F.sum("__n").over(by))
+    first, last = F.min_by("file_id", "ordinal"), F.max_by("file_id", "ordinal")
+    spans = rows.groupBy("feed", "field", "ftype", "island").agg(
+        F.min("ordinal").alias("__a"), F.max("ordinal").alias("__b"), first.alias("first_file"), last.alias("last_file"), F.count("*").alias("n_files"),
+        F.min_by("prev_file", "ordinal").alias("file_before"), F.max_by("next_file", "ordinal").alias("file_after"),
+    )
+    chain = W.partitionBy("feed", "field").orderBy("__a")
+    goes_on = F.coalesce(F.lag("__b").over(chain) == F.col("__a") - 1, F.lit(False))
+    followed = F.coalesce(F.lead("__a").over(chain) == F.col("__b") + 1, F.lit(False))
+    spans = spans.withColumn("type_before", F.when(goes_on, F.lag("ftype").over(chain))).withColumn("begins", F.col("file_before").isNotNull() & ~goes_on).withColumn("ends", F.col("file_after").isNotNull() & ~followed)
+    return spans.drop("__a", "__b")
+
+
+def _canonical(jtype: Column, text: Column) -> Column:
+    """A value to compare: numbers and texts that read as a number alike, other values by type and content."""
+    number = F.when(~jtype.isin("boolean", "array", "object"), text.try_cast("double"))
+    return F.when(number.isNotNull() & ~F.isnan(number), F.concat(F.lit("n:"), number.cast("string"))).otherwise(F.concat(F.substring(jtype, 1, 1), F.lit(":"), text))
+
+
+def renamings(lines: DataFrame, spans: DataFrame, payload: str, feed: str, file_id: str, key: str) -> DataFrame:
     """``feed, file_id, gone, new``: endings and starts at the same file whose shared records carry the same values.
 
     Records are matched by key; a value missing on one side says nothing. At least one record must agree
     and none disagree. Where several names fit, the pair with most agreeing records is taken, then by name;
-    each name is used once.
+    each name is used once. Only lines of files where one field ends and another starts are read again.
     """
-    gone = spans.where("ends").select("feed", F.col("next_file").alias("at"), F.col("file_id").alias("src"), "field")
-    new = spans.where("starts").select("feed", F.col("file_id").alias("at"), F.col("file_id").alias("src"), "field")
+    gone = spans.where("ends").select("feed", F.col("file_after").alias("at"), F.col("last_file").alias("src"), "field")
+    new = spans.where("begins").select("feed", F.col("first_file").alias("at"), F.col("first_file").alias("src"), "field")
     both = gone.select("feed", "at").intersect(new.select("feed", "at")).toDF("__f", "__a")
     sides = gone.withColumn("side", F.lit("g")).unionByName(new.withColumn("side", F.lit("n")))
     sides = sides.join(both, sides["feed"].eqNullSafe(both["__f"]) & (sides["at"] == both["__a"]), "left_semi")
     sides = scratch(sides.select(F.col("feed").alias("__f"), "at", F.col("src").alias("__s"), F.col("field").alias("__n"), "side"))
-    # only values of fields that end or start where others start or end are looked at, repeated lines folded
-    wanted = broadcast_if_small(sides, sides.count())
-    known = entries.where("key is not null and value is not null")
-    hit = known.join(wanted, known["feed"].eqNullSafe(wanted["__f"]) & (known["file_id"] == wanted["__s"]) & (known["field"] == wanted["__n"]))
+    n_sides = sides.count()
+    files = broadcast_if_small(sides.groupBy("__f", "__s").agg(F.collect_set("__n").alias("__wanted")), n_sides)  # a file's fields
+    mine = lines.join(files, F.col(feed).eqNullSafe(F.col("__f")) & (F.col(file_id) == F.col("__s")))
+    rows = _parsed(mine, payload, feed, file_id, __wanted=F.col("__wanted"))
+    rows = rows.withColumn("__key", F.try_variant_get("__v", f"$.{key}", "string"))
+    each = "select l.__feed as feed, l.__file as file_id, l.__key as key, e.key as field, substring(schema_of_variant(e.value), 1, 3) as kind, cast(e.value as string) as text from {rows} l, lateral variant_explode(l.__v) e where e.key is not null and array_contains(l.__wanted, e.key)"
+    known = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    entries = lines.sparkSession.sql(each, rows=rows).where("key is not null and text is not null")
+    entries = entries.select("feed", "file_id", "key", "field", _canonical(F.coalesce(known[F.col("kind")], F.lit("number")), F.col("text")).alias("value"))
+    wanted = broadcast_if_small(sides, n_sides)
+    hit = entries.join(wanted, entries["feed"].eqNullSafe(wanted["__f"]) & (entries["file_id"] == wanted["__s"]) & (entries["field"] == wanted["__n"]))
+    # repeated lines are folded; a record with contradicting values says nothing
     values = scratch(hit.groupBy("feed", "at", "side", "key", "field").agg(F.min("value").alias("v"), F.max("value").alias("w")).where("v = w").drop("w"))
     side = lambda tag: values.where(F.col("side") == tag).select(*[F.col(c).alias(f"{c}_{tag}") for c in ("feed", "at", "key", "field", "v")])
     g, n = side("g"), side("n")
@@ -104,13 +125,13 @@ def changes(lines: DataFrame, *, payload: str, feed: str, file_id: str, seq: str
     return history(lines, payload=payload, feed=feed, file_id=file_id, seq=seq, key=key)[0]
 
 
-def history(lines: DataFrame, *, payload: str, feed: str, file_id: str, seq: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The :func:`changes`, the lifespans and the alias table (``feed, file_id, gone, new``)."""
-    entries = scratch(fields(lines, payload, feed, file_id, seq, key))
-    spans = scratch(lifespans(catalogue(lines, entries, feed, file_id, seq)))
-    alias = scratch(renamings(entries, spans))
-    ended = spans.where("ends").select("feed", F.col("next_file").alias("file_id"), F.col("field").alias("gone"), F.col("ftype").alias("t0"))
-    begun = spans.where("starts").select("feed", "file_id", F.col("field").alias("new"), F.col("ftype").alias("t1"))
+def history(lines: DataFrame, *, payload: str, feed: str, file_id: str, seq: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The :func:`changes`, the :func:`lifespans`, the alias table (``feed, file_id, gone, new``) and the :func:`field_types`."""
+    types = scratch(field_types(lines, payload, feed, file_id))
+    spans = scratch(lifespans(catalogue(lines, types, feed, file_id, seq)))
+    alias = scratch(renamings(lines, spans, payload, feed, file_id, key))
+    ended = spans.where("ends").select("feed", F.col("file_after").alias("file_id"), F.col("field").alias("gone"), F.col("ftype").alias("t0"))
+    begun = spans.where("begins").select("feed", F.col("first_file").alias("file_id"), F.col("field").alias("new"), F.col("ftype").alias("t1"))
     lost = ended.join(alias, ended["feed"].eqNullSafe(alias["feed"]) & (ended["file_id"] == alias["file_id"]) & (ended["gone"] == alias["gone"]), "left").select(ended["feed"], ended["file_id"], ended["gone"], "t0", "new")
     came = begun.join(alias, begun["feed"].eqNullSafe(alias["feed"]) & (begun["file_id"] == alias["file_id"]) & (begun["new"] == alias["new"]), "left_anti")
     kinds = begun.select(F.col("feed").alias("__f"), F.col("file_id").alias("__i"), F.col("new").alias("__n"), "t1")
@@ -120,11 +141,11 @@ def history(lines: DataFrame, *, payload: str, feed: str, file_id: str, seq: str
     out = out.unionByName(row(came, F.lit(""), F.col("new"), "added"))
     out = out.unionByName(row(moved, F.col("gone"), F.col("new"), "renamed"))
     out = out.unionByName(row(moved.where("t0 != t1"), F.col("gone"), F.col("new"), "retyped"))
-    out = out.unionByName(row(spans.where("type_before != ftype"), F.col("field"), F.col("field"), "retyped"))
-    return out, spans, alias
+    same = spans.where("type_before != ftype").withColumn("file_id", F.col("first_file"))
+    return out.unionByName(row(same, F.col("field"), F.col("field"), "retyped")), spans, alias, types
 
 
-#: Field names beyond this are an error: the names become columns.
+#: Canonical fields that get a column of their own; what further fields hold stays together in one map column.
 MAX_FIELDS = 2000
 
 
@@ -133,7 +154,7 @@ def canonical_names(spans: DataFrame, alias: DataFrame) -> DataFrame:
 
     Labels spread along the renamings until none changes; the tables have one row per name.
     """
-    own = spans.groupBy("field").agg(F.count("*").alias("n")).select("field", F.struct((-F.col("n")).alias("n"), F.col("field").alias("name")).alias("label"))
+    own = spans.groupBy("field").agg(F.sum("n_files").alias("n")).select("field", F.struct((-F.col("n")).alias("n"), F.col("field").alias("name")).alias("label"))
     edges = alias.select(F.col("gone").alias("a"), F.col("new").alias("b")).distinct()
     edges = scratch(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = scratch(own)
@@ -146,26 +167,28 @@ def canonical_names(spans: DataFrame, alias: DataFrame) -> DataFrame:
             return labels.select("field", F.col("label.name").alias("canonical"))
 
 
-def consistent_table(lines: DataFrame, *, payload: str, feed: str, file_id: str, seq: str, key: str, keep: list[str]) -> DataFrame:
+def consistent_table(lines: DataFrame, *, payload: str, feed: str, file_id: str, seq: str, key: str, keep: list[str], most: int = MAX_FIELDS) -> DataFrame:
     """All valid lines as one table: the columns ``keep`` and one column per canonical field, cast to its type.
 
     The casts are generated from the alias table: every name of a field is read, wrapped values
     (``{"value": x}`` and ``[x]``) are unwrapped, numbers and truth values are cast where the field's most
     frequent scalar type asks for it, else the text is kept; what cannot be cast is null. Where a line
     carries a field under two names the canonical one counts. A field's column that clashes with ``keep``
-    gets the suffix ``_field``.
+    gets the suffix ``_field``. The ``most`` canonical fields of most values get columns; if there are more,
+    the values of the others come in the map ``more_fields`` under their own names.
     """
-    entries = scratch(fields(lines, payload, feed, file_id, seq, key))
-    spans = scratch(lifespans(catalogue(lines, entries, feed, file_id, seq)))
-    names = scratch(canonical_names(spans, scratch(renamings(entries, spans))))
-    typed = entries.where("jtype in ('string', 'number', 'boolean')").join(names, "field").groupBy("canonical", "jtype").agg(F.count("*").alias("n"))
-    best = typed.groupBy("canonical").agg(F.min_by("jtype", F.struct((-F.col("n")).alias("n"), "jtype")).alias("t")).limit(MAX_FIELDS + 1).collect()
-    types = {r["canonical"]: r["t"] for r in best}
-    aliases: dict[str, list[str]] = {}
-    for r in names.limit(MAX_FIELDS + 1).collect():
-        aliases.setdefault(r["canonical"], []).append(r["field"])
-    if sum(map(len, aliases.values())) > MAX_FIELDS:
-        raise ValueError(f"more than {MAX_FIELDS} field names")
+    _, spans, alias, types = history(lines, payload=payload, feed=feed, file_id=file_id, seq=seq, key=key)
+    names = scratch(canonical_names(spans, alias))
+    sizes = types.join(names, "field").groupBy("canonical").agg(F.sum("n").alias("n"))
+    chosen = scratch(sizes.orderBy(F.desc("n"), "canonical").limit(most + 1))
+    kept = [r["canonical"] for r in chosen.orderBy(F.desc("n"), "canonical").collect()]  # at most most + 1 names
+    more, kept = len(kept) > most, kept[:most]
+    named = names.where(F.col("canonical").isin(kept))
+    typed = types.where("jtype in ('string', 'number', 'boolean')").join(named, "field").groupBy("canonical", "jtype").agg(F.sum("n").alias("n"))
+    kinds = {r["canonical"]: r["t"] for r in typed.groupBy("canonical").agg(F.min_by("jtype", F.struct((-F.col("n")).alias("n"), "jtype")).alias("t")).collect()}
+    aliases: dict[str, list[str]] = {c: [] for c in kept}
+    for r in named.collect():  # the names of the fields that get columns
+        aliases[r["canonical"]].append(r["field"])
     valid = F.try_parse_json(F.col(payload))
     rows = lines.where(valid.isNotNull() & F.schema_of_variant(valid).startswith("OBJECT"))
     rows = rows.withColumn("__m", F.from_json(payload, "map<string,string>"))
@@ -175,7 +198,10 @@ def consistent_table(lines: DataFrame, *, payload: str, feed: str, file_id: str,
         order = [canonical, *sorted(a for a in aliases[canonical] if a != canonical)]
         raw = F.coalesce(*[F.col("__m")[a] for a in order])
         bare = F.when(raw.startswith("{"), F.coalesce(F.get_json_object(raw, "$.value"), raw)).when(raw.startswith("["), F.coalesce(F.get_json_object(raw, "$[0]"), raw)).otherwise(raw)
-        cast = {"number": "double", "boolean": "boolean"}.get(types.get(canonical))
+        cast = {"number": "double", "boolean": "boolean"}.get(kinds.get(canonical))
         name = f"{canonical}_field" if canonical.lower() in taken else canonical
         out.append((bare.try_cast(cast) if cast else bare).alias(name))
+    if more:
+        own = F.array(*[F.lit(a) for names_of in aliases.values() for a in names_of])
+        out.append(F.map_filter("__m", lambda k, _: ~F.array_contains(own, k)).alias("more_fields"))
     return rows.select(*keep, *out)

@@ -97,12 +97,18 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return drift.changes(table(spark, sf, "raw_exports"), **EXPORT_FIELDS)
 
 
+def p7_lifespans(spark: SparkSession, sf: str) -> DataFrame:
+    """Every lifespan of a field and type in a feed: from which file to which, and how it begins and ends."""
+    spans = drift.history(table(spark, sf, "raw_exports"), **EXPORT_FIELDS)[1]
+    return spans.select("feed", "field", F.coalesce("ftype", F.lit("")).alias("json_type"), F.col("island").cast("int").alias("island"), "first_file", "last_file", F.col("n_files").cast("int").alias("n_files"), "begins", "ends")
+
+
 def p7_records(spark: SparkSession, sf: str) -> DataFrame:
     """Every valid exported line in one consistent table."""
     return drift.consistent_table(table(spark, sf, "raw_exports"), keep=["record_id", "feed", "file_id", "file_seq", "line_no"], **EXPORT_FIELDS)
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_group_profile": p3_group_profile, "p5_found": p5_found, "p5_capture_instants": p5_capture_instants, "p6_found": p6_found, "p6_capture_cases": p6_capture_cases, "p6_flight_tails": p6_flight_tails, "p7_found": p7_found, "p7_records": p7_records}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_group_profile": p3_group_profile, "p5_found": p5_found, "p5_capture_instants": p5_capture_instants, "p6_found": p6_found, "p6_capture_cases": p6_capture_cases, "p6_flight_tails": p6_flight_tails, "p7_found": p7_found, "p7_lifespans": p7_lifespans, "p7_records": p7_records}
 
 
 
@@ -153,9 +159,32 @@ def _capture_cases_sql() -> str:
 _FLIGHT_PX = r"""select flight_id source, image_id, thermal_row, thermal_col, min(case when not isnan(temperature_c) then cast(temperature_c as double) end) v, min(try_cast(nullif(regexp_extract(image_id, 'DJI_\d{8}(\d{2})', 1), '') as int)) season
   from pixel_samples group by 1, 2, 3, 4"""
 
+_EXPORT_SQL = """with lines as (select feed, file_id, file_seq, cast(payload as json) p from raw_exports where json_valid(payload) and json_type(payload) = 'OBJECT'),
+    files as (select *, row_number() over w o, lag(file_id) over w prev, lead(file_id) over w nxt from (select distinct feed, file_id, file_seq from raw_exports) window w as (partition by feed order by file_seq, file_id)),
+    pairs as (select feed, file_id, p, unnest(json_keys(p)) k from lines),
+    cells as (select feed, file_id, k, json_extract_string(p, '$.pixel_uid') uid, json_type(p, '$."' || k || '"') jt, json_extract_string(p, '$."' || k || '"') x from pairs),
+    typed as (select feed, file_id, k, uid, x, case when jt = 'NULL' then null when jt = 'VARCHAR' then 'string' when jt in ('BOOLEAN', 'ARRAY', 'OBJECT') then lower(jt) else 'number' end t from cells),
+    cat as (select c.*, f.o, f.prev, f.nxt from (select feed, file_id, k, arg_min(t, struct_pack(n := -n, t := t)) filter (where t is not null) t from (select feed, file_id, k, t, count(*) n from typed group by all) group by 1, 2, 3) c join files f on f.feed = c.feed and f.file_id = c.file_id)"""
+
+_CHANGES_SQL = """, gone as (select a.feed, a.nxt f, a.file_id src, a.k, a.t from cat a where a.nxt is not null and not exists (from cat b where b.feed = a.feed and b.o = a.o + 1 and b.k = a.k)),
+    new as (select a.feed, a.file_id f, a.file_id src, a.k, a.t from cat a where a.prev is not null and not exists (from cat b where b.feed = a.feed and b.o = a.o - 1 and b.k = a.k)),
+    vals as (select feed, file_id, uid, k, min(v) v from (select feed, file_id, uid, k, case when t in ('number', 'string') and try_cast(x as double) is not null then 'n:' || cast(try_cast(x as double) as varchar) else t || ':' || x end v from typed where t is not null and uid is not null and x is not null) group by 1, 2, 3, 4 having count(distinct v) = 1),
+    agree as (select g.f, g.k gk, g.t gt, n.k nk, n.t nt, count(*) eq from gone g join new n using (feed, f) join vals a on a.file_id = g.src and a.k = g.k join vals b on b.file_id = n.src and b.k = n.k and b.uid = a.uid group by all having count(*) filter (where a.v <> b.v) = 0),
+    one as (select * from agree qualify row_number() over (partition by f, gk order by eq desc, nk) = 1), fit as (select * from one qualify row_number() over (partition by f, nk order by eq desc, gk) = 1)
+    select f as file_id, k as field_before, '' as field_after, 'removed' as change_kind from gone g where not exists (from fit where fit.f = g.f and fit.gk = g.k)
+    union all select f, '', k, 'added' from new n where not exists (from fit where fit.f = n.f and fit.nk = n.k)
+    union all select f, gk, nk, 'renamed' from fit union all select f, gk, nk, 'retyped' from fit where gt <> nt
+    union all select b.file_id, b.k, b.k, 'retyped' from cat a join cat b on a.feed = b.feed and a.k = b.k and b.o = a.o + 1 where a.t <> b.t"""
+
+_SPANS_SQL = """, isl as (select *, o - row_number() over (partition by feed, k, t order by o) g from cat), sp as (select feed, k, t, min(o) a, max(o) b, arg_min(file_id, o) first_file, arg_max(file_id, o) last_file, count(*) n, arg_min(struct_pack(x := prev), o).x pv, arg_max(struct_pack(x := nxt), o).x nx from isl group by feed, k, t, g)
+    select feed, k as field, coalesce(t, '') as json_type, cast(row_number() over (partition by feed, k, t order by a) as int) as island, first_file, last_file, cast(n as int) as n_files,
+      pv is not null and not coalesce(lag(b) over w = a - 1, false) as begins, nx is not null and not coalesce(lead(a) over w = b + 1, false) as ends from sp window w as (partition by feed, k order by a)"""
+
 _PLACES = "(select record_id, image_id, gps_latitude lat, gps_longitude lon from validation_records where gps_latitude between -90 and 90 and gps_longitude between -180 and 180 and not (gps_latitude = 0 and gps_longitude = 0))"
 
 SQL = {
+    "p7_found": _EXPORT_SQL + _CHANGES_SQL,
+    "p7_lifespans": _EXPORT_SQL + _SPANS_SQL,
     "p1_found": f"""
         select distinct 'near' as relation, a.record_id as left_id, b.record_id as right_id from {_PLACES} a join {_PLACES} b on a.record_id < b.record_id and a.image_id <> b.image_id and abs(a.lat - b.lat) < 0.0002
         where 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 12

@@ -59,3 +59,18 @@ def test_consistent_table(spark):
     name = "temp" if "temp" in out.columns else "t"
     assert [r[name] for r in rows if r["uid"] == "p4"] == [4.5] * 3
     assert {r["kind"] for r in rows} == {"a"} and {r["flag"] for r in rows} == {True}
+
+
+def test_fields_beyond_the_columns_come_in_a_map(spark):
+    lines = [{"uid": f"p{k}", "a": k, **{f"x{k}": str(k)}} for k in range(5)]
+    out = drift.consistent_table(frame(spark, [("f", 1, 1, lines)]), keep=["rid"], most=2, **ARGS)
+    assert sorted(out.columns) == ["a", "more_fields", "rid", "uid"]
+    assert {r["uid"]: r["more_fields"] for r in out.collect()} == {f"p{k}": {f"x{k}": str(k)} for k in range(5)}
+
+
+def test_lifespans_by_type(spark):
+    one, text, none = [{"uid": "a", "x": 1}], [{"uid": "a", "x": "1"}], [{"uid": "a"}]
+    files = [("f", k, k, x) for k, x in enumerate([one, one, text, none, one])]
+    spans = drift.history(frame(spark, files), **ARGS)[1].where("field = 'x'").collect()
+    got = sorted((r["first_file"], r["last_file"], r["ftype"], r["island"], r["n_files"], r["begins"], r["type_before"], r["ends"]) for r in spans)
+    assert got == [(0, 1, "number", 1, 2, False, None, False), (2, 2, "string", 1, 1, False, "number", True), (4, 4, "number", 2, 1, True, None, False)]
