@@ -17,36 +17,61 @@ def formal(pixels: DataFrame) -> DataFrame:
     return pixels.where(F.col("analysis_eligible") & F.col("target_mask") & d.isNotNull() & ~F.isnan(d) & (F.abs(d) < float("inf")))
 
 
-def pixel_strata(pixels: DataFrame) -> DataFrame:
-    """``analysis_family, group_name, image_id, pixel_uid, arrival_batch`` of every formal pixel, once per stratum."""
+def formal_pixels(pixels: DataFrame) -> DataFrame:
+    """``image_id, thermal_row, thermal_col, luhk, cover, arrival_batch`` of every formal pixel, once; the batch is that of its first delivery."""
     luhk = F.when(F.col("luhk_label_valid"), F.concat(F.col("luhk_class_code").cast("string"), F.lit(" | "), F.col("luhk_class_name")))
     cover = F.when(F.col("surface_cover_valid"), F.col("surface_cover_class"))
     rows = formal(pixels).select("image_id", "thermal_row", "thermal_col", luhk.alias("luhk"), cover.alias("cover"), "ingest_batch")
-    once = rows.groupBy("image_id", "thermal_row", "thermal_col", "luhk", "cover").agg(F.min("ingest_batch").alias("arrival_batch"))
-    group = lambda family, name: F.struct(F.lit(family).alias("analysis_family"), name.alias("group_name"))
-    groups = F.array(group("luhk", F.col("luhk")), group("surface_cover", F.col("cover")), group("image_comparison", F.col("image_id")))
-    once = once.select("image_id", "thermal_row", "thermal_col", "arrival_batch", F.explode(F.filter(groups, lambda g: g["group_name"].isNotNull())).alias("g"))
-    uid = F.format_string("%s__r%04d_c%04d", "image_id", "thermal_row", "thermal_col")
-    return once.select("g.analysis_family", "g.group_name", "image_id", uid.alias("pixel_uid"), "arrival_batch")
+    return rows.groupBy("image_id", "thermal_row", "thermal_col", "luhk", "cover").agg(F.min("ingest_batch").alias("arrival_batch"))
+
+
+def stratum_rates(manifest: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The frozen rate of each stratum and seed of the manifest; ``known`` are rates frozen before."""
+    return sample.freeze_rates(manifest, on=STRATUM, seed="sampling_seed", eligible="eligible_pixel_count", sampled="sampled_pixel_count", as_of="as_of_batch", row_id="manifest_id", known=known)
 
 
-def stratum_rates(manifest: DataFrame) -> DataFrame:
-    """The rate of each stratum and seed, frozen by its earliest manifest row with counts that can be met.
+def pixel_sample(pixels: DataFrame, rates: DataFrame) -> DataFrame:
+    """``STRATUM, sampling_seed, arrival_batch, pixel_uid`` of the frozen sample of every stratum and seed with a rate.
 
-    Later rows do not change it, so selected pixels stay selected; where no row can be met, all pixels are taken.
+    The pixels are laid by capture once, narrow; a capture's rates come beside them as one list (its strata
+    are few), so that neither the strata a pixel belongs to nor their batches are shuffled. A batch of a
+    stratum is part of a capture's grid, so ranking it is bounded.
     """
-    e, s = F.col("eligible_pixel_count"), F.col("sampled_pixel_count")
-    rows = manifest.where((e > 0) & (s > 0)).withColumn("met", s <= e)
-    first = F.struct(F.when(F.col("met"), 0).otherwise(1).alias("a"), F.col("as_of_batch").alias("b"), F.col("manifest_id").alias("c"))
-    return rows.groupBy(*STRATUM, "sampling_seed").agg(F.min_by(s / e, first).alias("rate"))
+    rates = sample.usable(rates, "rate").where(" and ".join(f"{c} is not null" for c in STRATUM))
+    lists = rates.groupBy("image_id").agg(F.collect_list(F.struct("analysis_family", "group_name", "sampling_seed", "rate")).alias("__rates"))
+    rows = formal_pixels(pixels).repartition("image_id").join(lists, "image_id")
+    group = F.create_map(F.lit("luhk"), F.col("luhk"), F.lit("surface_cover"), F.col("cover"), F.lit("image_comparison"), F.col("image_id"))
+    rows = rows.withColumn("__groups", group).withColumn("__s", F.explode(F.filter("__rates", lambda r: r["group_name"] == F.col("__groups")[r["analysis_family"]])))
+    uid = F.format_string("%s__r%04d_c%04d", "image_id", "thermal_row", "thermal_col")
+    rows = rows.select("__s.analysis_family", "__s.group_name", "image_id", "__s.sampling_seed", "__s.rate", "arrival_batch", uid.alias("pixel_uid"))
+    picked = sample.ranked_bottom_k(rows, [*STRATUM, "sampling_seed", "arrival_batch"], name="pixel_uid", rate="rate", seed="sampling_seed")
+    return picked.select(*STRATUM, "sampling_seed", "arrival_batch", "pixel_uid")
 
 
 def p2_pixel_sample(spark: SparkSession, sf: str) -> DataFrame:
     """The sampled pixels of every manifest stratum and seed with the batch that first delivered them."""
-    picked = sample.frozen_bottom_k(
-        pixel_strata(table(spark, sf, "pixel_samples")), stratum_rates(table(spark, sf, "sampling_manifest")), on=STRATUM, name="pixel_uid", batch="arrival_batch", rate="rate", seed="sampling_seed"
-    )
-    return picked.select(*STRATUM, "sampling_seed", "arrival_batch", "pixel_uid")
+    return pixel_sample(table(spark, sf, "pixel_samples"), stratum_rates(table(spark, sf, "sampling_manifest")))
+
+
+def p2_growth(spark: SparkSession, sf: str) -> DataFrame:
+    """Per manifest batch what the sample was when pixels and manifest had arrived up to it: strata, pixels, and pixels lost since the batch before.
+
+    Every state is drawn from the tables as they were, none from another state.
+    """
+    pixels, manifest = table(spark, sf, "pixel_samples"), table(spark, sf, "sampling_manifest")
+    batches = sorted(r[0] for r in manifest.select("as_of_batch").where("as_of_batch is not null").distinct().collect())  # one per manifest
+    states = None
+    for k, b in enumerate(batches):
+        state = pixel_sample(pixels.where(F.col("ingest_batch") <= b), stratum_rates(manifest.where(F.col("as_of_batch") <= b))).withColumn("__at", F.lit(k))
+        states = state if states is None else states.unionByName(state)
+    if states is None:
+        return spark.createDataFrame([], "as_of_batch int, n_strata long, n_selected long, n_lost long")
+    held = states.groupBy(*STRATUM, "sampling_seed", "pixel_uid").agg(F.collect_set("__at").alias("__held"))  # at most one entry per batch
+    stratum = F.struct(*STRATUM, "sampling_seed")
+    each = held.select(stratum.alias("s"), "__held", F.explode(F.array_distinct(F.flatten(F.transform("__held", lambda k: F.array(k, k + 1))))).alias("at")).where(F.col("at") < len(batches))
+    now = F.array_contains("__held", F.col("at"))
+    out = each.groupBy("at").agg(F.countDistinct(F.when(now, F.col("s"))).alias("n_strata"), F.count_if(now).alias("n_selected"), F.count_if(~now).alias("n_lost"))
+    return out.select(F.element_at(F.array(*map(F.lit, batches)), F.col("at") + 1).alias("as_of_batch"), "n_strata", "n_selected", "n_lost")
 
 
 def p2_manifest_fit(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,35 +169,49 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_reading_levels(spark, sf).where("demanding").select("doc_id")
 
 
-QUERIES = {"p2_pixel_sample": p2_pixel_sample, "p2_manifest_fit": p2_manifest_fit, "p4_found": p4_found, "p4_class_percentiles": p4_class_percentiles, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_reading_levels": p10_reading_levels}
+QUERIES = {"p2_pixel_sample": p2_pixel_sample, "p2_manifest_fit": p2_manifest_fit, "p2_growth": p2_growth, "p4_found": p4_found, "p4_class_percentiles": p4_class_percentiles, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_reading_levels": p10_reading_levels}
 
-_STRATA_SQL = """
+def _strata_sql(pixels: str = "(select *, 0 as st from pixel_samples)", manifest: str = "(select *, 0 as st from sampling_manifest)") -> str:
+    """Pixels of every stratum and seed with rank and quota in their batch, for each state ``at`` of the tables."""
+    return f"""
     with formal as (
-      select image_id, thermal_row, thermal_col, min(ingest_batch) as arrival_batch,
+      select st, image_id, thermal_row, thermal_col, min(ingest_batch) as arrival_batch,
         case when luhk_label_valid then cast(luhk_class_code as varchar) || ' | ' || luhk_class_name end as luhk,
         case when surface_cover_valid then surface_cover_class end as cover
-      from pixel_samples where analysis_eligible and target_mask and isfinite(delta_t_c) group by all),
+      from {pixels} where analysis_eligible and target_mask and isfinite(delta_t_c) group by all),
     strata as (
       select 'luhk' as analysis_family, luhk as group_name, * from formal where luhk is not null union all
       select 'surface_cover', cover, * from formal where cover is not null union all
       select 'image_comparison', image_id, * from formal),
-    named as (select analysis_family, group_name, image_id, arrival_batch, image_id || '__r' || lpad(cast(thermal_row as varchar), 4, '0') || '_c' || lpad(cast(thermal_col as varchar), 4, '0') as pixel_uid from strata),
+    named as (select st, analysis_family, group_name, image_id, arrival_batch, image_id || '__r' || lpad(cast(thermal_row as varchar), 4, '0') || '_c' || lpad(cast(thermal_col as varchar), 4, '0') as pixel_uid from strata),
     rates as (
-      select analysis_family, group_name, image_id, sampling_seed, least(1.0, arg_min(sampled_pixel_count / eligible_pixel_count, (sampled_pixel_count > eligible_pixel_count)::bigint * 1000000000000000 + as_of_batch::bigint * 1000000000000 + manifest_id)) as rate
-      from sampling_manifest where eligible_pixel_count > 0 and sampled_pixel_count > 0 group by all),
+      select st, analysis_family, group_name, image_id, sampling_seed, arg_min(sampled_pixel_count / eligible_pixel_count, struct_pack(a := as_of_batch, i := manifest_id)) as rate
+      from {manifest} where sampled_pixel_count > 0 and sampled_pixel_count <= eligible_pixel_count group by all),
     ranked as (
       select n.*, r.sampling_seed,
-        row_number() over (partition by n.analysis_family, n.group_name, n.image_id, r.sampling_seed, arrival_batch order by md5(coalesce(cast(r.sampling_seed as varchar), '') || '|' || pixel_uid), pixel_uid) as rn,
-        ceil(r.rate * count(*) over (partition by n.analysis_family, n.group_name, n.image_id, r.sampling_seed, arrival_batch) - 1e-9) as k
-      from named n join rates r on n.analysis_family = r.analysis_family and n.group_name = r.group_name and n.image_id = r.image_id)"""
+        row_number() over (partition by st, n.analysis_family, n.group_name, n.image_id, r.sampling_seed, arrival_batch order by md5(coalesce(cast(r.sampling_seed as varchar), '') || '|' || pixel_uid), pixel_uid) as rn,
+        ceil(r.rate * count(*) over (partition by st, n.analysis_family, n.group_name, n.image_id, r.sampling_seed, arrival_batch) - 1e-9) as k
+      from named n join rates r using (st) where n.analysis_family = r.analysis_family and n.group_name = r.group_name and n.image_id = r.image_id)"""
+
+
+_STATES = "(select t.*, c.st from {} t join (select distinct as_of_batch as st from sampling_manifest where as_of_batch is not null) c on t.{} <= c.st)"
+_GROWTH_SQL = (
+    _strata_sql(_STATES.format("pixel_samples", "ingest_batch"), _STATES.format("sampling_manifest", "as_of_batch"))
+    + """, picks as (select st, analysis_family, group_name, image_id, sampling_seed, pixel_uid from ranked where rn <= k),
+    steps as (select st, lag(st) over (order by st) as before from (select distinct st from picks)),
+    lost as (select s.st, count(*) n from picks p join steps s on s.before = p.st where not exists (select 1 from picks q where q.st = s.st and q.analysis_family = p.analysis_family
+      and q.group_name = p.group_name and q.image_id = p.image_id and q.sampling_seed is not distinct from p.sampling_seed and q.pixel_uid = p.pixel_uid) group by 1)
+    select p.st as as_of_batch, count(distinct (analysis_family, group_name, image_id, sampling_seed)) as n_strata, count(*) as n_selected, coalesce(any_value(l.n), 0) as n_lost from picks p left join lost l on l.st = p.st group by 1"""
+)
 
 SQL = {
-    "p2_pixel_sample": _STRATA_SQL + " select analysis_family, group_name, image_id, sampling_seed, arrival_batch, pixel_uid from ranked where rn <= k",
-    "p2_manifest_fit": _STRATA_SQL
+    "p2_pixel_sample": _strata_sql() + " select analysis_family, group_name, image_id, sampling_seed, arrival_batch, pixel_uid from ranked where rn <= k",
+    "p2_manifest_fit": _strata_sql()
     + """, counts as (select analysis_family, group_name, image_id, sampling_seed, arrival_batch, count(*) n from ranked where rn <= k group by all)
       select m.manifest_id, m.sampled_pixel_count, cast(coalesce(sum(c.n), 0) as bigint) as n_selected from sampling_manifest m left join counts c
         on c.analysis_family = m.analysis_family and c.group_name = m.group_name and c.image_id = m.image_id and c.sampling_seed is not distinct from m.sampling_seed and c.arrival_batch <= m.as_of_batch
       group by 1, 2""",
+    "p2_growth": _GROWTH_SQL,
     "p4_found": """
       with px as (select flight_id, luhk_class_code c, surface_cover_class s, image_id, thermal_row, thermal_col, min(cast(delta_t_c as double)) d from pixel_samples
         where analysis_eligible and target_mask and luhk_label_valid and isfinite(delta_t_c) group by all),
