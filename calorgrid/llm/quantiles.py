@@ -1,8 +1,8 @@
 """Percentiles with bounded error from mergeable rank-interval summaries.
 
 A summary keeps tuples ``(value, rmin, rmax)``: the value's rank among all values lies between rmin and
-rmax. Summaries are built per partition, compressed to the permitted uncertainty and merged level by
-level; the rank error that has accumulated is always the largest open interval, so every percentile comes
+rmax. Values are laid together per scan partition, summaries built from them, compressed to the permitted
+uncertainty and merged level by level; the rank error that has accumulated is always the largest open interval, so every percentile comes
 with bounds that hold for certain.
 """
 
@@ -14,8 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from calorgrid.runtime import broadcast_if_small, scratch
+
 #: Summaries merged by one task at a time.
 FAN_IN = 64
+#: Values sorted at once, and values of a key that one task summarises.
+LEAF, CHUNK = 1 << 16, 1 << 20
 
 
 def compress(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,18 +90,114 @@ def _pack(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
 
 
-def _builder(names: list[str], eps: float):
+def _packer(names: list[str]):
+    """Rows ``names, position, value`` to one row per distinct names and batch with the lists of positions and values."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.zeros(batch.num_rows, dtype="int64")
+            for c in names:
+                index = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                code = np.unique(code * (int(index.max()) + 1) + index, return_inverse=True)[1].astype("int64")
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            offsets = pa.array(np.append(starts, len(order)).astype("int32"))
+            first = pa.array(order[starts])
+            lists = [pa.ListArray.from_arrays(offsets, batch.column(c).take(pa.array(order))) for c in ("__pos", "__value")]
+            yield pa.record_batch([*[batch.column(c).take(first) for c in names], *lists], names=[*names, "pos", "vals"])
+
+    return pack
+
+
+class _Summary:
+    """One summary of a stream of values: leaves of at most :data:`LEAF` values, merged in pairs of one level."""
+
+    def __init__(self, eps: float):
+        self.eps, self.waiting, self.held = eps, [], 0
+        self.levels: list[tuple | None] = []
+
+    def add(self, values: np.ndarray) -> None:
+        self.waiting.append(values)
+        self.held += len(values)
+        if self.held >= LEAF:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.held:
+            return
+        v = np.sort(np.concatenate(self.waiting))
+        rank = np.arange(1, len(v) + 1, dtype="int64")
+        self.waiting, self.held = [], 0
+        node, level = (*compress(v, rank, rank, len(v), self.eps), len(v)), 0
+        while level < len(self.levels) and self.levels[level] is not None:
+            node, self.levels[level] = self.both(self.levels[level], node), None
+            level += 1
+        self.levels.extend([None] * (level + 1 - len(self.levels)))
+        self.levels[level] = node
+
+    def both(self, x: tuple, y: tuple) -> tuple:
+        m = merge(*(np.concatenate([x[i], y[i]]) for i in range(3)), np.array([len(x[0]), len(y[0])]))
+        return (*compress(*m, x[3] + y[3], self.eps), x[3] + y[3])
+
+    def result(self) -> tuple | None:
+        self.flush()
+        out = None
+        for node in self.levels:
+            if node is not None:
+                out = node if out is None else self.both(out, node)
+        return out
+
+
+def _builder(names: list[str], within: str, eps: float):
+    """Summaries of rows sorted by ``names`` and ``within``; positions that repeat inside a ``within`` count once (the smallest value)."""
+
+    def once(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        pos, v = (np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+        order = np.lexsort((v, pos))
+        pos = pos[order]
+        return v[order][np.concatenate([[True], pos[1:] != pos[:-1]])]
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = place = summary = None
+        parts: list = []
+        done: list[tuple] = []
+        kinds = None
+
+        def close() -> None:
+            if parts:
+                summary.add(once(parts))
+                parts.clear()
+
+        def emit() -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k, _ in done], type=kinds[i]) for i in range(len(names))]
+            vs, los, his, ns = zip(*[r for _, r in done])
+            out = pa.record_batch([*columns, pa.array(ns, pa.int64()), _pack(list(vs), pa.float64()), _pack(list(los), pa.int64()), _pack(list(his), pa.int64())], names=[*names, "n", "v", "lo", "hi"])
+            done.clear()
+            return out
+
         for batch in batches:
-            flat, at = _lists(batch.column("__values"))
-            vs, los, his, ns = [], [], [], []
-            for a, b in zip(at[:-1], at[1:]):
-                v = np.sort(flat[a:b])
-                rank = np.arange(1, len(v) + 1, dtype="int64")
-                v, lo, hi = compress(v, rank, rank, len(rank), eps)
-                vs.append(v), los.append(lo), his.append(hi), ns.append(len(rank))
-            keys = [batch.column(c) for c in names]
-            yield pa.record_batch([*keys, pa.array(ns, pa.int64()), _pack(vs, pa.float64()), _pack(los, pa.int64()), _pack(his, pa.int64())], names=[*names, "n", "v", "lo", "hi"])
+            kinds = [batch.column(c).type for c in names]
+            keys = list(zip(*(batch.column(c).to_pylist() for c in names)))
+            places = batch.column(within).to_pylist()
+            (pos, at), (vals, _) = _lists(batch.column("pos")), _lists(batch.column("vals"))
+            for k in range(batch.num_rows):
+                if summary is None or keys[k] != key:
+                    close()
+                    if summary is not None:
+                        done.append((key, summary.result()))
+                    key, place, summary = keys[k], places[k], _Summary(eps)
+                elif places[k] != place:
+                    close()
+                    place = places[k]
+                parts.append((pos[at[k] : at[k + 1]], vals[at[k] : at[k + 1]]))
+            if done:
+                yield emit()
+        if summary is not None:
+            close()
+            done.append((key, summary.result()))
+            yield emit()
 
     return build
 
@@ -125,17 +225,37 @@ def _fields(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
 
-def summaries(df: DataFrame, keys: Sequence[str], chunk: str, value: Column, eps: float) -> DataFrame:
-    """One summary per key and ``chunk``, a part of the key's rows that fits one task (a capture, a day's batch of one).
+def packed(df: DataFrame, keys: Sequence[str], within: str, position: Column, value: Column) -> DataFrame:
+    """``keys, within, pos, vals``: the finite values laid together by key and ``within`` inside every partition of the scan."""
+    d = value.cast("double")
+    rows = df.where(d.isNotNull() & ~F.isnan(d) & (F.abs(d) < float("inf"))).select(*keys, within, position.cast("int").alias("__pos"), d.alias("__value"))
+    names = [*keys, within]
+    return rows.mapInArrow(_packer(names), f"{_fields(rows, names)}, pos array<int>, vals array<double>")
+
 
-    Columns: ``keys, chunk, n, v, lo, hi``. Null, NaN and infinite values are left out; null keys are keys;
-    a key without a finite value has no summary.
+def summaries(packs: DataFrame, keys: Sequence[str], within: str, eps: float, chunk: int = CHUNK) -> DataFrame:
+    """One summary of about ``1 / eps`` tuples per key, or per key and part of it for keys of more than ``chunk`` values.
+
+    ``packs`` are :func:`packed` values. Columns: ``keys, __part, n, v, lo, hi``. A value's position counts
+    once inside its ``within``, whatever partitions and batches deliver it. Null, NaN and infinite values
+    are left out; null keys are keys; a key without a finite value has no summary. What is shuffled are the
+    lists, once; a key with many values is split by ``within``, so no task holds more than its share.
     """
     keys = list(keys)
-    d = value.cast("double")
-    lists = df.where(d.isNotNull() & ~F.isnan(d) & (F.abs(d) < float("inf"))).groupBy(*keys, chunk).agg(F.collect_list(d).alias("__values"))
-    names = [*keys, chunk]
-    return lists.mapInArrow(_builder(names, eps), f"{_fields(lists, names)}, {_TUPLES}")
+    sizes = packs.groupBy(*keys).agg(F.sum(F.size("vals")).alias("__n"))
+    hot = scratch(sizes.where(F.col("__n") > chunk).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], F.ceil(F.col("__n") / chunk).alias("__parts")))
+    n_hot = hot.count()
+    if n_hot:
+        side, cond = broadcast_if_small(hot, n_hot), F.lit(True)
+        for i, c in enumerate(keys):
+            cond = cond & packs[c].eqNullSafe(side[f"__k{i}"])
+        part = F.pmod(F.xxhash64(within), F.coalesce("__parts", F.lit(1))).cast("int")
+        packs = packs.join(side, cond, "left").select(*keys, within, "pos", "vals", part.alias("__part"))
+    else:
+        packs = packs.withColumn("__part", F.lit(0))
+    names = [*keys, "__part"]
+    laid = packs.repartition(*names).sortWithinPartitions(*names, within)
+    return laid.mapInArrow(_builder(names, within, eps), f"{_fields(laid, names)}, {_TUPLES}")
 
 
 def merge_by(parts: DataFrame, keys: Sequence[str], eps: float) -> DataFrame:
@@ -176,13 +296,14 @@ def _reader(names: list[str], probs: dict[str, float]):
                     low, high = bounds(v[a:b], lo[a:b], hi[a:b], int(n[k]), p)
                     got[f"{q}_low"].append(low), got[f"{q}_high"].append(high)
             keys = [batch.column(c) for c in names]
-            yield pa.record_batch([*keys, pa.array(n, pa.int64()), pa.array(errors, pa.int64()), *[pa.array(x, pa.float64()) for x in got.values()]], names=[*names, "n", "rank_error", *got])
+            kept = pa.array(np.diff(at), pa.int64())
+            yield pa.record_batch([*keys, pa.array(n, pa.int64()), kept, pa.array(errors, pa.int64()), *[pa.array(x, pa.float64()) for x in got.values()]], names=[*names, "n", "n_tuples", "rank_error", *got])
 
     return read
 
 
 def percentiles(merged: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """``keys, n, rank_error`` and for each percentile the certain bounds ``_low`` and ``_high``."""
+    """``keys, n, n_tuples, rank_error`` and for each percentile the certain bounds ``_low`` and ``_high``."""
     keys = list(keys)
     outs = ", ".join(f"{q}_{side} double" for q in probs for side in ("low", "high"))
-    return merged.mapInArrow(_reader(keys, probs), f"{_fields(merged, keys)}, n long, rank_error long, {outs}")
+    return merged.mapInArrow(_reader(keys, probs), f"{_fields(merged, keys)}, n long, n_tuples long, rank_error long, {outs}")

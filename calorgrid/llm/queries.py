@@ -85,30 +85,33 @@ def p2_manifest_fit(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(c, cond, "left").groupBy("manifest_id", "sampled_pixel_count").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n_selected"))
 
 
-EPS = 0.002
+#: A flight's summary has at most about 2 / EPS tuples and a rank error of at most EPS / 2.
+EPS = 0.02
 SUMMARY_KEYS = ["flight_id", "luhk_class_code", "surface_cover_class"]
 PERCENTILES = {"q05_full": 0.05, "q25_full": 0.25, "median_full": 0.5, "q75_full": 0.75, "q95_full": 0.95}
 
 
-def labelled_differences(pixels: DataFrame) -> DataFrame:
-    """Flight, code, cover, image and difference of each formal pixel with a valid land-use label, once."""
-    rows = formal(pixels).where("luhk_label_valid").select(*SUMMARY_KEYS, "image_id", "thermal_row", "thermal_col", F.col("delta_t_c").cast("double").alias("d"))
-    return rows.groupBy(*SUMMARY_KEYS, "image_id", "thermal_row", "thermal_col").agg(F.min("d").alias("d"))
+def packed_differences(pixels: DataFrame) -> DataFrame:
+    """Differences of the formal pixels with a valid land-use label, laid together by flight, code, cover and capture."""
+    place = [F.coalesce(F.col(c).cast("int"), F.lit(-32768)) for c in ("thermal_row", "thermal_col")]
+    return scratch(quantiles.packed(formal(pixels).where("luhk_label_valid"), SUMMARY_KEYS, "image_id", place[0] * 65536 + place[1], F.col("delta_t_c")))
 
 
-def flight_summaries(pixels: DataFrame) -> DataFrame:
-    """The merged rank-interval summary of every flight, code and cover; its parts are the captures."""
-    parts = scratch(quantiles.summaries(labelled_differences(pixels), SUMMARY_KEYS, "image_id", F.col("d"), EPS / 4))
-    most = parts.groupBy(*SUMMARY_KEYS).count().agg(F.max("count")).first()[0] or 1
-    merged = scratch(quantiles.merge_levels(parts, SUMMARY_KEYS, "image_id", EPS / 2, most))
+def flight_summaries(packs: DataFrame) -> DataFrame:
+    """The rank-interval summary of every flight, code and cover."""
+    parts = scratch(quantiles.summaries(packs, SUMMARY_KEYS, "image_id", EPS / 2))
+    most = parts.agg(F.max("__part")).first()[0]
+    if not most:
+        return parts.drop("__part")
+    merged = scratch(quantiles.merge_levels(parts, SUMMARY_KEYS, "__part", EPS / 2, most + 1))
     drop_scratch(parts)
     return merged
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Published percentiles that are more than 0.5 degrees off those of the pixels."""
-    pixels = table(spark, sf, "pixel_samples")
-    known = quantiles.percentiles(flight_summaries(pixels), SUMMARY_KEYS, PERCENTILES)
+    packs = packed_differences(table(spark, sf, "pixel_samples"))
+    known = quantiles.percentiles(flight_summaries(packs), SUMMARY_KEYS, PERCENTILES)
     known = known.toDF(*[f"__{c}" if c in SUMMARY_KEYS else c for c in known.columns])
     published = table(spark, sf, "delta_t_summary").select("summary_id", *SUMMARY_KEYS, *PERCENTILES)
 
@@ -130,8 +133,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     open_rows = judged.where("not sure")
     if not open_rows.isEmpty():  # the bounds leave these open: exact percentiles of their groups decide
         keys = open_rows.select(*[F.col(c).alias(f"__{c}") for c in SUMMARY_KEYS]).distinct()
-        values = labelled_differences(pixels)
-        exact = exact_quantiles(values.join(keys, same(values, keys), "left_semi"), SUMMARY_KEYS, F.col("d"), {f"__{q}": p for q, p in PERCENTILES.items()})
+        held = packs.join(keys, same(packs, keys), "left_semi").select(*SUMMARY_KEYS, "image_id", F.explode(F.arrays_zip("pos", "vals")).alias("x"))
+        values = held.groupBy(*SUMMARY_KEYS, "image_id", "x.pos").agg(F.min("x.vals").alias("d"))
+        exact = exact_quantiles(values, SUMMARY_KEYS, F.col("d"), {f"__{q}": p for q, p in PERCENTILES.items()})
         exact = exact.toDF(*[f"__{c}" if c in SUMMARY_KEYS else c for c in exact.columns])
         off = F.lit(False)
         for q in PERCENTILES:
@@ -142,7 +146,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_class_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Percentile bounds per code and cover, merged from the flights' summaries."""
-    flights = flight_summaries(table(spark, sf, "pixel_samples"))
+    flights = flight_summaries(packed_differences(table(spark, sf, "pixel_samples")))
     most = flights.groupBy("luhk_class_code", "surface_cover_class").count().agg(F.max("count")).first()[0] or 1
     keys = ["luhk_class_code", "surface_cover_class"]
     return quantiles.percentiles(quantiles.merge_levels(flights, keys, "flight_id", EPS, most), keys, PERCENTILES)
