@@ -5,39 +5,49 @@ import pytest
 from calorgrid.llm import packing
 
 
-def check(counts, capacity):
-    moves, used = packing.best_fit(counts, capacity)
-    load, seen = {}, {}
-    for size, rank, first, many in moves:
-        for i in range(many):
-            load[first + i] = load.get(first + i, 0) + size
-            assert (size, rank + i) not in seen
-            seen[size, rank + i] = first + i
+def check(spark, counts, capacity, band_rows=packing.BAND_ROWS):
+    """Loads of the containers after filling them with items of the counted sizes."""
+    classes = spark.createDataFrame([(1, s, n) for s, n in counts.items()], "spec int, size long, n long")
+    load, seen = {}, set()
+    for m in packing.best_fit(classes, {1: capacity}, band_rows).collect():
+        for i in range(m["n"]):
+            at = m["container"] + i // m["per"]
+            load[at] = load.get(at, 0) + m["size"]
+            assert (m["size"], m["first"] + i) not in seen
+            seen.add((m["size"], m["first"] + i))
     assert all(x <= capacity for x in load.values())
-    assert len(seen) == sum(n for s, n in counts.items() if s > 0)
-    assert used == (max(load) + 1 if load else 0)
-    return used
+    assert seen == {(s, k) for s, n in counts.items() for k in range(n)}
+    assert set(load) == set(range(len(load)))
+    return len(load)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_every_item_once_within_capacity_and_little_waste(seed):
+@pytest.mark.parametrize("seed, band_rows", [(0, packing.BAND_ROWS), (1, 20), (2, packing.BAND_ROWS), (3, 40)])
+def test_every_item_once_within_capacity_and_little_waste(spark, seed, band_rows):
+    """Also where the runs are cut into many bands."""
     rng = random.Random(seed)
     capacity = rng.choice([128, 1000])
     counts = {}
     for _ in range(4000):
         s = min(capacity, int(rng.expovariate(1 / (capacity / 6))) + 1)
         counts[s] = counts.get(s, 0) + 1
-    used = check(counts, capacity)
+    used = check(spark, counts, capacity, band_rows)
     whole = sum(s * n for s, n in counts.items())
     assert used <= whole / capacity * 1.03 + 2
 
 
-def test_edges():
-    assert check({}, 10) == 0
-    assert check({0: 5}, 10) == 0
-    assert check({10: 3}, 10) == 3
-    assert check({6: 4}, 10) == 4
-    assert check({1: 25}, 10) == 3
+def test_edges(spark):
+    assert check(spark, {}, 10) == 0
+    assert check(spark, {10: 3}, 10) == 3
+    assert check(spark, {6: 4}, 10) == 4
+    assert check(spark, {1: 25}, 10) == 3
+    assert check(spark, {2**30: 3, 5: 2}, 2**31) == 2
+
+
+def test_a_sweep_takes_the_smallest_gap_that_holds_an_item():
+    rows = [(packing.GAP, 9, 0, 1), (packing.GAP, 5, 7, 2), (packing.ITEM, 4, 0, 3), (packing.ITEM, 2, 0, 1)]
+    got = packing.sweep(rows, 1)
+    assert [r[2:] for r in got if r[0] == packing.MOVE] == [(4, 0, 2, 7, 1), (4, 2, 1, 0, 1)]
+    assert sorted(r[2:5] for r in got if r[0] != packing.MOVE) == [(1, 7, 2), (2, 0, 1), (5, 0, 1)]
 
 
 def rows(spark, sizes, specs):
