@@ -3,13 +3,14 @@
 For every byte prefix of a piece of text exactly one token can end the prefix's encoding; the table of
 these last tokens is filled from left to right. A token may follow the last token of the prefix before it
 only if no merge across their seam would come first, which depends on the two tokens alone and is kept.
-Appending continues the table; an edit re-encodes from the last piece border before it. Work is linear in
-the text, also for very long pieces.
+Appending continues the table; an edit fills it in from the changed byte to the end of its piece and keeps
+all other pieces. Work is linear in the text, also for very long pieces.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +73,7 @@ class Vocabulary:
             self.length[t] = len(whole)
             for k in range(1, len(whole)):
                 self.ends.setdefault(whole[:k], -1)
+        self.longest = max(self.length.values())
         self._apart: dict[tuple[int, int], bool] = {}
 
     def apart(self, left: int, right: int) -> bool:
@@ -110,7 +112,7 @@ class Vocabulary:
         known = len(last) - 1
         last.extend([-1] * (n - known))
         # tokens that end behind the known prefixes may start up to one longest token before
-        for start in range(max(0, known - 256), n):
+        for start in range(max(0, known - self.longest), n):
             before = last[start]
             for stop in range(start + 1, n + 1):
                 token = ends.get(data[start:stop])
@@ -165,44 +167,67 @@ class Encoder:
 
 
 class PrefixTable:
-    """A text with its encoding, open to exact appends and edits.
+    """A text with the last token of every prefix of its pieces, open to exact appends and edits.
 
-    Keeps where pieces start and each piece's ids; the last piece's prefix table allows appending to it
-    without starting over.
+    After a change the text is split again from two pieces before it (a piece's end depends on at most one
+    character behind it) until a border falls on an old one; what lies behind keeps its pieces. A new piece
+    takes over the table of the old piece at its place as far as their bytes agree, so appending a letter to
+    a long piece fills in one entry. ``touched`` counts the entries filled in so far.
     """
 
     def __init__(self, encoder: Encoder, text: str = ""):
-        self.encoder, self.text = encoder, ""
+        self.encoder, self.text, self.touched = encoder, "", 0
         self.starts: list[int] = []
-        self.ids_of: list[list[int]] = []
+        self.pieces: list[tuple[bytes, list[int]]] = []  # bytes of the piece, last tokens of its prefixes
         self.append(text)
 
-    def _rebuild(self, keep: int, text: str) -> None:
-        """Keeps the first ``keep`` pieces and re-encodes behind them."""
-        at = self.starts[keep] if keep < len(self.starts) else (len(self.text) if keep else 0)
-        if keep == 0:
-            at = 0
-        del self.starts[keep:], self.ids_of[keep:]
+    def _piece(self, data: bytes, old: tuple[bytes, list[int]] | None) -> tuple[bytes, list[int]]:
+        last = [0]
+        if old is not None:
+            was, table = old
+            common = min(len(was), len(data))
+            if was[:common] != data[:common]:
+                low, high = 0, common  # the agreeing prefix by halving
+                while low < high:
+                    mid = (low + high + 1) // 2
+                    low, high = (mid, high) if was[:mid] == data[:mid] else (low, mid - 1)
+                common = low
+            last = table[: common + 1]
+        self.touched += len(data) + 1 - len(last)
+        self.encoder.vocabulary.extend(data, last)
+        return data, last
+
+    def _replace(self, start: int, stop: int, new: str) -> None:
+        text = self.text[:start] + new + self.text[stop:]
+        moved, settled = len(new) - (stop - start), start + len(new)
+        keep = max(0, bisect_right(self.starts, start) - 3)
+        at = self.starts[keep] if keep < len(self.starts) else 0
+        old_starts, old = self.starts[keep:], self.pieces[keep:]
+        place = {s: k for k, s in enumerate(old_starts)}
+        del self.starts[keep:], self.pieces[keep:]
         self.text = text
         for m in self.encoder.finditer(text, at):
-            self.starts.append(m.start())
-            self.ids_of.append(self.encoder.piece(m.group()))
+            s = m.start()
+            k = place.get(s - moved) if s >= settled else None
+            if k is not None:  # from here on nothing has changed but the places
+                self.starts.extend(x + moved for x in old_starts[k:])
+                self.pieces.extend(old[k:])
+                return
+            k = place.get(s) if s <= start else None
+            self.starts.append(s)
+            self.pieces.append(self._piece(m.group().encode("utf-8"), None if k is None else old[k]))
 
     def append(self, more: str) -> None:
-        """Appends text; only the last pieces, whose borders may move, are encoded again."""
-        self._rebuild(max(0, len(self.starts) - 2), self.text + more)
+        """Appends text."""
+        self._replace(len(self.text), len(self.text), more)
 
     def edit(self, start: int, stop: int, new: str) -> None:
-        """Replaces ``text[start:stop]``; pieces that end before the edit (but for the two nearest) stay."""
-        keep = 0
-        while keep < len(self.starts) and (self.starts[keep + 1] if keep + 1 < len(self.starts) else len(self.text)) <= start:
-            keep += 1
-        self._rebuild(max(0, keep - 2), self.text[:start] + new + self.text[stop:])
+        """Replaces ``text[start:stop]``."""
+        self._replace(start, stop, new)
 
     @property
     def ids(self) -> list[int]:
-        return [i for ids in self.ids_of for i in ids]
-
+        return [i for _, last in self.pieces for i in self.encoder.vocabulary.read(last)]
 
 
 def encoder(path: str, pattern: str) -> Encoder:

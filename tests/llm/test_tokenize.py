@@ -66,6 +66,33 @@ def test_appends_and_edits_are_exact(enc, truth):
             assert table.text == text and table.ids == truth(text)
 
 
+def test_changes_touch_only_what_lies_near(enc, truth):
+    long = T.PrefixTable(enc, "x" * 9000)
+    before = long.touched
+    long.append("y")
+    assert long.touched == before + 1 and long.ids == truth("x" * 9000 + "y")
+    text = " word" * 6000
+    many = T.PrefixTable(enc, text)
+    before = many.touched
+    many.edit(10, 11, "q")
+    many.edit(15_002, 15_003, "")
+    assert many.touched - before < 60
+    text = text[:10] + "q" + text[11:]
+    assert many.ids == truth(text[:15_002] + text[15_003:])
+
+
+def test_white_space_at_the_border_of_a_change(enc, truth):
+    rng = random.Random(11)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", " ", "  ", "\n", "1", "'s", "!", "ß", "溫"]) for _ in range(rng.randrange(1, 14)))
+        table = T.PrefixTable(enc, text)
+        a = rng.randrange(len(text) + 1)
+        b = min(len(text), a + rng.randrange(3))
+        new = rng.choice(["", " ", "a", "  ", "\n", "s"])
+        table.edit(a, b, new)
+        assert table.ids == truth(text[:a] + new + text[b:])
+
+
 def test_frame_with_nulls_repeats_and_clashing_names(spark, truth):
     rows = [(1, "a  b", "k", 1), (2, "", "k", 2), (3, None, "k", 3), (None, "x", "k", 4), (1, "a  b", "k", 1), (9, "long " * 50_000, "k", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, key string, ids int")
