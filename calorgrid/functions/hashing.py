@@ -40,17 +40,17 @@ def gamma(seed: int) -> int:
     return _word((seed + GOLDEN) & ((1 << 64) - 1))
 
 
-def with_splitmix64(df: DataFrame, x: str, increment: Column, to: str) -> DataFrame:
-    """Adds ``to``: splitmix64 of ``x`` as a signed BIGINT with the same bits.
+def with_splitmix64(df: DataFrame, x: str, increment: Column | dict[str, Column], to: str | None = None) -> DataFrame:
+    """Adds ``to``: splitmix64 of ``x`` as a signed BIGINT with the same bits; or one such column per entry of ``increment``.
 
     One column per step: nested in one expression the operands would be repeated exponentially often.
     """
-    h = F.col("__h")
-    df = df.withColumn("__h", _add(F.col(x).cast("long"), increment))
+    wanted = increment if isinstance(increment, dict) else {to: increment}
+    df = df.withColumns({c: _add(F.col(x).cast("long"), i) for c, i in wanted.items()})
     for shift, factor in ((30, MIX_A), (27, MIX_B)):
-        df = df.withColumn("__h", h.bitwiseXOR(F.shiftrightunsigned(h, shift)))
-        df = df.withColumn("__h", _times(h, factor))
-    return df.withColumn(to, h.bitwiseXOR(F.shiftrightunsigned(h, 31))).drop("__h")
+        df = df.withColumns({c: F.col(c).bitwiseXOR(F.shiftrightunsigned(c, shift)) for c in wanted})
+        df = df.withColumns({c: _times(F.col(c), factor) for c in wanted})
+    return df.withColumns({c: F.col(c).bitwiseXOR(F.shiftrightunsigned(c, 31)) for c in wanted})
 
 
 def unsigned_order(x: Column) -> Column:

@@ -20,12 +20,14 @@ def allocate(counts: dict[str, float], capacity: dict[str, int], total: int) ->
 
     If the capacities fit into the total they are the quotas. Otherwise rounded-down shares are raised to 1
     and cut to the capacity; a surplus is taken where the share is exceeded most (ties: smallest name), a
-    deficit given by largest remainder, then count, then name. More names than ``total`` cannot be served.
+    deficit given by largest remainder, then count, then name. Of more names than ``total`` those with most
+    counts (then by name) get one place each, the others none.
     """
     if sum(capacity.values()) <= total:
         return dict(capacity)
     if len(counts) > total:
-        raise ValueError(f"{len(counts)} strata cannot share {total} places")
+        served = set(sorted(counts, key=lambda k: (-counts[k], k))[:total])
+        return {k: int(k in served) for k in counts}
     whole = sum(counts.values())
     share = {k: n / whole * total for k, n in counts.items()}
     quota = {k: min(max(int(share[k]), 1), capacity[k]) for k in counts}
@@ -68,25 +70,31 @@ def numbered(pixels: DataFrame) -> DataFrame:
 
 
 def candidates(pixels: DataFrame, seeds: Sequence[int], tile: int) -> DataFrame:
-    """Per seed the pixel with the smallest (unsigned) score of every (image, group, tile); combined map-side."""
+    """Per seed the pixel with the smallest (unsigned) score of every (image, group, tile), with all its columns.
+
+    The scores of all seeds stand side by side, so pixels are laid by tile once and only what is drawn is
+    multiplied by the seeds. Different numbers have different scores.
+    """
     cell = lambda c: F.floor(F.col(c) / tile).cast("int")
-    rows = pixels.withColumn("__s", F.explode(F.array(*[F.struct(F.lit(int(s)).alias("seed"), F.lit(gamma(s)).alias("first"), F.lit(gamma(s ^ SECOND_SEED)).alias("second")) for s in seeds])))
-    rows = with_splitmix64(rows, "base_id", F.col("__s.first"), "__z").withColumn("score", unsigned_order(F.col("__z")))
-    keys = ["image_id", "group_name", cell("thermal_row").alias("tile_row"), cell("thermal_col").alias("tile_col"), F.col("__s.seed").alias("seed"), F.col("__s.second").alias("second")]
-    best = rows.groupBy(*keys).agg(F.min(F.struct("score", "base_id", "thermal_row", "thermal_col")).alias("b"))
-    best = best.select("seed", "second", "image_id", "group_name", "tile_row", "tile_col", "b.base_id", "b.thermal_row", "b.thermal_col")
+    rows = with_splitmix64(pixels, "base_id", {f"__z{i}": F.lit(gamma(s)) for i, s in enumerate(seeds)})
+    rows = rows.withColumns({"tile_row": cell("thermal_row"), "tile_col": cell("thermal_col")})
+    by = W.partitionBy("image_id", "group_name", "tile_row", "tile_col")  # a tile's pixels
+    drawn = [F.when(unsigned_order(F.col(f"__z{i}")) == F.min(unsigned_order(F.col(f"__z{i}"))).over(by), F.struct(F.lit(int(s)).alias("seed"), F.lit(gamma(s ^ SECOND_SEED)).alias("second"))) for i, s in enumerate(seeds)]
+    best = rows.select(*pixels.columns, "tile_row", "tile_col", F.array(*drawn).alias("__d")).withColumn("__s", F.explode(F.array_compact("__d")))
+    best = best.select("__s.seed", "__s.second", "tile_row", "tile_col", *pixels.columns)
     return with_splitmix64(best, "base_id", F.col("second"), "__z").withColumn("score", unsigned_order(F.col("__z"))).drop("__z", "second")
 
 
 def thinned_sample(pixels: DataFrame, seeds: Sequence[int], *, tile: int, per_image: int, per_group: int) -> DataFrame:
-    """``seed, group_name, image_id, thermal_row, thermal_col, tile_row, tile_col`` of the sample of every seed.
+    """``seed, group_name, image_id, thermal_row, thermal_col, tile_row, tile_col`` and the other columns of the sample of every seed.
 
     ``pixels`` hold ``image_id, group_name, thermal_row, thermal_col`` once per pixel. One pixel per tile is
     drawn, at most ``per_image`` per image and group, and at most ``per_group`` per group by quotas in
-    proportion to the eligible pixels. Windows are bounded by the tiles of an image; quotas by ``per_group``
-    (a group with more images than places is an error).
+    proportion to the eligible pixels. Windows are bounded by the tiles of an image; quotas by the images of
+    a group (of more images than places those with most eligible pixels get one place each).
     """
     base = numbered(pixels)
+    others = [c for c in pixels.columns if c not in ("image_id", "group_name", "thermal_row", "thermal_col")]
     c = candidates(base, seeds, tile)
     by = W.partitionBy("seed", "image_id", "group_name").orderBy("score", "base_id")
     c = scratch(c.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_image).drop("base_id", "score"))  # read twice below
@@ -100,7 +108,7 @@ def thinned_sample(pixels: DataFrame, seeds: Sequence[int], *, tile: int, per_im
 
     q = tight.groupBy("seed", "group_name").applyInPandas(run, "group_name string, image_id string, quota long, seed long")
     out = c.join(q, ["seed", "group_name", "image_id"], "left").where(F.col("quota").isNull() | (F.col("r") <= F.col("quota")))
-    return out.select("seed", "group_name", "image_id", "thermal_row", "thermal_col", "tile_row", "tile_col")
+    return out.select("seed", "group_name", "image_id", "thermal_row", "thermal_col", "tile_row", "tile_col", *others)
 
 
 def sampling_manifest(pixels: DataFrame, sample: DataFrame) -> DataFrame:

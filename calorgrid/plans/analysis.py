@@ -13,7 +13,7 @@ from calorgrid.functions.predicates import finite
 from calorgrid.operators import quality as QA, ranks, temporal as T, thinning
 from calorgrid.operators.selection import exact_quantiles
 from calorgrid.plans.registry import Registry
-from calorgrid.plans.scalars import GRID_SQL, _mix_sql, family_groups, grid, px
+from calorgrid.plans.scalars import FAMILY_SQL, GRID_SQL, _mix_sql, family_groups, grid, px
 from calorgrid.runtime import scratch, table
 
 query = Registry()
@@ -41,30 +41,57 @@ def _(spark, sf):
     return c.select("image_id", "group_name", F.col("thermal_row").cast("int").alias("thermal_row"), F.col("thermal_col").cast("int").alias("thermal_col"))
 
 
-def _sample(spark, sf, seeds=(SEED,), per_group=PER_GROUP, per_image=PER_IMAGE):
-    pixels = scratch(cover_pixels(spark, sf))
-    return pixels, thinning.thinned_sample(pixels.drop("delta_t_c"), list(seeds), tile=TILE, per_image=per_image, per_group=per_group)
-
-
 def family_sample(spark, sf, family, seeds=(SEED,)):
-    """Formal pixels of an analysis family, once per group, and their thinned sample."""
+    """Formal pixels of an analysis family, once per group, and their thinned sample with their values."""
     p = family_groups(px(spark, sf)).where(F.col("family") == family)
     pixels = scratch(p.groupBy("image_id", "thermal_row", "thermal_col", "group_name").agg(F.min(F.col("delta_t_c").cast("double")).alias("delta_t_c"), F.min("luhk_class_code").alias("luhk_class_code")))
-    return pixels, thinning.thinned_sample(pixels.drop("delta_t_c", "luhk_class_code"), list(seeds), tile=TILE, per_image=PER_IMAGE, per_group=PER_GROUP)
+    return pixels, thinning.thinned_sample(pixels, list(seeds), tile=TILE, per_image=PER_IMAGE, per_group=PER_GROUP)
+
+
+def _sample(spark, sf, seeds=(SEED,)):
+    return family_sample(spark, sf, "surface_cover", seeds)
+
+
+def _families(spark, sf, families, seeds=(SEED,)):
+    """The samples of several families, with the family as a column."""
+    out = None
+    for family in families:
+        s = family_sample(spark, sf, family, seeds)[1].withColumn("family", F.lit(family))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def sample_sql(family: str, seed: int = SEED) -> str:
+    """A family's sample, for shares that come out after one round of largest remainders (as those of the test data do)."""
+    base = f"(select image_id, thermal_row, thermal_col, group_name, min(cast(delta_t_c as double)) delta_t_c from {FAMILY_SQL} where family = '{family}' group by 1, 2, 3, 4)"
+    numbered = f"(select *, dense_rank() over (order by image_id, thermal_row, thermal_col) - 1 as base_id, count(*) over (partition by image_id, group_name) as n from {base})"
+    first = _mix_sql("base_id", seed).replace("from base", f"from {numbered}")
+    tiles = f"(select image_id, thermal_row, thermal_col, group_name, delta_t_c, base_id, n from (select *, row_number() over (partition by image_id, group_name, thermal_row // {TILE}, thermal_col // {TILE} order by z) r from ({first})) where r = 1)"
+    second = _mix_sql("base_id", seed ^ thinning.SECOND_SEED).replace("from base", f"from {tiles}")
+    ranked = f"(select *, row_number() over (partition by image_id, group_name order by z) r from ({second}) qualify r <= {PER_IMAGE})"
+    return f"""(with c as {ranked}, i as (select group_name, image_id, max(n) n, count(*) cap from c group by 1, 2), g as (select group_name, sum(n) n from i group by 1 having sum(cap) > {PER_GROUP}),
+      h as (select i.*, i.n / g.n * {PER_GROUP} share from i join g using (group_name)), q as (select *, least(greatest(floor(share), 1), cap) k from h), d as (select *, {PER_GROUP} - sum(k) over (partition by group_name) left_over, row_number() over (partition by group_name order by k < cap desc, share - floor(share) desc, n desc, image_id desc) place from q),
+      quota as (select group_name, image_id, k + case when k < cap and place <= left_over then 1 else 0 end k from d)
+      select cast({seed} as int) as seed, '{family}' as family, c.group_name, c.image_id, thermal_row, thermal_col, cast(thermal_row // {TILE} as int) as tile_row, cast(thermal_col // {TILE} as int) as tile_col, delta_t_c
+      from c left join quota on quota.group_name = c.group_name and quota.image_id = c.image_id where quota.k is null or c.r <= quota.k)"""
 
 
-@query("smp02_thinned_sample")
+_DRAWN = "seed, group_name, image_id, thermal_row, thermal_col, tile_row, tile_col"
+
+
+@query("smp02_thinned_sample", f"select {_DRAWN} from {sample_sql('surface_cover')}")
 def _(spark, sf):
-    return _sample(spark, sf)[1]
+    return _sample(spark, sf)[1].drop("delta_t_c", "luhk_class_code")
 
 
-@query("smp03_three_seeds")
+@query("smp03_three_seeds", " union all ".join(f"select {_DRAWN} from {sample_sql('surface_cover', SEED + k)}" for k in range(3)))
 def _(spark, sf):
     """The sample of three seeds over one numbering of the pixels."""
-    return _sample(spark, sf, (SEED, SEED + 1, SEED + 2))[1]
+    return _sample(spark, sf, (SEED, SEED + 1, SEED + 2))[1].drop("delta_t_c", "luhk_class_code")
 
 
-@query("smp05_quota_manifest")
+@query("smp05_quota_manifest", f"""with s as (select group_name, image_id, count(*) n from {sample_sql('surface_cover')} group by 1, 2), e as (select group_name, image_id, count(*) n from {_COVER_PX} group by 1, 2)
+    select e.group_name, e.image_id, e.n as eligible, cast({SEED} as int) as seed, coalesce(s.n, 0) as sampled, coalesce(s.n, 0) / e.n as fraction from e left join s using (group_name, image_id)""")
 def _(spark, sf):
     pixels, sample = _sample(spark, sf)
     return thinning.sampling_manifest(pixels, sample)
@@ -78,74 +105,135 @@ def _(spark, sf):
     return s.groupBy("seed").agg(F.count("*").alias("n"), *[F.sum(F.conv(F.substring(row, 8 * k + 1, 8), 16, 10).cast("long")).alias(f"d{k}") for k in range(8)])
 
 
-_RANKS = f"""with b as (select group_name g, round(delta_t_c, 6) v from {_COVER_PX})"""
+FAMILIES = ["luhk", "surface_cover", "luhk_surface_cover"]
+_TWO = f"(select family s, group_name g, image_id, round(delta_t_c, 6) v from (select * from {sample_sql('luhk')} union all select * from {sample_sql('surface_cover')} union all select * from {sample_sql('luhk_surface_cover')}))"
+_VALID = f"""with b as {_TWO}, i as (select s, g, count(*) n, count(distinct image_id) k, avg(v) m, quantile_cont(v, 0.5) q from b group by 1, 2), ok as (select s, g from i where n >= 100 and k >= 2), t as (select b.* from b join ok using (s, g))"""
 
 
-def _rank_stats(spark, sf):
-    p = cover_pixels(spark, sf).select("group_name", F.round("delta_t_c", 6).alias("v"))
-    return ranks.rank_statistics(p, "group_name", "v")
+def _group_tests(spark, sf, families=FAMILIES):
+    s = _families(spark, sf, families).withColumn("v", F.round("delta_t_c", 6))
+    return ranks.group_tests(s, scope="family", group="group_name", unit="image_id", value="v")
 
 
 @query(
     "st01_kruskal_wallis",
-    _RANKS + """, r as (select g, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as k from b), s as (select g, sum(k) rs, count(*) n from r group by 1), t as (select sum(c * c * c - c) t from (select cast(count(*) as double) c from b group by v)), m as (select cast(count(*) as double) n from b)
-    select round((12 / (max(m.n) * (max(m.n) + 1)) * sum(rs * rs / s.n) - 3 * (max(m.n) + 1)) / (1 - max(t.t) / (max(m.n) * max(m.n) * max(m.n) - max(m.n))), 3) as statistic, cast(count(*) - 1 as int) as freedom from s, t, m""",
+    _VALID + """, r as (select s, g, rank() over (partition by s order by v) + (count(*) over (partition by s, v) - 1) / 2.0 as k from t), u as (select s, g, sum(k) rs, count(*) n from r group by 1, 2), x as (select s, sum(c * c * c - c) t from (select s, cast(count(*) as double) c from t group by s, v) group by 1), m as (select s, cast(count(*) as double) n from t group by 1),
+    h as (select u.s, count(*) k, (12 / (max(m.n) * (max(m.n) + 1)) * sum(rs * rs / u.n) - 3 * (max(m.n) + 1)) / (1 - max(x.t) / (max(m.n) * max(m.n) * max(m.n) - max(m.n))) v from u join x using (s) join m using (s) group by 1 having count(*) >= 2)
+    select a.s as family, h.k as n_groups, round(h.v, 3) as statistic, cast(h.k - 1 as int) as freedom, case when h.s is null then 'skipped' else 'exploratory_only_spatial_dependence_remains' end as status from (select distinct s from b) a left join h using (s)""",
 )
 def _(spark, sf):
-    return ranks.kruskal_wallis(_rank_stats(spark, sf)[0]).select(F.round("statistic", 3).alias("statistic"), "freedom")
+    """Kruskal-Wallis test of every family's sample over the groups with enough pixels and images."""
+    k = _group_tests(spark, sf)[0]
+    return k.select(F.col("scope").alias("family"), "n_groups", F.round("statistic", 3).alias("statistic"), "freedom", "status")
+
+
+@query("st01_p_values")
+def _(spark, sf):
+    return _group_tests(spark, sf)[0]
+
+
+_PAIRS = ", p as (select x.s, x.g a, y.g b, x.n na, y.n nb, x.k ka, y.k kb, x.m - y.m dm, x.q - y.q dq from i x join i y on x.s = y.s and x.g < y.g), u as (select p.s, p.a, p.b, t.g, t.v from p join t on t.s = p.s and (t.g = p.a or t.g = p.b) where least(na, nb) >= 100 and least(ka, kb) >= 2), r as (select *, rank() over (partition by s, a, b order by v) + (count(*) over (partition by s, a, b, v) - 1) / 2.0 k from u), w as (select s, a, b, sum(k) filter (where g = a) - count(*) filter (where g = a) * (count(*) filter (where g = a) + 1) / 2.0 as u from r group by 1, 2, 3)"
 
 
 @query(
     "st02_mann_whitney",
-    _RANKS + """, gs as (select distinct g from b), p as (select x.g a, y.g b from gs x join gs y on x.g < y.g), u as (select p.a, p.b, b.g, b.v from p join b on b.g = p.a or b.g = p.b),
-    r as (select *, rank() over (partition by a, b order by v) + (count(*) over (partition by a, b, v) - 1) / 2.0 k from u)
-    select a, b, count(*) filter (where g = a) as n_a, count(*) filter (where g = b) as n_b, round(sum(k) filter (where g = a) - count(*) filter (where g = a) * (count(*) filter (where g = a) + 1) / 2.0, 1) as u,
-      round(2 * (sum(k) filter (where g = a) - count(*) filter (where g = a) * (count(*) filter (where g = a) + 1) / 2.0) / (count(*) filter (where g = a) * count(*) filter (where g = b)) - 1, 6) as effect from r group by 1, 2""",
+    _VALID + _PAIRS + """ select p.s as family, p.a as group_a, p.b as group_b, na as n_a, nb as n_b, ka as images_a, kb as images_b, round(w.u, 1) as u, round(2 * w.u / (na * nb) - 1, 6) as effect, round(case when w.u is not null then dm end, 4) as mean_difference, round(case when w.u is not null then dq end, 4) as median_difference,
+      case when w.u is null then 'skipped' else 'exploratory_only_spatial_dependence_remains' end as status, case when least(na, nb) < 100 then 'At least one group has fewer than 100 sampled pixels.' when least(ka, kb) < 2 then 'At least one group occurs in fewer than 2 images.' else '' end as reason from p left join w using (s, a, b) where p.s <> 'luhk_surface_cover'""",
 )
 def _(spark, sf):
-    p = ranks.mann_whitney(_rank_stats(spark, sf)[1])
-    return p.select("a", "b", "n_a", "n_b", F.round("u", 1).alias("u"), F.round("effect", 6).alias("effect"))
+    """Mann-Whitney tests of all pairs of groups of a family, those of too few pixels or images as skipped."""
+    p = _group_tests(spark, sf, FAMILIES[:2])[1]
+    return p.select(F.col("scope").alias("family"), "group_a", "group_b", "n_a", "n_b", "images_a", "images_b", F.round("u", 1).alias("u"), F.round("effect", 6).alias("effect"), F.round("mean_difference", 4).alias("mean_difference"), F.round("median_difference", 4).alias("median_difference"), "status", "reason")
 
 
 @query("st05_adjusted_p_values")
 def _(spark, sf):
-    return ranks.mann_whitney(_rank_stats(spark, sf)[1]).select("a", "b", "p_value", "adjusted")
+    return _group_tests(spark, sf, FAMILIES[:2])[1].select("scope", "group_a", "group_b", "p_value", "adjusted")
 
 
-@query("st03_shadow_contrast", f"""with d as (select surface_cover_class c, shadow_flag s, round(avg(cast(delta_t_c as double)), 4) m, count(*) n from pixel_samples where shadow_valid and shadow_flag in (0, 1) and surface_cover_class is not null and isfinite(delta_t_c) group by 1, 2)
-    select c as cover, max(n) filter (where s = 0) as n_sunlit, max(n) filter (where s = 1) as n_shaded, round(max(m) filter (where s = 0) - max(m) filter (where s = 1), 3) as mean_difference, case when count(*) = 2 then 'tested' else 'skipped' end as status from d group by 1""")
+@query(
+    "st05_adjustment",
+    """with t as (select analysis_family f, coverage_id i, sampling_fraction p from sample_coverage where sampling_fraction between 0 and 1 and group_name is not null), r as (select *, row_number() over (partition by f order by p, i) k, count(*) over (partition by f) m from t)
+    select f as family, i as coverage_id, round(least(1.0, min(p * m / k) over (partition by f order by k desc rows between unbounded preceding and current row)), 9) as adjusted from r""",
+)
+def _(spark, sf):
+    """The adjustment alone, on shares read as p values."""
+    t = table(spark, sf, "sample_coverage").where("sampling_fraction between 0 and 1 and group_name is not null").selectExpr("analysis_family as family", "coverage_id", "sampling_fraction as p_value")
+    return ranks.with_adjusted(t, ["family"], ["coverage_id"]).select("family", "coverage_id", F.round("adjusted", 9).alias("adjusted"))
+
+
+_SHADOW = f"(select group_name g, regexp_extract(group_name, '^(.*) \\| shadow=', 1) c, cast(regexp_extract(group_name, 'shadow=(-?[0-9]+)$', 1) as int) f, image_id, round(delta_t_c, 6) v from {sample_sql('surface_cover_shadow')})"
+
+
+@query(
+    "st03_shadow_contrast",
+    f"""with b as {_SHADOW}, i as (select c, list_sort(list(distinct f)) fl, count(*) filter (where f = 0) n0, count(*) filter (where f = 1) n1, count(distinct image_id) filter (where f = 0) k0, count(distinct image_id) filter (where f = 1) k1, avg(v) filter (where f = 0) - avg(v) filter (where f = 1) dm, quantile_cont(v, 0.5) filter (where f = 0) - quantile_cont(v, 0.5) filter (where f = 1) dq from b group by 1),
+    e as (select *, case when fl <> [0, 1] then 'Within-cover shadow contrast skipped because both shadow_flag=0 and shadow_flag=1 are not present.' when least(n0, n1) < 100 or least(k0, k1) < 2 then 'Within-cover shadow contrast fails minimum sampled-pixel or image-coverage rules.' else '' end why from i),
+    r as (select b.*, rank() over (partition by c order by v) + (count(*) over (partition by c, v) - 1) / 2.0 k from b where c in (select c from e where why = '')), w as (select c, sum(k) filter (where f = 0) u from r group by 1)
+    select e.c as cover, n0 as n_sunlit, n1 as n_shaded, k0 as images_sunlit, k1 as images_shaded, round(w.u - n0 * (n0 + 1) / 2.0, 1) as u, round(2 * (w.u - n0 * (n0 + 1) / 2.0) / (n0 * n1) - 1, 6) as effect, round(case when why = '' then dm end, 4) as mean_difference, round(case when why = '' then dq end, 4) as median_difference,
+      case when why = '' then 'exploratory_only_spatial_dependence_remains' else 'skipped' end as status, why as reason from e left join w using (c)""",
+)
 def _(spark, sf):
-    p = px(spark, sf).where(F.col("shadow_valid") & F.col("shadow_flag").isin(0, 1) & F.col("surface_cover_class").isNotNull() & finite(F.col("delta_t_c")))
-    d = p.groupBy(F.col("surface_cover_class").alias("cover"), F.col("shadow_flag").alias("s")).agg(F.round(F.avg(F.col("delta_t_c").cast("double")), 4).alias("m"), F.count("*").alias("n"))
-    side = lambda k, c: F.max(F.when(F.col("s") == k, F.col(c)))
-    return d.groupBy("cover").agg(side(0, "n").alias("n_sunlit"), side(1, "n").alias("n_shaded"), F.round(side(0, "m") - side(1, "m"), 3).alias("mean_difference"), F.when(F.count("*") == 2, "tested").otherwise("skipped").alias("status"))
+    return _shadow_contrast(spark, sf).select(
+        "cover", "n_sunlit", "n_shaded", "images_sunlit", "images_shaded", F.round("u", 1).alias("u"), F.round("effect", 6).alias("effect"), F.round("mean_difference", 4).alias("mean_difference"), F.round("median_difference", 4).alias("median_difference"), "status", "reason"
+    )
 
 
 @query("st03_shadow_tests")
 def _(spark, sf):
-    """Mann-Whitney test of sunlit against shaded pixels within each cover, over the pixels of ``st03_shadow_contrast``; covers without both are skipped."""
-    p = px(spark, sf).where(F.col("shadow_valid") & F.col("shadow_flag").isin(0, 1) & F.col("surface_cover_class").isNotNull() & finite(F.col("delta_t_c")))
-    group = lambda flag: F.concat(F.col("cover"), F.lit(" | shadow="), flag.cast("string"))
-    p = p.select(F.col("surface_cover_class").alias("cover"), F.col("shadow_flag").cast("int").alias("s"), F.round(F.col("delta_t_c").cast("double"), 6).alias("v")).withColumn("g", group(F.col("s")))
-    tests = ranks.mann_whitney(ranks.rank_statistics(p, "g", "v")[1]).select("a", "b", "u", "p_value", "effect")
-    q = exact_quantiles(p, ["cover", "s"], F.col("v"), {"median": 0.5})
-    side = lambda k, c: F.max(F.when(F.col("s") == k, F.col(c)))
-    covers = q.groupBy("cover").agg(side(0, "n_values").alias("n_sunlit"), side(1, "n_values").alias("n_shaded"), (side(0, "median") - side(1, "median")).alias("median_difference"))
-    out = covers.join(tests, (group(F.lit(0)) == F.col("a")) & (group(F.lit(1)) == F.col("b")), "left")
-    return out.select("cover", "n_sunlit", "n_shaded", "u", "p_value", "effect", "median_difference", F.when(F.col("u").isNotNull(), "tested").otherwise("skipped").alias("status"))
+    """The contrasts with their p values."""
+    return _shadow_contrast(spark, sf)
+
+
+def _shadow_contrast(spark, sf):
+    """Mann-Whitney test of sunlit against shaded sampled pixels within each cover; skipped unless both and only both flags occur, with enough pixels and images each."""
+    s = family_sample(spark, sf, "surface_cover_shadow")[1]
+    s = s.select(F.regexp_extract("group_name", r"^(.*) \| shadow=", 1).alias("cover"), F.regexp_extract("group_name", r"shadow=(-?\d+)$", 1).cast("int").alias("flag"), "image_id", F.round("delta_t_c", 6).alias("v"))
+    s = scratch(s)
+    side = lambda k, c: F.when(F.col("flag") == k, F.col(c))
+    info = s.groupBy("cover").agg(
+        F.sort_array(F.collect_set("flag")).alias("flags"), F.count(side(0, "v")).alias("n_sunlit"), F.count(side(1, "v")).alias("n_shaded"), F.count_distinct(side(0, "image_id")).alias("images_sunlit"), F.count_distinct(side(1, "image_id")).alias("images_shaded"),
+    )
+    both = F.col("flags") == F.array(F.lit(0), F.lit(1))
+    enough = (F.least("n_sunlit", "n_shaded") >= ranks.LEAST_PIXELS) & (F.least("images_sunlit", "images_shaded") >= ranks.LEAST_IMAGES)
+    why = F.when(~both, "Within-cover shadow contrast skipped because both shadow_flag=0 and shadow_flag=1 are not present.").when(~enough, "Within-cover shadow contrast fails minimum sampled-pixel or image-coverage rules.").otherwise("")
+    p = ranks.group_tests(s.where("flag in (0, 1)"), scope="cover", group="flag", unit="image_id", value="v")[1]
+    out = info.withColumn("reason", why).drop("flags").join(p.select(F.col("scope").alias("cover"), "u", "p_value", "effect", "mean_difference", "median_difference"), "cover", "left")
+    done = F.col("reason") == ""
+    values = [F.when(done, F.col(c)).alias(c) for c in ("u", "p_value", "effect", "mean_difference", "median_difference")]
+    return out.select("cover", "n_sunlit", "n_shaded", "images_sunlit", "images_shaded", *values, F.when(done, "exploratory_only_spatial_dependence_remains").otherwise("skipped").alias("status"), "reason")
+
+
+SEEDS = [SEED + k for k in range(21)]
 
 
 @query("st07_seed_stability")
 def _(spark, sf):
-    """Share of secondary seeds whose sample orders two covers' means as the primary seed's does."""
-    seeds = [SEED + k for k in range(21)]
-    pixels, sample = _sample(spark, sf, seeds)
-    joined = sample.join(pixels, ["image_id", "group_name", "thermal_row", "thermal_col"])
-    means = scratch(joined.groupBy("seed", "group_name").agg(F.avg("delta_t_c").alias("m"), F.count("*").alias("n")))  # seeds x groups
-    a, b = means.toDF("seed", "a", "ma", "na"), means.toDF("seed", "b", "mb", "nb")
-    d = a.join(b, "seed").where("a < b").withColumn("s", F.signum(F.col("ma") - F.col("mb")))
-    first = d.where(F.col("seed") == SEED).select("a", "b", F.col("s").alias("s0"), F.least("na", "nb").alias("n"))
-    return d.where(F.col("seed") != SEED).join(first, ["a", "b"]).groupBy("a", "b").agg(F.avg((F.col("s") == F.col("s0")).cast("int")).alias("agreement"), F.min("n").alias("n")).withColumn("stable", F.col("agreement") >= 0.8)
+    """Group and pair rows of the samples of 21 seeds, and how many secondary seeds agree with the primary one in the sign of a pair's differences.
+
+    A pair is stable if mean, median and effect agree in at least 0.8 of the secondary seeds each, and
+    cannot be concluded on where a group has too few sampled pixels or images of the primary seed.
+    """
+    s = _families(spark, sf, ["luhk", "surface_cover"], SEEDS)
+    s = scratch(s.select(F.concat_ws("|", "family", F.col("seed").cast("string")).alias("s"), "family", "seed", "group_name", "image_id", F.round("delta_t_c", 6).alias("v")))
+    per = s.groupBy("s", "family", "seed", "group_name", "image_id").agg(F.count("*").alias("n"), F.sum("v").alias("t"))
+    means = per.groupBy("s", "family", "seed", "group_name").agg(F.sum("n").alias("n"), F.count("*").alias("images"), (F.sum("t") / F.sum("n")).alias("mean"))
+    q = exact_quantiles(s, ["s", "group_name"], F.col("v"), {"median": 0.5, "q25": 0.25, "q75": 0.75}, reread=True).drop("n_values")
+    groups = scratch(means.join(q, ["s", "group_name"]))  # seeds x groups
+    effects = ranks.rank_statistics(s, "group_name", "v", F.col("s"))[1].select("s", "a", "b", (2.0 * F.col("u") / (F.col("n_a") * F.col("n_b")) - 1).alias("effect"))
+    names = ["s", "family", "seed", "group", "n", "images", "mean", "median", "q25", "q75"]
+    laid = groups.select("s", "family", "seed", F.col("group_name").alias("group"), "n", "images", "mean", "median", "q25", "q75")
+    a, b = (laid.toDF(*[c if c in ("s", "family", "seed") else f"{c}_{side}" for c in names]) for side in "ab")
+    pairs = a.join(b.drop("family", "seed"), "s").where("group_a < group_b and n_a >= 2 and n_b >= 2").join(effects, (F.col("group_a") == F.col("a")) & (F.col("group_b") == F.col("b")) & (a["s"] == effects["s"]))
+    pairs = scratch(pairs.select(a["s"], "family", "seed", "group_a", "group_b", "n_a", "n_b", "images_a", "images_b", "mean_a", "mean_b", "median_a", "median_b", "q25_a", "q75_a", "effect"))
+    signs = {"mean": F.signum(F.col("mean_a") - F.col("mean_b")), "median": F.signum(F.col("median_a") - F.col("median_b")), "effect": F.signum("effect")}
+    first = pairs.where(F.col("seed") == SEED).select("family", "group_a", "group_b", ((F.least("n_a", "n_b") >= ranks.LEAST_PIXELS) & (F.least("images_a", "images_b") >= ranks.LEAST_IMAGES)).alias("enough"), *[x.alias(f"first_{k}") for k, x in signs.items()])
+    other = pairs.where(F.col("seed") != SEED).join(first, ["family", "group_a", "group_b"])
+    agree = other.groupBy("family", "group_a", "group_b").agg(F.first("enough").alias("enough"), *[F.avg((x == F.col(f"first_{k}")).cast("int")).alias(f"agreement_{k}") for k, x in signs.items()])
+    status = F.when(~F.col("enough"), "insufficient_coverage_for_conclusion").when(F.least(*[f"agreement_{k}" for k in signs]) >= 0.8, "stable_sign_across_seeds").otherwise("seed_sensitive_sign")
+    out = pairs.drop("s", "images_a", "images_b").join(agree.withColumn("stability_status", status).drop("enough"), ["family", "group_a", "group_b"], "left").withColumn("record_type", F.lit("pair"))
+    single = groups.select("family", "seed", F.col("group_name").alias("group_a"), F.col("n").alias("n_a"), F.col("mean").alias("mean_a"), F.col("median").alias("median_a"), F.col("q25").alias("q25_a"), F.col("q75").alias("q75_a"), F.lit("group").alias("record_type"), F.lit("group_distribution_record").alias("stability_status"))
+    return out.unionByName(single, allowMissingColumns=True)
 
 
 @query("st09_bootstrap_mean")
@@ -160,8 +248,7 @@ def _(spark, sf):
         low, high = np.percentile(means, [2.5, 97.5])
         return pd.DataFrame({"group_name": [pdf["group_name"].iloc[0]], "n": [len(v)], "mean": [v.mean()], "low": [low], "high": [high]})
 
-    pixels, sample = _sample(spark, sf)  # a group's sample holds at most PER_GROUP pixels
-    rows = sample.drop("seed", "tile_row", "tile_col").join(pixels, ["image_id", "group_name", "thermal_row", "thermal_col"])
+    rows = _sample(spark, sf)[1]  # a group's sample holds at most PER_GROUP pixels
     return rows.groupBy("group_name").applyInPandas(run, "group_name string, n long, mean double, low double, high double")
 
 
@@ -178,9 +265,7 @@ def _(spark, sf):
         d = np.concatenate([np.exp(-0.5 * ((part[:, None] - v) / h) ** 2).mean(axis=1) for part in np.array_split(x, 16)]) / (h * math.sqrt(2 * math.pi))
         return pd.DataFrame({"group_name": pdf["group_name"].iloc[0], "x": x, "density": d})
 
-    pixels, sample = _sample(spark, sf)
-    rows = sample.drop("seed", "tile_row", "tile_col").join(pixels, ["image_id", "group_name", "thermal_row", "thermal_col"])
-    return rows.groupBy("group_name").applyInPandas(run, "group_name string, x double, density double")
+    return _sample(spark, sf)[1].groupBy("group_name").applyInPandas(run, "group_name string, x double, density double")
 
 
 @query("st12_pearson", "select image_id, round(abs(corr(cast(temperature_c as double), cast(thermal_row as double))), 6) as r from pixel_samples where isfinite(temperature_c) group by 1")

@@ -9,7 +9,7 @@ from calorgrid.functions.predicates import COVERS, density_status, finite, near
 from calorgrid.operators import alignment, describe as D, joins as J
 from calorgrid.operators.selection import exact_quantiles
 from calorgrid.operators.timenorm import with_parses
-from calorgrid.plans.analysis import _COVER_PX, cover_pixels, family_sample
+from calorgrid.plans.analysis import _COVER_PX, cover_pixels, family_sample, sample_sql
 from calorgrid.plans.registry import Registry
 from calorgrid.plans.scalars import FAMILY_SQL, GRID_SQL, family_groups, grid, px
 from calorgrid.runtime import scratch, table
@@ -50,7 +50,7 @@ def _(spark, sf):
     return one_row_each(p, "flight_id")
 
 
-@query("snk06_ordered_sample", "select image_id, cast(null as varchar) as roi_id, thermal_row from pixel_samples where thermal_row % 16 = 0")
+@query("snk06_ordered_sample", "select image_id, cast(null as varchar) as roi_id, thermal_row from pixel_samples")
 def _(spark, sf):
     from calorgrid.sources.tables import ordered
 
@@ -156,8 +156,8 @@ def _(spark, sf):
     return q.join(m, F.col("path") == F.col("p"), "left").join(n, F.col("image_id") == F.col("i"), "left").select("qa_id", F.coalesce("a", "b").alias("altitude_m"))
 
 
-@query("join12_manifest_counts", """with e as (select image_id, surface_cover_class g, count(*) n from pixel_samples group by 1, 2), s as (select image_id, surface_cover_class g, count(*) n from pixel_samples where thermal_row % 64 = 0 group by 1, 2)
-    select e.image_id, e.g as group_name, e.n as eligible, coalesce(s.n, 0) as sampled from e left join s on s.image_id = e.image_id and s.g is not distinct from e.g""")
+@query("join12_manifest_counts", f"""with e as (select image_id, surface_cover_class g, count(*) n from pixel_samples group by 1, 2), s as (select image_id, group_name g, count(*) n from {sample_sql('surface_cover')} group by 1, 2)
+    select e.image_id, e.g as group_name, e.n as eligible, coalesce(s.n, 0) as sampled from e left join s on s.image_id = e.image_id and s.g = e.g""")
 def _(spark, sf):
     e = px(spark, sf).groupBy("image_id", F.col("surface_cover_class").alias("group_name")).agg(F.count("*").alias("eligible"))
     s = family_sample(spark, sf, "surface_cover")[1].groupBy(F.col("image_id").alias("__i"), F.col("group_name").alias("__g")).agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from calorgrid.functions.predicates import COVERS, NO_COVER, finite
 from calorgrid.operators import describe as D, joins as J
 from calorgrid.operators.selection import exact_quantiles
-from calorgrid.plans.analysis import family_sample
+from calorgrid.plans.analysis import family_sample, sample_sql
 from calorgrid.plans.registry import Registry
 from calorgrid.plans.scalars import FAMILY_SQL, GRID_SQL, family_groups, grid, px
 from calorgrid.runtime import scratch, table
@@ -63,7 +63,7 @@ def _(spark, sf):
 
 
 _FILES_SQL = """(select distinct flight_id folder, regexp_extract(p, 'DJI_(\\d{14})_(\\d+)', 0) base, cast(regexp_extract(p, 'DJI_(\\d{14})_(\\d+)', 2) as bigint) % 400 sample, r role, p path from
-    (select flight_id, visible_path p, 'V' r, record_id from validation_records where record_id % 7 <> 0 union all select flight_id, thermal_path p, 'T' r, record_id from validation_records where record_id % 11 <> 0) where p is not null and p <> '')"""
+    (select flight_id, visible_path p, 'V' r, record_id from validation_records union all select flight_id, thermal_path p, 'T' r, record_id from validation_records) where p is not null and p <> '')"""
 
 
 @query("join07_pair_two_stage", f"""with f as {_FILES_SQL}, s as (select folder, base, count(*) filter (where role = 'V') nv, count(*) filter (where role = 'T') nt, min(path) filter (where role = 'V') visible, min(path) filter (where role = 'T') thermal from f group by 1, 2),
@@ -134,7 +134,7 @@ def _(spark, sf):
     return table(spark, sf, "validation_records").join(px(spark, sf).select("image_id").distinct(), "image_id", "left_anti").select("record_id")
 
 
-@query("join22_unique_fallback", """with r as (select flight_id, image_id, luhk_class_name v from pixel_samples where thermal_row < 40), e as (select flight_id, image_id, min(v) v from r group by 1, 2), u as (select flight_id, count(distinct v) n, min(v) v from r group by 1)
+@query("join22_unique_fallback", """with r as (select flight_id, image_id, luhk_class_name v from pixel_samples), e as (select flight_id, image_id, min(v) v from r group by 1, 2), u as (select flight_id, count(distinct v) n, min(v) v from r group by 1)
     select q.qa_id, coalesce(e.v, case when u.n = 1 then u.v end) as name, case when e.v is not null then 'exact' when u.n = 1 then 'unique' when u.n > 1 then 'ambiguous' else 'missing' end as match from subzero_qa q left join e using (flight_id, image_id) left join u using (flight_id)""")
 def _(spark, sf):
     r = px(spark, sf).select("flight_id", "image_id", F.col("luhk_class_name").alias("name"))
@@ -154,15 +154,14 @@ def _(spark, sf):
     return D.describe(px(spark, sf), ["image_id"], F.col("delta_t_c"), single_sd=None)
 
 
-@query("agg03_full_and_sample", f"""select f.luhk_class_code, f.n as n_full, f.n_images, round(f.mean, 4) as mean_full, coalesce(s.n, 0) as n_sampled, round(s.mean, 4) as mean_sampled from
+@query("agg03_full_and_sample", f"""select f.luhk_class_code, f.n as n_full, f.n_images, round(f.mean, 4) as mean_full, coalesce(s.n, 0) as n_sampled, round(s.mean, 4) as mean_sampled, round(s.median, 4) as median_sampled from
     (select luhk_class_code, count(*) n, count(distinct image_id) n_images, avg(cast(delta_t_c as double)) mean from pixel_samples where isfinite(delta_t_c) group by 1) f left join
-    (select luhk_class_code, count(*) n, avg(cast(delta_t_c as double)) mean from pixel_samples where isfinite(delta_t_c) and thermal_row % 8 = 0 group by 1) s on f.luhk_class_code is not distinct from s.luhk_class_code""")
+    (select cast(split_part(group_name, ' | ', 1) as int) c, count(*) n, avg(delta_t_c) mean, quantile_cont(delta_t_c, 0.5) median from {sample_sql('luhk')} group by 1) s on f.luhk_class_code = s.c""")
 def _(spark, sf):
     p = px(spark, sf).where(finite(F.col("delta_t_c"))).withColumn("d", F.col("delta_t_c").cast("double"))
     per = p.groupBy("luhk_class_code", "image_id").agg(F.count("*").alias("n"), F.sum("d").alias("s"))
     full = per.groupBy("luhk_class_code").agg(F.sum("n").alias("n_full"), F.count("*").alias("n_images"), (F.sum("s") / F.sum("n")).alias("m"))
-    pixels, sample = family_sample(spark, sf, "luhk")
-    drawn = scratch(sample.join(pixels, ["image_id", "group_name", "thermal_row", "thermal_col"]).select(F.col("luhk_class_code").alias("code"), F.col("delta_t_c").alias("d")))
+    drawn = scratch(family_sample(spark, sf, "luhk")[1].select(F.col("luhk_class_code").alias("code"), F.col("delta_t_c").alias("d")))
     s = drawn.groupBy("code").agg(F.count("*").alias("ns"), F.avg("d").alias("ms"))
     q = exact_quantiles(drawn, ["code"], F.col("d"), {"median": 0.5}).withColumnRenamed("code", "__q")
     out = full.join(s, full["luhk_class_code"].eqNullSafe(s["code"]), "left").join(q, full["luhk_class_code"].eqNullSafe(q["__q"]), "left")
@@ -221,7 +220,7 @@ def _(spark, sf):
 
 
 @query("agg15_recurring_coordinates", """with k as (select thermal_row, thermal_col, count(distinct image_id) k from pixel_samples where temperature_c > 30 and not isnan(temperature_c) group by 1, 2), h as (select k, count(*) n from k group by 1)
-    select cast(s as bigint) as images, coalesce(h.n, 0) as n_coordinates from generate_series(2, 12) g(s) left join h on h.k = s""")
+    select cast(s as bigint) as images, coalesce(h.n, 0) as n_coordinates from generate_series(2, greatest(12, (select count(distinct image_id) from pixel_samples))) g(s) left join h on h.k = s""")
 def _(spark, sf):
     k = px(spark, sf).where("temperature_c > 30 and not isnan(temperature_c)").select("thermal_row", "thermal_col", "image_id").distinct().groupBy("thermal_row", "thermal_col").agg(F.count("image_id").alias("images"))
     h = k.groupBy("images").agg(F.count("*").alias("n"))
@@ -379,7 +378,8 @@ def _(spark, sf):
     return table(spark, sf, "subzero_qa").select("image_id").subtract(px(spark, sf).select("image_id"))
 
 
-@query("set04_intersect", """select thermal_row, thermal_col from (select distinct image_id, thermal_row, thermal_col from pixel_samples where isfinite(temperature_c) and image_id in (select image_id from pixel_samples group by 1 order by count(*) desc, image_id limit 2)) group by 1, 2 having count(*) = 2""")
+@query("set04_intersect", """select flight_id, thermal_row, thermal_col from (select distinct flight_id, image_id, thermal_row, thermal_col from pixel_samples where isfinite(temperature_c)) join
+    (select flight_id, count(distinct image_id) n from pixel_samples group by 1) using (flight_id) group by flight_id, thermal_row, thermal_col, n having count(*) = n""")
 def _(spark, sf):
     """Coordinates that are finite in every capture of their series, the flight."""
     p = px(spark, sf)

@@ -28,8 +28,8 @@ def test_allocate_matches_the_plain_loop():
         assert all(1 <= got[n] <= cap[n] for n in names) and sum(got.values()) == min(total, sum(cap.values()))
     assert thinning.allocate({"a": 50, "b": 50}, {"a": 50, "b": 50}, 11) == {"a": 5, "b": 6}
     assert thinning.allocate({"a": 97, "b": 2, "c": 1}, {"a": 97, "b": 2, "c": 1}, 4) == {"a": 2, "b": 1, "c": 1}
-    with pytest.raises(ValueError):
-        thinning.allocate({"a": 5, "b": 5}, {"a": 5, "b": 5}, 1)
+    # more strata than places: those of most pixels get one each
+    assert thinning.allocate({"a": 5, "b": 9, "c": 9, "d": 1}, {"a": 5, "b": 9, "c": 9, "d": 1}, 3) == {"a": 1, "b": 1, "c": 1, "d": 0}
 
 
 @pytest.mark.parametrize("seed", [0, 42])

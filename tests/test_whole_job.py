@@ -1,15 +1,17 @@
 """Queries over all rows they are given, on small tables made here."""
 
-import math
 import sys
 from pathlib import Path
 
-import duckdb
+import numpy as np
 import pytest
 
 sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 import __spark_entry__ as entry  # noqa: E402
-from test_queries import DATA, rows  # noqa: E402
+
+
+def float32(x):
+    return float(np.float32(x))
 
 
 def result(spark, folder, name, **tables):
@@ -63,16 +65,6 @@ def test_intersection_of_every_series(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("f", 1, 1), ("g", 3, 3)]
 
 
-def test_shadow_contrast_is_tested_within_each_cover(spark, tmp_path):
-    pixels = [("road", 0, v) for v in (1.0, 2.0, 3.0)] + [("road", 1, v) for v in (2.0, 4.0)] + [("wood", 0, 9.0)]
-    pixels = [(c, s, True, v) for c, s, v in pixels] + [("road", 1, False, 50.0), ("road", 1, True, None)]
-    got = result(spark, tmp_path, "st03_shadow_tests", pixel_samples=(pixels, "surface_cover_class string, shadow_flag byte, shadow_valid boolean, delta_t_c float"))
-    road, wood = sorted(map(tuple, got))
-    z = (3 - 1.5 - 0.5) / math.sqrt(6 / 12 * (6 - 6 / 20))  # one pair of equal values
-    assert road == ("road", 3, 2, 1.5, pytest.approx(math.erfc(z / math.sqrt(2))), -0.5, -1.0, "tested")
-    assert wood == ("wood", 1, None, None, None, None, None, "skipped")
-
-
 PIXELS = """image_id string, thermal_row short, thermal_col short, delta_t_c float, luhk_class_code int, luhk_class_name string, luhk_label_valid boolean,
     surface_cover_class string, surface_cover_valid boolean, shadow_flag byte, shadow_valid boolean, analysis_eligible boolean, target_mask boolean"""
 
@@ -95,28 +87,33 @@ def test_manifest_counts_the_drawn_sample(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("a", "road", 3, 2), ("a", "wood", 1, 0)]
 
 
-#: What the registered SQL would have to say to cover the whole job: text in it and its replacement, or all of it.
-WHOLE = {
-    "join07_pair_two_stage": [(" where record_id % 7 <> 0", ""), (" where record_id % 11 <> 0", "")],
-    "join22_unique_fallback": [(" where thermal_row < 40", "")],
-    "set04_intersect": """select flight_id, thermal_row, thermal_col from (select distinct flight_id, image_id, thermal_row, thermal_col from pixel_samples where isfinite(temperature_c)) join
-        (select flight_id, count(distinct image_id) n from pixel_samples group by 1) using (flight_id) group by flight_id, thermal_row, thermal_col, n having count(*) = n""",
-    "snk06_ordered_sample": [(" where thermal_row % 16 = 0", "")],
-}
-
-
-@pytest.mark.skipif(not DATA.exists(), reason="no test data")
-@pytest.mark.parametrize("name", WHOLE)
-def test_query_equals_the_whole_sql(spark, name):
-    con, sql = duckdb.connect(), entry.oracle_sql()[name]
-    for f in DATA.glob("*.parquet"):
-        con.sql(f"create view {f.stem} as select * from '{f}'")
-    if isinstance(WHOLE[name], str):
-        sql = WHOLE[name]
-    else:
-        for cut, whole in WHOLE[name]:
-            sql = sql.replace(cut, whole)
-    df, rel = entry.queries()[name](spark, str(DATA)), con.sql(sql)
-    columns = sorted(df.columns)
-    assert columns == sorted(rel.columns)
-    assert rows(columns, df.columns, df.collect()) == rows(columns, rel.columns, rel.fetchall())
+def test_shadow_contrast_is_tested_within_each_cover(spark, tmp_path):
+    """Road has enough pixels in two images, wood no shade, grass too few, soil a third flag."""
+    rows = []
+
+    def add(cover, flag, values):
+        for k, v in enumerate(values):  # a tile each
+            rows.append((f"i{k % 2}", 8 * (len(rows) % 60), 8 * (len(rows) // 60), v, None, None, None, cover, True, flag, True, True, True))
+
+    sunlit, shaded = [k / 7 for k in range(120)], [1 + k / 5 for k in range(110)]
+    add("road", 0, sunlit), add("road", 1, shaded), add("wood", 0, [9.0] * 3), add("grass", 0, [1.0] * 3), add("grass", 1, [2.0] * 2)
+    add("soil", 0, [1.0]), add("soil", 1, [1.0]), add("soil", 2, [1.0])
+    got = {r["cover"]: r for r in result(spark, tmp_path, "st03_shadow_tests", pixel_samples=(rows, PIXELS))}
+    u = sum((round(x, 6) > round(y, 6)) + 0.5 * (round(x, 6) == round(y, 6)) for x in map(float32, sunlit) for y in map(float32, shaded))
+    road = got["road"]
+    assert (road["n_sunlit"], road["n_shaded"], road["images_sunlit"], road["u"], road["status"]) == (120, 110, 2, u, "exploratory_only_spatial_dependence_remains")
+    assert road["effect"] == pytest.approx(2 * u / (120 * 110) - 1) and 0 < road["p_value"] < 1e-3
+    assert {c: r["status"] for c, r in got.items() if c != "road"} == dict.fromkeys(("wood", "grass", "soil"), "skipped")
+    assert "fails minimum" in got["grass"]["reason"] and all("not present" in got[c]["reason"] and got[c]["u"] is None for c in ("wood", "soil"))
+
+
+def test_tests_of_groups_skip_those_of_few_pixels_or_images(spark):
+    from calorgrid.operators import ranks
+
+    rows = [("f", "a", f"i{k % 3}", float(k)) for k in range(150)] + [("f", "b", f"i{k % 2}", k / 2) for k in range(130)] + [("f", "c", "i1", 1.0)] * 200 + [("f", "d", "i1", 1.0)] * 3 + [("g", "a", "i1", 2.0)] * 5
+    overall, pairs = ranks.group_tests(spark.createDataFrame(rows, "fam string, grp string, img string, v double"), scope="fam", group="grp", unit="img", value="v")
+    got = {r["scope"]: (r["n_groups"], r["status"]) for r in overall.collect()}
+    assert got == {"f": (2, "exploratory_only_spatial_dependence_remains"), "g": (None, "skipped")}
+    status = {(r["group_a"], r["group_b"]): (r["reason"][:35], r["u"] is None) for r in pairs.collect()}
+    few, once = ("At least one group has fewer than 1", True), ("At least one group occurs in fewer ", True)
+    assert status == {("a", "b"): ("", False), ("a", "c"): once, ("a", "d"): few, ("b", "c"): once, ("b", "d"): few, ("c", "d"): few}
