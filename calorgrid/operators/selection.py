@@ -17,23 +17,24 @@ from calorgrid.runtime import broadcast_if_small, scratch
 
 #: Buckets of a round, and the number of rows from which on a bucket is resolved with a count per value.
 BUCKETS, FINISH = 512, 4096
-#: First-round buckets per factor e of ``1 + |value|``.
-SCALE = 92.0
+#: First-round buckets per factor e of ``1 + |value|``: about a bucket per percent, for keys with very many
+#: values; and so fine that most buckets of two-decimal readings hold one value, for many keys of few values.
+SCALE, FINE = 92.0, 5000.0
 
 
 def _finite(v: Column) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
 
 
-def _coarse(v: Column) -> Column:
-    """The first round's bucket: monotone in the value, at most about 65,000 on either side of zero."""
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * SCALE)).cast("int")
+def _coarse(v: Column, scale: float = SCALE) -> Column:
+    """The first round's bucket: monotone in the value, at most about 710 times ``scale`` on either side of zero."""
+    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * scale)).cast("int")
 
 
-def _values(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+def _values(df: DataFrame, keys: Sequence[str], value: Column, scale: float = SCALE) -> DataFrame:
     """``keys, __v, __b`` of the finite values; -0.0 and 0.0 are one value."""
     v = value.cast("double")
-    return df.where(_finite(v)).select(*keys, (v + F.lit(0.0)).alias("__v")).withColumn("__b", _coarse(F.col("__v")))
+    return df.where(_finite(v)).select(*keys, (v + F.lit(0.0)).alias("__v")).withColumn("__b", _coarse(F.col("__v"), scale))
 
 
 def _interpolated(n: Column, lo: Column, hi: Column, p: float) -> Column:
@@ -105,17 +106,17 @@ def _select(values: DataFrame, cells: DataFrame, keys: list[str], probs: dict[st
     return grouped.select(*keys, F.col("__n").alias("n_values"), *outs)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float], buckets: int = BUCKETS, finish: int = FINISH, reread: bool = False) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float], buckets: int = BUCKETS, finish: int = FINISH, reread: bool = False, scale: float = SCALE) -> DataFrame:
     """Exact quantiles (linear between neighbours) of the finite values per key.
 
     Returns ``keys..., n_values`` and one double column per entry of ``probs``. Null, NaN and infinite
     values are left out; a key without a finite value has no row; a null key is a key of its own; an
     empty input gives no row. The values are read once per round (from a scratch table, or with ``reread``
     from ``df`` itself, which then should be a plain scan) and only histograms are shuffled: the first has
-    about one bucket per percent of value, every further one divides the open intervals by ``buckets``.
+    ``scale`` buckets per factor e of value, every further one divides the open intervals by ``buckets``.
     """
     keys = list(keys)
-    values = _values(df, keys, value)
+    values = _values(df, keys, value, scale)
     values = values if reread else scratch(values)
     cells = values.groupBy(*keys, "__b").agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     return _select(values, cells, keys, probs, buckets, finish)

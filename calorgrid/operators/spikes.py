@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from calorgrid.operators.selection import exact_quantiles
+from calorgrid.operators.selection import FINE, exact_quantiles
 from calorgrid.runtime import broadcast_if_small, scratch
 
 #: Bins of the excess per spread, from whose counts and sums the tails are fitted.
@@ -48,8 +48,8 @@ def distinct_readings(df: DataFrame, source: str, order: Sequence[str], values:
     for c in order:
         lone = lone | F.col(c).isNull()
     keys = [F.col(source).alias("source"), *[F.col(c).cast("long").alias(f"o{k}") for k, c in enumerate(order)], F.when(lone, F.col(row_id)).alias("lone")]
-    season = F.lit(0) if season is None else season
-    return df.groupBy(*keys).agg(*[F.min(clean(v)).alias(k) for k, v in values.items()], F.min(season.cast("int")).alias("season"))
+    season = F.lit(0) if season is None else F.coalesce(season.cast("int"), F.lit(-1))  # no season is a season
+    return df.groupBy(*keys).agg(*[F.min(clean(v)).alias(k) for k, v in values.items()], F.min(season).alias("season"))
 
 
 def _by_reading(rules: dict[str, SpikeRule], field: str) -> Column:
@@ -89,17 +89,18 @@ def residuals(readings: DataFrame, rules: dict[str, SpikeRule]) -> DataFrame:
     seasons has one level.
     """
     rows = long_form(readings, rules)
-    q = exact_quantiles(rows, ["source", "reading"], F.col("v"), {"q25": 0.25, "centre": 0.5, "q75": 0.75}, reread=True)
+    q = exact_quantiles(rows, ["source", "reading"], F.col("v"), {"q25": 0.25, "centre": 0.5, "q75": 0.75}, reread=True, scale=FINE)
     levels = scratch(q.select("source", "reading", "centre", F.greatest(F.col("q75") - F.col("q25"), _by_reading(rules, "floor")).alias("spread"), F.col("n_values").alias("n_source")))
     judged = _joined(rows, levels, levels.count(), ["source", "reading"])
     reach = _by_reading(rules, "peak") * F.col("spread")
     moved = F.greatest(-reach, F.least(reach, F.col("v") - F.col("centre")))
-    seasons = judged.groupBy("source", "reading", "season").agg(F.first("centre").alias("c"), F.first("spread").alias("s"), F.avg(moved).alias("m"), F.count("*").alias("n"), F.var_pop(moved).alias("var"))
-    by = W.partitionBy("source", "reading")  # the seasons of a source
-    deviation = 1.349 * F.sqrt(F.sum(F.col("n") * F.col("var")).over(by) / F.sum("n").over(by))
-    scale = F.least(F.col("s"), F.greatest(deviation, _by_reading(rules, "floor")))
-    seasons = scratch(seasons.select("source", "reading", "season", (F.col("c") + F.col("m")).alias("level"), scale.alias("scale")))
-    return _joined(judged, seasons, seasons.count(), ["source", "reading", "season"])
+    keys = ["source", "reading"]
+    seasons = judged.groupBy(*keys, "season", "centre", "spread", "n_source").agg(F.avg(moved).alias("m"), F.count("*").alias("n"), F.var_pop(moved).alias("var"))
+    deviation = 1.349 * F.sqrt(F.sum(F.col("n") * F.col("var")) / F.sum("n"))
+    scale = F.least(F.col("spread"), F.greatest(deviation, _by_reading(rules, "floor")))
+    level = F.map_from_entries(F.collect_list(F.struct("season", F.col("centre") + F.col("m"))))  # the seasons of a source
+    profile = scratch(seasons.groupBy(*keys, "centre", "spread", "n_source").agg(scale.alias("scale"), level.alias("levels")))
+    return _joined(rows, profile, profile.count(), keys).withColumn("level", F.col("levels")[F.col("season")]).drop("levels")
 
 
 def fitted_tails(peaks: DataFrame, rules: dict[str, SpikeRule]) -> DataFrame:
@@ -140,10 +141,12 @@ def candidates(readings: DataFrame, rules: dict[str, SpikeRule]) -> DataFrame:
     # a hair less than the bound, for the rounding of the differences
     rows = rows.withColumn("bound", (far - F.abs(F.col("level") - F.col("centre"))) * (1 - 1e-9) - 1e-9)
     peaks = scratch(rows.where(F.abs("residual") > F.least("start", "bound")))
-    tails = scratch(fitted_tails(peaks, rules)).withColumnRenamed("upper", "up")
-    out = _joined(peaks.withColumn("up", F.col("residual") > 0), tails, tails.count(), ["source", "reading", "up"], "left").drop("up")
-    cut = F.coalesce(F.col("start") + F.col("beyond"), _by_reading(rules, "far") * F.col("spread"))
-    return out.withColumn("cutoff", cut).where(F.abs("residual") > F.least("cutoff", "bound")).drop("beyond", "start", "scale")
+    side = lambda up: F.max(F.when(F.col("upper") == up, F.col("beyond")))
+    tails = scratch(fitted_tails(peaks, rules).groupBy("source", "reading").agg(side(True).alias("above"), side(False).alias("below")))
+    out = _joined(peaks, tails, tails.count(), ["source", "reading"], "left")
+    beyond = F.when(F.col("residual") > 0, F.col("above")).otherwise(F.col("below"))
+    cut = F.coalesce(F.col("start") + beyond, _by_reading(rules, "far") * F.col("spread"))
+    return out.withColumn("cutoff", cut).where(F.abs("residual") > F.least("cutoff", "bound")).drop("above", "below", "start", "scale")
 
 
 def stuck(readings: DataFrame, value: str, order: int, band: int, least: int) -> DataFrame:

@@ -84,9 +84,9 @@ def p6_flight_tails(spark: SparkSession, sf: str) -> DataFrame:
     hour = F.regexp_extract("image_id", r"DJI_\d{8}(\d{2})", 1).try_cast("int")
     p = table(spark, sf, "pixel_samples").select("row_id", "flight_id", "image_id", "thermal_row", "thermal_col", "temperature_c", hour.alias("hour"))
     place = [F.col(c) for c in ("image_id", "thermal_row", "thermal_col")]
-    once = scratch(p.groupBy(F.col("flight_id").alias("source"), *place).agg(F.min(spikes.clean(F.col("temperature_c"))).alias("temperature_c"), F.min("hour").alias("season")))
+    once = scratch(p.groupBy(F.col("flight_id").alias("source"), *place).agg(F.min(spikes.clean(F.col("temperature_c"))).alias("temperature_c"), F.min(F.coalesce("hour", F.lit(-1))).alias("season")))
     tail = spikes.candidates(once, {"temperature_c": spikes.SpikeRule(0.2)})
-    return tail.select(F.col("source").alias("flight_id"), "image_id", "thermal_row", "thermal_col", F.col("season").alias("hour"), F.round("residual", 3).alias("residual"), F.round("cutoff", 3).alias("tail_cutoff"))
+    return tail.select(F.col("source").alias("flight_id"), "image_id", "thermal_row", "thermal_col", F.nullif("season", F.lit(-1)).alias("hour"), F.round("residual", 3).alias("residual"), F.round("cutoff", 3).alias("tail_cutoff"))
 
 
 EXPORT_FIELDS = {"payload": "payload", "feed": "feed", "file_id": "file_id", "seq": "file_seq", "key": "pixel_uid"}

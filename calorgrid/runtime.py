@@ -72,8 +72,8 @@ def _clean() -> None:
 
 
 def row_bytes(df: DataFrame) -> int:
-    """Width of a row by its schema: 8 bytes a field, 64 for texts, 256 for nested values."""
-    width = {"string": 64, "binary": 64, "struct": 256, "array": 256, "map": 256}
+    """Width of a row by its schema: 8 bytes a field, 48 for texts, 256 for nested values."""
+    width = {"string": 48, "binary": 48, "struct": 256, "array": 256, "map": 256}
     return 16 + sum(width.get(f.dataType.typeName(), 8) for f in df.schema.fields)
 
 
