@@ -18,6 +18,8 @@ from calorgrid.runtime import broadcast_if_small, scratch
 
 #: Summaries merged by one task at a time.
 FAN_IN = 64
+#: Rows of a scan partition that are laid together.
+PACK = 1 << 19
 #: Values sorted at once, and values of a key that one task summarises.
 LEAF, CHUNK = 1 << 16, 1 << 20
 
@@ -91,12 +93,20 @@ def _pack(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _packer(names: list[str]):
-    """Rows ``names, position, value`` to one row per distinct names and batch with the lists of positions and values."""
+    """Rows ``names, position, value`` to one row per distinct names and :data:`PACK` rows with the lists of positions and values."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PACK:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+        if any(b.num_rows for b in held):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in larger(batches):
             code = np.zeros(batch.num_rows, dtype="int64")
             for c in names:
                 index = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
