@@ -149,9 +149,9 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, *, doc_id: str = "doc_id
     document frequencies each.
     """
     feats = scratch(features(docs, doc_id, text, lang))
-    told = with_prose(feats, *markers(feats))
-    prose = scratch(told.where("prose"))
-    formula = fit(prose, ratings, doc_id, level)
+    told = scratch(with_prose(feats, *markers(feats)))
+    drop_scratch(feats)
+    formula = fit(told.where("prose"), ratings, doc_id, level)
     score = formula.score()
     return told.select(
         F.col("doc_id").alias(doc_id), "prose", formula.share().alias("unfamiliar_share"), "sentence_words",
