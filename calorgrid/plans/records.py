@@ -309,22 +309,49 @@ def _(spark, sf):
     return v.select("record_id", roi.alias("r")).select("record_id", F.round("r.x0", 4).alias("x0"), F.round("r.h", 4).alias("h"))
 
 
-@query("str08_report_records", "select flight_id, cast(row_number() over (partition by flight_id order by qa_id) as bigint) as entry, image_id || '_T' as entry_name, cast(minimum_temperature_c as varchar) || ' C' as ambient_temperature, cast(matrix_width as varchar) as distance from subzero_qa where minimum_temperature_c > 1 and minimum_temperature_c < 1000 and qa_id in (select min(qa_id) from subzero_qa group by image_id)")
-def _(spark, sf):
-    """The flights' reports, written from the QA rows and parsed again."""
-    q = table(spark, sf, "subzero_qa")
-    q = q.join(q.groupBy("image_id").agg(F.min("qa_id").alias("qa_id")), ["image_id", "qa_id"]).where("minimum_temperature_c > 1 and minimum_temperature_c < 1000")
-    parts = F.array(F.concat("image_id", F.lit("_T")), F.lit("Ambient Temperature"), F.concat(F.col("minimum_temperature_c").cast("string"), F.lit(" C")), F.concat(F.lit("Distance: "), F.col("matrix_width").cast("string")))
-    lines = q.select("flight_id", F.posexplode(parts).alias("k", "line"), "qa_id").select("flight_id", (F.col("qa_id") * 4 + F.col("k")).alias("line_no"), "line")
-    return T.report_records(lines, "flight_id", ["ambient temperature", "distance"])
-
-
-@query("str09_measurements", "select qa_id, unnest(['min', 'max', 'mean']) as statistic, unnest([minimum_temperature_c, maximum_temperature_c, mean_temperature_c]) as value from subzero_qa where minimum_temperature_c is not null and not isnan(minimum_temperature_c) and maximum_temperature_c is not null and mean_temperature_c is not null")
-def _(spark, sf):
-    """Region lines written from the QA rows and parsed again."""
-    q = table(spark, sf, "subzero_qa").where("minimum_temperature_c is not null and not isnan(minimum_temperature_c) and maximum_temperature_c is not null and mean_temperature_c is not null")
-    line = F.concat(F.lit("Region R"), F.col("capture_seq").cast("string"), F.lit(": geometry=box; min="), F.col("minimum_temperature_c").cast("string"), F.lit(" max="), F.col("maximum_temperature_c").cast("string"), F.lit(" mean="), F.col("mean_temperature_c").cast("string"), F.lit(" C"))
-    return T.measurements(q.select("qa_id", line.alias("line")), "qa_id").select("qa_id", "statistic", "value")
+@query(
+    "str08_report_records",
+    """with q as (select *, row_number() over (partition by flight_id order by qa_id) as e from subzero_qa where qa_id in (select min(qa_id) from subzero_qa where image_id is not null and flight_id is not null and capture_seq is not null group by image_id))
+    select flight_id, cast(e as bigint) as entry, upper(image_id) || '_T.JPG' as image_name, upper(image_id) as image_id, case when qa_id % 5 = 0 then null when qa_id % 2 = 0 then -capture_seq - 0.5 else capture_seq + 0.5 end as ambient_temperature_c, case when qa_id % 5 = 0 then 'missing' else 'ok' end as ambient_parse_status,
+      cast(matrix_width as double) as distance_m, coalesce('M' || matrix_height, '') as camera_model, '2024-01-02 03:04:05' as captured, 22.25 as latitude, -114.5 as longitude, 60.5 as humidity_percent from q""",
+)
+def _(spark, sf):
+    """The flights' reports, written from the QA rows in mixed languages and parsed again."""
+    q = table(spark, sf, "subzero_qa").where("image_id is not null and flight_id is not null and capture_seq is not null")
+    q = q.join(q.groupBy("image_id").agg(F.min("qa_id").alias("qa_id")), ["image_id", "qa_id"])
+    name = F.concat("image_id", F.lit("_T.JPG"))
+    seen = F.col("qa_id") % 5 != 0
+    parts = F.array(
+        F.concat(F.lit("Image: "), name), name, F.when(seen, "环境温度："), F.when(seen, F.concat(F.when(F.col("qa_id") % 2 == 0, "-").otherwise(""), F.col("capture_seq").cast("string"), F.lit(",5 °C"))), F.lit("Relative Humidity 60,5 %"),
+        F.concat(F.lit("OBJECT DISTANCE: "), F.col("matrix_width").cast("string"), F.lit(" m")), F.concat(F.lit("Model: M"), F.col("matrix_height").cast("string")), F.lit("taken 2024/01/02  03:04:05".replace("  ", " ")), F.lit("GPS"), F.lit("22.25, -114,5"),
+    )
+    lines = q.select("flight_id", "qa_id", F.posexplode(F.array_compact(parts)).alias("k", "line")).select("flight_id", (F.col("qa_id") * 16 + F.col("k")).alias("line_no"), "line")
+    r = T.report_records(lines, "flight_id")
+    return r.select(
+        "flight_id", F.col("report_entry_index").alias("entry"), "image_name", "image_id", "ambient_temperature_c", "ambient_parse_status", "distance_m", F.col("camera_model_report").alias("camera_model"), F.col("report_capture_datetime").alias("captured"),
+        F.col("gps_latitude_report").alias("latitude"), F.col("gps_longitude_report").alias("longitude"), "humidity_percent",
+    )
+
+
+@query(
+    "str09_measurements",
+    """with q as (select qa_id, flight_id, capture_seq c, maximum_temperature_c hi, mean_temperature_c m, minimum_temperature_c lo from subzero_qa where flight_id is not null and capture_seq is not null),
+    p as (select flight_id, 'P' || c as id, 'point' as kind, 'point_value' as statistic, m as value, qa_id % 7 = 0 as f, cast(c as double) as x from q where m is not null and not isnan(m)),
+    r as (select flight_id, 'R' || c || ':' || s.k as id, 'region' as kind, s.k as statistic, s.v as value, qa_id % 7 = 0 as f, cast(null as double) as x from (select *, unnest([{'k': 'min', 'v': lo}, {'k': 'max', 'v': hi}, {'k': 'mean', 'v': m}]) s from q where lo is not null and not isnan(lo) and hi is not null and not isnan(hi) and m is not null and not isnan(m))),
+    b as (select * from p union all select * from r)
+    select flight_id, id as measurement_id, kind, statistic, round(value, 6) as value, x, case when f then 'not_celsius' when count(*) over (partition by flight_id, id) > 1 then 'duplicate' else 'ok' end as status from b""",
+)
+def _(spark, sf):
+    """Point and region lines written from the QA rows in free wording and parsed again; captures that come twice repeat their ids."""
+    q = table(spark, sf, "subzero_qa").where("flight_id is not null and capture_seq is not null")
+    t = lambda c: F.when(~F.isnan(c), F.col(c).cast("decimal(18,6)").cast("string"))
+    unit = F.when(F.col("qa_id") % 7 == 0, " °F").otherwise(F.when(F.col("qa_id") % 2 == 0, " °C").otherwise(""))
+    seq = F.col("capture_seq").cast("string")
+    point = F.concat(F.lit("Point P"), seq, F.lit(" on the roof: x="), seq, F.lit(", y=7; after noon Temp = "), t("mean_temperature_c"), unit)
+    region = F.concat(F.lit("see region R"), seq, F.lit("; polygon = 1 1, 2 2; min="), t("minimum_temperature_c"), F.lit(", max = "), t("maximum_temperature_c"), F.lit(" and mean="), t("mean_temperature_c"), unit)
+    lines = q.select("flight_id", F.explode(F.array_compact(F.array(point, region))).alias("line"))
+    m = T.measurements(lines, "flight_id")
+    return m.select("flight_id", "measurement_id", "kind", "statistic", F.round("value", 6).alias("value"), "x", "status")
 
 
 @query("st11_spectrum_summary", f"""select family, group_name, n, round(m, 4) as mean, round(q, 4) as median, case when n < 100 then 'insufficient_samples' when u < 5 then 'too_few_distinct_values' when sd < 0.02 then 'near_constant' else 'eligible' end as density

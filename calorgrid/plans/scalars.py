@@ -245,9 +245,28 @@ def _(spark, sf):
     return table(spark, sf, "validation_records").select("record_id", T.plain_tag(F.col("group_id")).alias("tag"))
 
 
-@query("str06_value_after_label")
+LABELS = {"title": ("title", "titel"), "note": ("note", "please read this note."), "summary": ("summary", "resumen")}
+
+
+def _labels_sql() -> str:
+    parts = []
+    for field, labels in LABELS.items():
+        alone = "low in (" + ", ".join(f"'{x}'" for x in labels) + ")"
+        rest = lambda x: f"regexp_replace(substr(line, {len(x) + 1}), '^[\\s:：]+|[\\s:：]+$', '', 'g')"
+        prefix = " ".join(f"when starts_with(low, '{x}') and {rest(x)} <> '' then {rest(x)}" for x in labels)
+        parts.append(f"select doc_id, k, '{field}' as field, {alone} as alone, case when {alone} then nxt {prefix} end as value from n")
+    return " union all ".join(parts)
+
+
+@query(
+    "str06_value_after_label",
+    f"""with a as (select distinct doc_id, text from documents), l as (select doc_id, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) k, regexp_replace(unnest(string_split_regex(text, '\\r?\\n')), '^[ \\t]+|[ \\t]+$', '', 'g') line from a where text is not null),
+    n as (select doc_id, k, line, lead(line) over (partition by doc_id order by k) nxt, lower(regexp_replace(line, '^[\\s:：]+|[\\s:：]+$', '', 'g')) low from l where line <> ''), h as ({_labels_sql()})
+    select doc_id, field as label, arg_min(struct_pack(v := value), k).v as value from h where alone or value is not null group by 1, 2""",
+)
 def _(spark, sf):
-    return T.value_after_label(T.lines(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", ["title", "note", "summary", "please read this note."])
+    lines = T.lines(table(spark, sf, "documents"), "doc_id", "text")
+    return T.value_after_label(lines, "doc_id", LABELS).withColumnRenamed("field", "label")
 
 
 @query("str07_report_lines", r"""with l as (select doc_id, regexp_replace(unnest(regexp_split_to_array(text, '\r?\n')), '^[ \t]+|[ \t]+$', '', 'g') as line from documents) select doc_id, count(*) as n_lines, cast(sum(length(line)) as bigint) as n_chars from l where line <> '' group by 1""")

@@ -38,11 +38,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def _paragraphs(content: bytes) -> list[str]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         root = ElementTree.fromstring(z.read("word/document.xml"))
-    return ["".join(t.text or "" for t in p.iter(f"{WORD_NS}t")) for p in root.iter(f"{WORD_NS}p")]
+    texts = ("".join(t.text or "" for t in p.iter(f"{WORD_NS}t")).strip() for p in root.iter(f"{WORD_NS}p"))
+    return [t for t in texts if t]
 
 
 def read_docx(spark: SparkSession, path: str, glob: str = "*.docx") -> DataFrame:
-    """``path, line_no, line``: the paragraphs of word-processor reports."""
+    """``path, line_no, line``: the paragraphs of word-processor reports, trimmed, blank ones left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

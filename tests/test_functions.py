@@ -37,14 +37,53 @@ def test_text(spark):
         T.number_list("0", 9)
 
 
-def test_reports(spark):
-    text = "DJI_20240102030405_0012_T.JPG\nDJI_20240102030405_0012_T\nAmbient Temperature: 20 C\nEmissivity\n0.95\nPoint P1: x=12, y=34; temperature=25.5 C\nPoint P2: temperature=1 °C\nRegion R1: geometry=polygon[(1,2),(3,4)]; min=21 max=30 mean=25 C\nPoint P3: temperature=72 F\nDJI_20240102030405_0013_T\nEmissivity: 0.9"
-    lines = T.lines(spark.createDataFrame([(1, text), (2, None)], "id long, t string"), "id", "t")
-    m = {(r["kind"], r["name"], r["statistic"]): (r["x"], r["y"], r["value"]) for r in T.measurements(lines, "id").collect()}
-    assert m == {("point", "P1", "value"): (12.0, 34.0, 25.5), ("point", "P2", "value"): (None, None, 1.0), ("region", "R1", "min"): (None, None, 21.0), ("region", "R1", "max"): (None, None, 30.0), ("region", "R1", "mean"): (None, None, 25.0)}
-    v = {r["label"]: r["value"] for r in T.value_after_label(lines, "id", ["emissivity", "ambient temperature"]).collect()}
-    assert v == {"emissivity": "0.95", "ambient temperature": "20 C"}
-    assert [r["entry"] for r in T.report_entries(lines, "id").orderBy("line_no").collect()] == [1] * 9 + [2] * 2
+def text_lines(spark, *texts):
+    return T.lines(spark.createDataFrame(list(enumerate(texts, 1)), "id long, t string"), "id", "t")
+
+
+def test_measurements(spark):
+    text = """Point P1: x=12, y=34; temperature=25.5 C
+        on the wall: point P2 (north) temp = -1 °C and more text
+        Region R.1: geometry=polygon[(1,2),(3,4)]; min=21 max=30 mean=25 C
+        Region R2, a roof; ellipse = 3 4 5; then min = 1.5; max = 2 with mean = 1.75
+        Point P3: temperature=72 F
+        Point P4 value=300 kelvin
+        Point P1 value=3
+        Region R3: min=1 max=2
+        no point in this line"""
+    m = {(r["measurement_id"], r["value"]): (r["kind"], r["x"], r["y"], r["region_type"], r["geometry"], r["status"]) for r in T.measurements(text_lines(spark, text, None), "id").collect()}
+    assert m == {
+        ("P1", 25.5): ("point", 12.0, 34.0, "", "", "duplicate"), ("P1", 3.0): ("point", None, None, "", "", "duplicate"), ("P2", -1.0): ("point", None, None, "", "", "ok"),
+        ("P3", 72.0): ("point", None, None, "", "", "not_celsius"), ("P4", 300.0): ("point", None, None, "", "", "not_celsius"),
+        **{(f"R.1:{s}", v): ("region", None, None, "polygon", "polygon[(1,2),(3,4)]", "ok") for s, v in (("min", 21.0), ("max", 30.0), ("mean", 25.0))},
+        **{(f"R2:{s}", v): ("region", None, None, "region", "3 4 5; then min = 1.5", "ok") for s, v in (("min", 1.5), ("max", 2.0), ("mean", 1.75))},
+    }
+    assert T.valid_measurements(text_lines(spark, "Point A: value=1"), "id").count() == 1
+    for bad in ("Point A: value=1 F", "Point A: value=1\nPoint A: value=2"):
+        with pytest.raises(Exception, match="not_celsius|duplicate"):
+            T.valid_measurements(text_lines(spark, bad), "id").collect()
+
+
+def test_values_after_labels(spark):
+    fields = {"e": ("发射率", "Emissivity"), "t": ("Ambient Temperature", "Ambient Temp"), "d": ("Distance",)}
+    lines = text_lines(spark, "EMISSIVITY：\n0.95\nAmbient Temp: 20 C\nAmbient Temperature: 21 C\nDistance", "发射率： 0,9\n距离\n5", None)
+    v = {(r["id"], r["field"]): r["value"] for r in T.value_after_label(lines, "id", fields).collect()}
+    assert v == {(1, "e"): "0.95", (1, "t"): "20 C", (1, "d"): None, (2, "e"): "0,9"}
+
+
+def test_report_records(spark):
+    first = "Report\nimage DJI_20240102030405_0012_T.JPG\nDJI_20240102030405_0012_T.jpg\n环境温度\n-3,5 °C\n反射温度：20\n空气湿度 60%\nEmissivity\n0.95\nObject Distance: 5.5 m\n2024/01/02 03:04:05\nGPS: 22.5, 114,25\n设备型号：M3T\nWidth: 640\nSerial Number\nX1"
+    text = first + "\nDJI_20240102030406_0013_T.JPEG\nDJI_20240102030405_0012_T.JPG\nHeight 512 px"
+    assert [r["entry"] for r in T.report_entries(text_lines(spark, text), "id").orderBy("line_no").collect()] == [0] + [1] * 15 + [2] + [3] * 2
+    one, two, three = [r.asDict() for r in T.report_records(text_lines(spark, text), "id").orderBy("report_entry_index").collect()]
+    assert len(one) == 23
+    want = {
+        "image_name": "DJI_20240102030405_0012_T.JPG", "image_id": "DJI_20240102030405_0012", "ambient_parse_status": "ok", "ambient_temperature_c": -3.5, "reflected_temperature_c": 20.0, "humidity_percent": 60.0, "emissivity": 0.95,
+        "distance_m": 5.5, "report_capture_datetime": "2024-01-02 03:04:05", "gps_latitude_report": 22.5, "gps_longitude_report": 114.25, "camera_model_report": "M3T", "serial_number_report": "X1", "image_width_report": 640, "image_height_report": None, "aperture_report": "",
+    }
+    assert {k: one[k] for k in want} == want and one["raw_parameter_text"] == "\n".join(first.split("\n")[1:])
+    assert (two["image_id"], two["ambient_parse_status"], two["raw_parameter_text"]) == ("DJI_20240102030406_0013", "missing", "DJI_20240102030406_0013_T.JPEG")
+    assert three["image_height_report"] == 512
 
 
 def test_geometry(spark):
@@ -90,10 +129,3 @@ def test_hong_kong_grid(spark):
     a, b = one(spark, geo.hong_kong_grid(F.lit(22.40), F.lit(114.10)), geo.hong_kong_grid(F.lit(22.41), F.lit(114.11)))
     flat = math.hypot(b["easting"] - a["easting"], b["northing"] - a["northing"])
     assert flat == pytest.approx(one(spark, geo.haversine_m(F.lit(22.40), F.lit(114.10), F.lit(22.41), F.lit(114.11)))[0], rel=5e-3)
-
-
-def test_report_records(spark):
-    text = "DJI_20240102030405_0012_T\nEmissivity\n0.95\nDJI_20240102030405_0013_T\nEmissivity: 0.9\nDistance: 5 m"
-    lines = T.lines(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t")
-    got = [tuple(r) for r in T.report_records(lines, "id", ["emissivity", "distance"]).orderBy("entry").collect()]
-    assert got == [(1, 1, "DJI_20240102030405_0012_T", "0.95", None), (1, 2, "DJI_20240102030405_0013_T", "0.9", "5 m")]

@@ -32,7 +32,7 @@ def test_listing_and_reports(spark, tmp_path):
         z.writestr("word/document.xml", f"<w:document {ns}><w:body><w:p><w:r><w:t>Ambient</w:t></w:r><w:r><w:t>: 20</w:t></w:r></w:p><w:p/></w:body></w:document>")
     f = files.list_files(spark, str(tmp_path)).collect()
     assert [(r["image"], r["sample"], r["role"]) for r in f] == [("DJI_20240102030405_0012", 12, "T")]
-    assert [r["line"] for r in files.read_docx(spark, str(tmp_path)).orderBy("line_no").collect()] == ["Ambient: 20", ""]
+    assert [r["line"] for r in files.read_docx(spark, str(tmp_path)).orderBy("line_no").collect()] == ["Ambient: 20"]
     assert [r["line"] for r in files.read_lines(spark, str(tmp_path / "s" / "note.txt")).orderBy("line_no").collect()] == ["a", "b", ""]
     assert files.file_digests(spark, str(tmp_path), "*.txt").count() == 1
 
