@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from calorgrid.llm import packing, quantiles, reading, sample, tokenize
 from calorgrid.operators.selection import exact_quantiles
-from calorgrid.runtime import drop_scratch, scratch, table
+from calorgrid.runtime import broadcast_if_small, drop_scratch, scratch, table
 
 STRATUM = ["analysis_family", "group_name", "image_id"]
 
@@ -131,8 +131,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     judged = scratch(published.join(known, same(published, known)).select("summary_id", *SUMMARY_KEYS, *PERCENTILES, wrong.alias("wrong"), (wrong | sure).alias("sure")))
     found = judged.where("wrong").select("summary_id")
     open_rows = judged.where("not sure")
-    if not open_rows.isEmpty():  # the bounds leave these open: exact percentiles of their groups decide
-        keys = open_rows.select(*[F.col(c).alias(f"__{c}") for c in SUMMARY_KEYS]).distinct()
+    n_open = open_rows.count()
+    if n_open:  # the bounds leave these open: exact percentiles of their groups decide
+        keys = broadcast_if_small(open_rows.select(*[F.col(c).alias(f"__{c}") for c in SUMMARY_KEYS]).distinct(), n_open)
         held = packs.join(keys, same(packs, keys), "left_semi").select(*SUMMARY_KEYS, "image_id", F.explode(F.arrays_zip("pos", "vals")).alias("x"))
         values = held.groupBy(*SUMMARY_KEYS, "image_id", "x.pos").agg(F.min("x.vals").alias("d"))
         exact = exact_quantiles(values, SUMMARY_KEYS, F.col("d"), {f"__{q}": p for q, p in PERCENTILES.items()})
