@@ -138,16 +138,16 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=_SUMS)
 
 
-def rank_statistics(df: DataFrame, group: str, value: str, scope: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def rank_statistics(df: DataFrame, group: str, value: str, scope: Column | None = None, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(groups, pairs)``: per group ``s, g, n, rank_sum`` over all groups of its scope with ``n_all, ties``; per pair ``a < b`` of a scope ``s, n_a, n_b, u`` (of a) and ``ties``.
 
     Scopes (text, one if none is given) are ranked apart. Null, NaN and infinite values and null groups are
-    left out. Groups are meant to be few: all their pairs come out, and a task holds a number per pair.
+    left out. ``weight`` is how often a row's value counts. Groups are meant to be few: all their pairs come out, and a task holds a number per pair.
     """
     v = F.col(value).cast("double")
     s = F.lit("") if scope is None else scope.cast("string")
     rows = df.where(F.col(group).isNotNull() & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    counts = scratch(rows.groupBy(s.alias("s"), F.col(group).cast("string").alias("g"), (v + F.lit(0.0)).alias("v")).agg(F.count("*").alias("n")))
+    counts = scratch(rows.groupBy(s.alias("s"), F.col(group).cast("string").alias("g"), (v + F.lit(0.0)).alias("v")).agg((F.sum(weight) if weight else F.count("*")).alias("n")))
     sizes = scratch(counts.groupBy("s", "g").agg(F.sum("n").alias("n")))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = scratch(counts.repartitionByRange(parts, "s", "v").withColumn("p", F.spark_partition_id()))  # a value of a scope lies in one partition

@@ -14,7 +14,7 @@ from calorgrid.operators import quality as QA, ranks, temporal as T, thinning
 from calorgrid.operators.selection import exact_quantiles
 from calorgrid.plans.registry import Registry
 from calorgrid.plans.scalars import FAMILY_SQL, GRID_SQL, _mix_sql, family_groups, grid, px
-from calorgrid.runtime import scratch, table
+from calorgrid.runtime import scratch, side_by_side, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -41,10 +41,15 @@ def _(spark, sf):
     return c.select("image_id", "group_name", F.col("thermal_row").cast("int").alias("thermal_row"), F.col("thermal_col").cast("int").alias("thermal_col"))
 
 
-def family_sample(spark, sf, family, seeds=(SEED,)):
-    """Formal pixels of an analysis family, once per group, and their thinned sample with their values."""
+def family_pixels(spark, sf, family):
+    """Formal pixels of an analysis family, once per group."""
     p = family_groups(px(spark, sf)).where(F.col("family") == family)
-    pixels = scratch(p.groupBy("image_id", "thermal_row", "thermal_col", "group_name").agg(F.min(F.col("delta_t_c").cast("double")).alias("delta_t_c"), F.min("luhk_class_code").alias("luhk_class_code")))
+    return scratch(p.groupBy("image_id", "thermal_row", "thermal_col", "group_name").agg(F.min(F.col("delta_t_c").cast("double")).alias("delta_t_c"), F.min("luhk_class_code").alias("luhk_class_code")))
+
+
+def family_sample(spark, sf, family, seeds=(SEED,)):
+    """The pixels of a family and their thinned sample with their values."""
+    pixels = family_pixels(spark, sf, family)
     return pixels, thinning.thinned_sample(pixels, list(seeds), tile=TILE, per_image=PER_IMAGE, per_group=PER_GROUP)
 
 
@@ -54,10 +59,10 @@ def _sample(spark, sf, seeds=(SEED,)):
 
 def _families(spark, sf, families, seeds=(SEED,)):
     """The samples of several families, with the family as a column."""
-    out = None
-    for family in families:
-        s = family_sample(spark, sf, family, seeds)[1].withColumn("family", F.lit(family))
-        out = s if out is None else out.unionByName(s)
+    samples = side_by_side(spark, *[lambda f=f: family_sample(spark, sf, f, seeds)[1].withColumn("family", F.lit(f)) for f in families])
+    out = samples[0]
+    for s in samples[1:]:
+        out = out.unionByName(s)
     return out
 
 
@@ -214,13 +219,21 @@ def _(spark, sf):
     A pair is stable if mean, median and effect agree in at least 0.8 of the secondary seeds each, and
     cannot be concluded on where a group has too few sampled pixels or images of the primary seed.
     """
-    s = _families(spark, sf, ["luhk", "surface_cover"], SEEDS)
-    s = scratch(s.select(F.concat_ws("|", "family", F.col("seed").cast("string")).alias("s"), "family", "seed", "group_name", "image_id", F.round("delta_t_c", 6).alias("v")))
-    per = s.groupBy("s", "family", "seed", "group_name", "image_id").agg(F.count("*").alias("n"), F.sum("v").alias("t"))
-    means = per.groupBy("s", "family", "seed", "group_name").agg(F.sum("n").alias("n"), F.count("*").alias("images"), (F.sum("t") / F.sum("n")).alias("mean"))
-    q = exact_quantiles(s, ["s", "group_name"], F.col("v"), {"median": 0.5, "q25": 0.25, "q75": 0.75}, reread=True).drop("n_values")
-    groups = scratch(means.join(q, ["s", "group_name"]))  # seeds x groups
-    effects = ranks.rank_statistics(s, "group_name", "v", F.col("s"))[1].select("s", "a", "b", (2.0 * F.col("u") / (F.col("n_a") * F.col("n_b")) - 1).alias("effect"))
+    def counted(family):
+        pixels = family_pixels(spark, sf, family)
+        drawn = thinning.drawn_pixels(pixels, SEEDS, tile=TILE, per_image=PER_IMAGE, per_group=PER_GROUP)
+        # values are counted before the seeds are laid apart
+        c = drawn.groupBy("group_name", F.round("delta_t_c", 6).alias("v"), "seeds").agg(F.count("*").alias("c")).withColumn("seed", F.explode("seeds"))
+        images = pixels.select("group_name", "image_id").distinct().groupBy(F.lit(family).alias("family"), "group_name").agg(F.count("image_id").alias("images"))
+        return scratch(c.groupBy(F.lit(family).alias("family"), "seed", "group_name", "v").agg(F.sum("c").alias("c"))), images
+
+    (c0, i0), (c1, i1) = side_by_side(spark, lambda: counted("luhk"), lambda: counted("surface_cover"))
+    counts, images = c0.unionByName(c1), i0.unionByName(i1)
+    s = counts.withColumn("s", F.concat_ws("|", "family", F.col("seed").cast("string")))
+    q = F.percentile("v", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)), F.col("c"))  # of at most PER_GROUP pixels
+    groups = s.groupBy("s", "family", "seed", "group_name").agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), q.alias("q")).join(images, ["family", "group_name"])
+    groups = scratch(groups.withColumns({"median": F.col("q")[0], "q25": F.col("q")[1], "q75": F.col("q")[2]}).drop("q"))  # seeds x groups
+    effects = ranks.rank_statistics(s, "group_name", "v", F.col("s"), weight="c")[1].select("s", "a", "b", (2.0 * F.col("u") / (F.col("n_a") * F.col("n_b")) - 1).alias("effect"))
     names = ["s", "family", "seed", "group", "n", "images", "mean", "median", "q25", "q75"]
     laid = groups.select("s", "family", "seed", F.col("group_name").alias("group"), "n", "images", "mean", "median", "q25", "q75")
     a, b = (laid.toDF(*[c if c in ("s", "family", "seed") else f"{c}_{side}" for c in names]) for side in "ab")
