@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from calorgrid.operators.selection import FINE, exact_quantiles
+from calorgrid.operators.selection import exact_quantiles
 from calorgrid.runtime import broadcast_if_small, scratch
 
 #: Bins of the excess per spread, from whose counts and sums the tails are fitted.
@@ -89,7 +89,9 @@ def residuals(readings: DataFrame, rules: dict[str, SpikeRule]) -> DataFrame:
     seasons has one level.
     """
     rows = long_form(readings, rules)
-    q = exact_quantiles(rows, ["source", "reading"], F.col("v"), {"q25": 0.25, "centre": 0.5, "q75": 0.75}, reread=True, scale=FINE)
+    keys = ["source", "reading"] if len(rules) > 1 else ["source"]
+    q = exact_quantiles(rows, keys, F.col("v"), {"q25": 0.25, "centre": 0.5, "q75": 0.75}, reread=True)
+    q = q if "reading" in keys else q.withColumn("reading", F.lit(next(iter(rules))))
     levels = scratch(q.select("source", "reading", "centre", F.greatest(F.col("q75") - F.col("q25"), _by_reading(rules, "floor")).alias("spread"), F.col("n_values").alias("n_source")))
     judged = _joined(rows, levels, levels.count(), ["source", "reading"])
     reach = _by_reading(rules, "peak") * F.col("spread")
