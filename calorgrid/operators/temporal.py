@@ -23,20 +23,22 @@ def duplicate_times(captures: DataFrame, stratum: Sequence[str], at: str) -> Dat
     return captures.join(right, cond, "left").withColumn("duplicate_time", F.col("__n").isNotNull()).select(*captures.columns, "duplicate_time")
 
 
-def peak_to_trough(captures: DataFrame, keys: Sequence[str], image: str, at: str, statistics: dict[str, str]) -> DataFrame:
+def peak_to_trough(captures: DataFrame, keys: Sequence[str], image: str, at: str, statistics: dict[str, str | tuple[str, str]]) -> DataFrame:
     """Per key and statistic the highest and lowest capture, their distance in value and in hours.
 
-    ``statistics`` maps names to columns. Fewer than two distinct images, or no finite value, give an
-    unavailable row with the reason. Of equal values the earliest capture counts, then the smaller image id.
+    ``statistics`` maps names to a column, or to one whose maximum and one whose minimum counts. Fewer than
+    two distinct images, or no finite value, give an unavailable row with the reason. Of equal values the
+    earliest capture counts, then the smaller image id.
     """
-    stats = F.array(*[F.struct(F.lit(name).alias("statistic"), F.col(c).cast("double").alias("v")) for name, c in statistics.items()])
-    long = captures.select(*keys, F.col(image).alias("__i"), _us(at).alias("__t"), F.explode(stats).alias("s")).select(*keys, "__i", "__t", "s.statistic", "s.v")
-    ok = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))
-    at_ = F.struct("v", "__t", "__i")
-    high = F.min_by(at_, F.when(ok, F.struct((-F.col("v")).alias("a"), "__t", "__i")))
-    low = F.min_by(at_, F.when(ok, F.struct("v", "__t", "__i")))
+    sides = {name: c if isinstance(c, tuple) else (c, c) for name, c in statistics.items()}
+    stats = F.array(*[F.struct(F.lit(name).alias("statistic"), F.col(c).cast("double").alias("v"), F.col(d).cast("double").alias("w")) for name, (c, d) in sides.items()])
+    long = captures.select(*keys, F.col(image).alias("__i"), _us(at).alias("__t"), F.explode(stats).alias("s")).select(*keys, "__i", "__t", "s.*")
+    ok = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    v, w = F.col("v"), F.col("w")
+    high = F.min_by(F.struct("v", "__t", "__i"), F.when(ok(v), F.struct((-v).alias("a"), "__t", "__i")))
+    low = F.min_by(F.struct(w.alias("v"), "__t", "__i"), F.when(ok(w), F.struct("w", "__t", "__i")))
     g = long.groupBy(*keys, "statistic").agg(F.count_distinct("__i").alias("n_captures"), high.alias("h"), low.alias("l"))
-    reason = F.when(F.col("n_captures") < 2, "fewer_than_two_compatible_captures").when(F.col("h").isNull(), "value_missing").otherwise("")
+    reason = F.when(F.col("n_captures") < 2, "fewer_than_two_compatible_captures").when(F.col("h").isNull() | F.col("l").isNull(), "value_missing").otherwise("")
     g = g.withColumn("unavailable_reason", reason)
     got = lambda c: F.when(F.col("unavailable_reason") == "", c)
     return g.select(

@@ -13,7 +13,7 @@ from calorgrid.functions.predicates import finite
 from calorgrid.operators import quality as QA, ranks, temporal as T, thinning
 from calorgrid.operators.selection import exact_quantiles
 from calorgrid.plans.registry import Registry
-from calorgrid.plans.scalars import FAMILY_SQL, GRID_SQL, _mix_sql, family_groups, grid, px
+from calorgrid.plans.scalars import FAMILY_SQL, GRID_SQL, STAMP_SQL, _mix_sql, family_groups, grid, px, stamp
 from calorgrid.runtime import scratch, side_by_side, table
 
 query = Registry()
@@ -304,38 +304,56 @@ def _(spark, sf):
     return q.select("image_id", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
-@query("t05_duplicate_times", "select event_id from (select event_id, count(*) over (partition by user_id, date_trunc('hour', ts)) n from events) where n > 1")
+@query("t05_duplicate_times", f"select record_id from (select record_id, t, count(*) over (partition by flight_id, t) n from (select record_id, flight_id, {STAMP_SQL.format('thermal_path')} t from validation_records)) where n > 1")
 def _(spark, sf):
-    e = table(spark, sf, "events").withColumn("hour", F.date_trunc("hour", F.col("ts").cast("timestamp")))
-    return T.duplicate_times(e, ["user_id"], "hour").where("duplicate_time").select("event_id")
+    v = table(spark, sf, "validation_records").select("record_id", "flight_id", stamp("thermal_path").alias("t"))
+    return T.duplicate_times(v, ["flight_id"], "t").where("duplicate_time").select("record_id")
+
+
+CAPTURE_STATISTICS = {"mean": "mean", "median": "median", "q95": "q95", "max": "max", "absolute_pixel": ("max", "min")}
+
+
+def capture_series(spark, sf):
+    """Each flight's captures with time, local day and the statistics of their eligible temperatures, each pixel once."""
+    p = px(spark, sf).where(F.col("analysis_eligible") & F.col("target_mask") & finite(F.col("temperature_c")))
+    p = scratch(p.groupBy("flight_id", "image_id", "thermal_row", "thermal_col").agg(F.min(F.col("temperature_c").cast("double")).alias("v")))
+    q = exact_quantiles(p, ["flight_id", "image_id"], F.col("v"), {"median": 0.5, "q95": 0.95}, reread=True).drop("n_values").withColumnsRenamed({"flight_id": "__f", "image_id": "__i"})
+    m = p.groupBy("flight_id", "image_id").agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.min("v").alias("min"))
+    c = m.join(q, m["flight_id"].eqNullSafe(q["__f"]) & m["image_id"].eqNullSafe(q["__i"])).drop("__f", "__i")
+    return c.withColumn("at", stamp("image_id")).withColumn("window_id", F.date_format("at", "yyyy-MM-dd"))
+
+
+_SERIES_SQL = f"""(select flight_id, image_id, {STAMP_SQL.format('image_id')} t, avg(v) mean, quantile_cont(v, 0.5) median, quantile_cont(v, 0.95) q95, max(v) hi, min(v) lo from
+    (select flight_id, image_id, thermal_row, thermal_col, min(cast(temperature_c as double)) v from pixel_samples where analysis_eligible and target_mask and isfinite(temperature_c) group by 1, 2, 3, 4) group by 1, 2)"""
 
 
 @query(
     "t08_peak_to_trough",
-    """with e as (select user_id, cast(ts as date) w, event_id, epoch_us(ts) t, value v from events where isfinite(value)), g as (select user_id, w, count(distinct event_id) n, arg_min(struct_pack(v := v, t := t, i := event_id), struct_pack(a := -v, t := t, i := event_id)) h, arg_min(struct_pack(v := v, t := t, i := event_id), struct_pack(a := v, t := t, i := event_id)) l from e group by 1, 2)
-    select user_id, strftime(w, '%Y-%m-%d') as window_id, n as n_captures, case when n < 2 then 'fewer_than_two_compatible_captures' else '' end as unavailable_reason, round(case when n >= 2 then h.v - l.v end, 4) as range, case when n >= 2 then h.i end as max_image, case when n >= 2 then l.i end as min_image, round(case when n >= 2 then abs(h.t - l.t) / 3.6e9 end, 5) as hours_between from g""",
+    f"""with e as (select flight_id, strftime(t, '%Y-%m-%d') w, image_id, epoch_us(t) t, s.k k, s.h h, s.l l from (select *, unnest([{{'k': 'mean', 'h': mean, 'l': mean}}, {{'k': 'median', 'h': median, 'l': median}}, {{'k': 'q95', 'h': q95, 'l': q95}}, {{'k': 'max', 'h': hi, 'l': hi}}, {{'k': 'absolute_pixel', 'h': hi, 'l': lo}}]) s from {_SERIES_SQL})),
+    g as (select flight_id, w, k, count(distinct image_id) n, arg_min(struct_pack(v := h, t := t, i := image_id), struct_pack(a := -h, t := t, i := image_id)) h, arg_min(struct_pack(v := l, t := t, i := image_id), struct_pack(a := l, t := t, i := image_id)) l from e group by 1, 2, 3)
+    select flight_id, w as window_id, k as statistic, n as n_captures, case when n < 2 then 'fewer_than_two_compatible_captures' else '' end as unavailable_reason, round(case when n >= 2 then h.v - l.v end, 4) as range, case when n >= 2 then h.i end as max_image, case when n >= 2 then l.i end as min_image, round(case when n >= 2 then abs(h.t - l.t) / 3.6e9 end, 5) as hours_between from g""",
 )
 def _(spark, sf):
-    e = table(spark, sf, "events").where(finite(F.col("value"))).withColumn("window_id", F.date_format("ts", "yyyy-MM-dd"))
-    r = T.peak_to_trough(e, ["user_id", "window_id"], "event_id", "ts", {"mean": "value"})
-    return r.select("user_id", "window_id", "n_captures", "unavailable_reason", F.round("range", 4).alias("range"), "max_image", "min_image", F.round("hours_between", 5).alias("hours_between"))
+    r = T.peak_to_trough(capture_series(spark, sf), ["flight_id", "window_id"], "image_id", "at", CAPTURE_STATISTICS)
+    return r.select("flight_id", "window_id", "statistic", "n_captures", "unavailable_reason", F.round("range", 4).alias("range"), "max_image", "min_image", F.round("hours_between", 5).alias("hours_between"))
 
 
 @query(
     "t09_sampling_coverage",
-    """with e as (select user_id, ts, event_id, epoch_us(ts) t, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) g from events),
-    s as (select user_id, count(*) n, (max(t) - min(t)) / 3.6e9 span, max(g) / 3.6e9 gap, bool_or(hour(ts) >= 6 and hour(ts) < 18) d, bool_or(hour(ts) < 6 or hour(ts) >= 18) k from e group by 1),
+    f"""with c as (select distinct flight_id, image_id, {STAMP_SQL.format('image_id')} ts from subzero_qa where {STAMP_SQL.format('image_id')} is not null), e as (select *, epoch_us(ts) t, epoch_us(ts) - lag(epoch_us(ts)) over (partition by flight_id order by ts, image_id) g from c),
+    s as (select flight_id, count(*) n, (max(t) - min(t)) / 3.6e9 span, max(g) / 3.6e9 gap, bool_or(hour(ts) >= 6 and hour(ts) < 18) d, bool_or(hour(ts) < 6 or hour(ts) >= 18) k from e group by 1),
     f as (select *, concat_ws(';', case when n < 6 then 'fewer_than_six_eligible_captures' end, case when not d then 'daytime_not_represented' end, case when not k then 'nighttime_not_represented' end, case when span < 23 then 'observation_span_less_than_23_hours' end, case when coalesce(gap > 4, true) then 'maximum_sampling_gap_exceeds_four_hours' end) x from s)
-    select user_id, n as n_captures, round(span, 4) as span_hours, round(gap, 4) as largest_gap_hours, x as gate_failures, case when n = 1 then 'single_capture' when x = '' then 'full_day_sampling_design_confirmed' when d and k then 'day_and_night_observed_but_daily_extrema_not_established' else 'partial_observation_window' end as status from f""",
+    select flight_id, n as n_captures, round(span, 4) as span_hours, round(gap, 4) as largest_gap_hours, x as gate_failures, case when n = 1 then 'single_capture' when x = '' then 'full_day_sampling_design_confirmed' when d and k then 'day_and_night_observed_but_daily_extrema_not_established' else 'partial_observation_window' end as status from f""",
 )
 def _(spark, sf):
-    c = T.sampling_coverage(table(spark, sf, "events"), ["user_id"], "event_id", "ts", F.hour("ts"), True)
-    return c.select("user_id", "n_captures", F.round("span_hours", 4).alias("span_hours"), F.round("largest_gap_hours", 4).alias("largest_gap_hours"), "gate_failures", "status")
+    c = table(spark, sf, "subzero_qa").select("flight_id", "image_id", stamp("image_id").alias("at")).where("at is not null").distinct()
+    c = T.sampling_coverage(c, ["flight_id"], "image_id", "at", F.hour("at"), True)
+    return c.select("flight_id", "n_captures", F.round("span_hours", 4).alias("span_hours"), F.round("largest_gap_hours", 4).alias("largest_gap_hours"), "gate_failures", "status")
 
 
-@query("t10_series_groups", "select user_id, event_type, count(distinct event_id) as n_images from events group by 1, 2 having count(distinct event_id) >= 2")
+@query("t10_series_groups", "select target_id, measurement_type, count(distinct image_id) as n_images from pixel_samples group by 1, 2 having count(distinct image_id) >= 2")
 def _(spark, sf):
-    return T.series_groups(table(spark, sf, "events"), ["user_id", "event_type"], "event_id")
+    return T.series_groups(px(spark, sf).select("target_id", "measurement_type", "image_id").distinct(), ["target_id", "measurement_type"], "image_id")
 
 
 @query(

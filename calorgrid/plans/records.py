@@ -258,11 +258,11 @@ def _(spark, sf):
     return p.groupBy("target_id").agg(many("name", "several_names").alias("a"), many("flight_id", "several_flights").alias("b"), many("measurement_type", "several_measurements").alias("c")).select("target_id", F.concat_ws(";", "a", "b", "c").alias("conflicts"))
 
 
-@query("t07_outside_windows", "select event_id from events where not (ts between timestamp '2024-01-01 00:00:00' and timestamp '2024-01-20 23:59:59' or ts between timestamp '2024-05-01 00:00:00' and timestamp '2024-05-31 23:59:59')")
+@query("t07_outside_windows", "select qa_id from subzero_qa where not coalesce(generated_at between timestamp '2023-01-01 00:00:00' and timestamp '2023-06-30 23:59:59' or generated_at between timestamp '2025-05-01 00:00:00' and timestamp '2025-05-31 23:59:59', false)")
 def _(spark, sf):
-    spans = [("a", "2024-01-01 00:00:00", "2024-01-20 23:59:59"), ("b", "2024-05-01 00:00:00", "2024-05-31 23:59:59")]
-    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.select("event_id").join(J.in_windows(e, "ts", spans).select("event_id"), "event_id", "left_anti")
+    spans = [("a", "2023-01-01 00:00:00", "2023-06-30 23:59:59"), ("b", "2025-05-01 00:00:00", "2025-05-31 23:59:59")]
+    e = table(spark, sf, "subzero_qa").withColumn("at", F.col("generated_at").cast("timestamp"))
+    return e.select("qa_id").join(J.in_windows(e, "at", spans).select("qa_id"), "qa_id", "left_anti")
 
 
 @query("qa04_sample_checks", "select count(*) as n_rows, count(*) - count(distinct manifest_id) as n_repeated, count(*) filter (where sampled_pixel_count > eligible_pixel_count) as n_impossible, count(*) filter (where sampling_seed is null) as n_without_seed, count(distinct sampling_seed) as n_seeds from sampling_manifest")

@@ -9,7 +9,7 @@ from calorgrid.operators import describe as D, joins as J
 from calorgrid.operators.selection import exact_quantiles
 from calorgrid.plans.analysis import family_sample, sample_sql
 from calorgrid.plans.registry import Registry
-from calorgrid.plans.scalars import FAMILY_SQL, GRID_SQL, family_groups, grid, px
+from calorgrid.plans.scalars import FAMILY_SQL, GRID_SQL, STAMP_SQL, family_groups, grid, px, stamp
 from calorgrid.runtime import scratch, table
 
 query = Registry()
@@ -53,13 +53,14 @@ def _(spark, sf):
     return table(spark, sf, "embeddings").join(F.broadcast(names), F.col("label") == F.col("id"), "left").select("vec_id", F.coalesce("cover", F.lit(NO_COVER)).alias("cover"))
 
 
-@query("join06_pair_in_time", """with v as (select * from events where event_id % 2 = 0), t as (select * from events where event_id % 2 = 1),
-    p as (select v.event_id l, count(t.event_id) n, min(t.event_id) r, min(abs(epoch_us(v.ts) - epoch_us(t.ts)) / 1e6) g from v left join t on v.user_id = t.user_id and abs(epoch_us(v.ts) - epoch_us(t.ts)) <= 21600000000 group by 1)
-    select l as visible_id, case when n = 1 then r end as thermal_id, n as n_candidates, round(case when n = 1 then g end, 6) as gap_s from p""")
+@query("join06_pair_in_time", f"""with v as (select record_id, flight_id, {STAMP_SQL.format('visible_path')} ts from validation_records), t as (select qa_id, flight_id, {STAMP_SQL.format('image_id')} ts from subzero_qa),
+    p as (select v.record_id l, count(t.qa_id) n, min(t.qa_id) r, min(abs(epoch_us(v.ts) - epoch_us(t.ts)) / 1e6) g from v left join t on v.flight_id = t.flight_id and abs(epoch_us(v.ts) - epoch_us(t.ts)) <= 15000000 group by 1)
+    select l as record_id, case when n = 1 then r end as qa_id, n as n_candidates, round(case when n = 1 then g end, 6) as gap_s from p""")
 def _(spark, sf):
-    e = table(spark, sf, "events")
-    v, t = e.where("event_id % 2 = 0").withColumnRenamed("event_id", "visible_id"), e.where("event_id % 2 = 1").withColumnRenamed("event_id", "thermal_id")
-    return J.pair_in_time(v, t, key="user_id", left_id="visible_id", right_id="thermal_id", at="ts", tolerance_s=21600).withColumn("gap_s", F.round("gap_s", 6))
+    """Delivered captures with the one QA capture of their flight within 15 seconds."""
+    v = table(spark, sf, "validation_records").select("record_id", "flight_id", stamp("visible_path").alias("ts"))
+    t = table(spark, sf, "subzero_qa").select("qa_id", "flight_id", stamp("image_id").alias("ts"))
+    return J.pair_in_time(v, t, key="flight_id", left_id="record_id", right_id="qa_id", at="ts", tolerance_s=15).withColumn("gap_s", F.round("gap_s", 6))
 
 
 _FILES_SQL = """(select distinct flight_id folder, regexp_extract(p, 'DJI_(\\d{14})_(\\d+)', 0) base, cast(regexp_extract(p, 'DJI_(\\d{14})_(\\d+)', 2) as bigint) % 400 sample, r role, p path from
@@ -113,14 +114,14 @@ def _(spark, sf):
     return hits.groupBy("record_id").agg(F.count("*").alias("n_cells"), F.round(F.sum("overlap_area") * 1e9, 3).alias("area"))
 
 
-WINDOWS = [("early", "2024-01-01 00:00:00", "2024-03-31 23:59:59"), ("spring", "2024-03-01 00:00:00", "2024-05-31 23:59:59"), ("all", "1970-01-01 00:00:00", "2100-01-01 00:00:00")]
+WINDOWS = [("early", "2023-01-01 00:00:00", "2023-12-31 23:59:59"), ("spring", "2023-03-01 00:00:00", "2024-05-31 23:59:59"), ("all", "1970-01-01 00:00:00", "2100-01-01 00:00:00")]
 _WIN = ", ".join(f"('{n}', timestamp '{a}', timestamp '{b}')" for n, a, b in WINDOWS)
 
 
-@query("join14_windows", f"select window_id, user_id, count(*) as n, round(sum(value), 4) as total from events join (values {_WIN}) w(window_id, a, b) on ts between a and b group by 1, 2")
+@query("join14_windows", f"select window_id, flight_id, count(*) as n, round(sum(mean_temperature_c) filter (where isfinite(mean_temperature_c)), 4) as total from subzero_qa join (values {_WIN}) w(window_id, a, b) on generated_at between a and b group by 1, 2")
 def _(spark, sf):
-    e = J.in_windows(table(spark, sf, "events").withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC")), "ts", WINDOWS)
-    return e.groupBy("window_id", "user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    e = J.in_windows(table(spark, sf, "subzero_qa").withColumn("at", F.to_utc_timestamp(F.col("generated_at").cast("timestamp"), "UTC")), "at", WINDOWS)
+    return e.groupBy("window_id", "flight_id").agg(F.count("*").alias("n"), F.round(F.sum(F.when(finite(F.col("mean_temperature_c")), F.col("mean_temperature_c"))), 4).alias("total"))
 
 
 @query("join17_semi", "select qa_id from subzero_qa q where exists (select 1 from pixel_samples p where p.image_id = q.image_id and p.target_id = 'tgt-0417')")
@@ -303,10 +304,10 @@ def _(spark, sf):
     return px(spark, sf).where(finite(F.col("temperature_c"))).withColumn("r", F.row_number().over(w)).where("r <= 5").select("row_id")
 
 
-@query("win04_gap_seconds", "select event_id, round((epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 1e6, 6) as gap_s from events")
+@query("win04_gap_seconds", f"select qa_id, round((epoch_us(t) - lag(epoch_us(t)) over (partition by flight_id order by t nulls first, qa_id)) / 1e6, 6) as gap_s from (select qa_id, flight_id, {STAMP_SQL.format('image_id')} t from subzero_qa)")
 def _(spark, sf):
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, sf, "events").select("event_id", F.round((us - F.lag(us).over(W.partitionBy("user_id").orderBy("ts", "event_id"))) / 1e6, 6).alias("gap_s"))
+    q = table(spark, sf, "subzero_qa").select("qa_id", "flight_id", F.unix_micros(stamp("image_id")).alias("us"))
+    return q.select("qa_id", F.round((F.col("us") - F.lag("us").over(W.partitionBy("flight_id").orderBy("us", "qa_id"))) / 1e6, 6).alias("gap_s"))
 
 
 @query("win05_duplicates", "select record_id from (select record_id, count(*) over (partition by image_id, capture_datetime) n from validation_records) where n > 1")
@@ -321,10 +322,10 @@ def _(spark, sf):  # a hot key is counted map-side and joined back, not gathered
     return c.join(n, c["group_name"].eqNullSafe(n["__g"])).select("coverage_id", "population")
 
 
-@query("win07_first_last", "select user_id, arg_min(event_id, struct_pack(t := ts, e := event_id)) as first_event, arg_max(event_id, struct_pack(t := ts, e := event_id)) as last_event from events group by 1")
+@query("win07_first_last", "select flight_id, arg_min(qa_id, struct_pack(t := generated_at, e := qa_id)) as first_qa, arg_max(qa_id, struct_pack(t := generated_at, e := qa_id)) as last_qa from subzero_qa where generated_at is not null group by 1")
 def _(spark, sf):
-    k = F.struct("ts", "event_id")
-    return table(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_id", k).alias("first_event"), F.max_by("event_id", k).alias("last_event"))
+    k = F.struct("generated_at", "qa_id")
+    return table(spark, sf, "subzero_qa").where("generated_at is not null").groupBy("flight_id").agg(F.min_by("qa_id", k).alias("first_qa"), F.max_by("qa_id", k).alias("last_qa"))
 
 
 @query("srt02_pilot_selection", """select record_id from (select record_id, case validation_status when 'pass' then 0 when 'warn' then 1 else 2 end r, altitude_m from validation_records where thermal_path is not null) order by r, altitude_m desc nulls last, record_id limit 5""")

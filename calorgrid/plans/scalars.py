@@ -26,6 +26,15 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
 GRID_SQL = """(select printf('IMG_%05d', vec_id // 64) image_id, cast(vec_id % 64 as int) thermal_row, cast(generate_subscripts(embedding, 1) - 1 as int) thermal_col, cast(unnest(embedding) as double) v, label from embeddings)"""
 
 
+#: The capture time in a file name or image id, as SQL.
+STAMP_SQL = "try_strptime(nullif(regexp_extract({}, 'DJI_([0-9]{{14}})', 1), ''), '%Y%m%d%H%M%S')"
+
+
+def stamp(name):
+    """The same as a column: a time stamp, null where there is none."""
+    return F.try_to_timestamp(F.nullif(F.regexp_extract(name, r"DJI_(\d{14})", 1), F.lit("")), F.lit("yyyyMMddHHmmss"))
+
+
 @query("proj01_delta_t", """select row_id, round(cast(case when isfinite(temperature_c) and isfinite(ambient_temperature_c) then temperature_c - ambient_temperature_c end as double), 4) as delta_t from pixel_samples""")
 def _(spark, sf):
     d = P.delta_t(F.col("temperature_c"), F.col("ambient_temperature_c"))
@@ -290,11 +299,11 @@ def _(spark, sf):
     return table(spark, sf, "validation_records").select("record_id", F.date_format(local, "yyyy-MM-dd").alias("local_date"))
 
 
-@query("dt07_day_night", """select user_id, bool_or(hour(ts) >= 6 and hour(ts) < 18) as day, bool_or(hour(ts) < 6 or hour(ts) >= 18) as night, round(date_diff('microsecond', min(ts), max(ts)) / 3.6e9, 6) as span_hours from events group by 1""")
+@query("dt07_day_night", f"""select flight_id, bool_or(hour(t) >= 6 and hour(t) < 18) as day, bool_or(hour(t) < 6 or hour(t) >= 18) as night, round((epoch_us(max(t)) - epoch_us(min(t))) / 3.6e9, 5) as span_hours from (select flight_id, {STAMP_SQL.format('image_id')} t from subzero_qa) group by 1""")
 def _(spark, sf):
-    h = F.hour("ts")
-    us = lambda c: F.unix_micros(c.cast("timestamp"))
-    return table(spark, sf, "events").groupBy("user_id").agg(F.bool_or((h >= 6) & (h < 18)).alias("day"), F.bool_or((h < 6) | (h >= 18)).alias("night"), F.round((us(F.max("ts")) - us(F.min("ts"))) / 3.6e9, 6).alias("span_hours"))
+    q = table(spark, sf, "subzero_qa").select("flight_id", stamp("image_id").alias("t"))
+    h, us = F.hour("t"), F.unix_micros("t")
+    return q.groupBy("flight_id").agg(F.bool_or((h >= 6) & (h < 18)).alias("day"), F.bool_or((h < 6) | (h >= 18)).alias("night"), F.round((F.max(us) - F.min(us)) / 3.6e9, 5).alias("span_hours"))
 
 
 _HAV = "2 * 6371008.8 * atan2(sqrt({h}), sqrt(greatest(0.0, 1 - ({h}))))"
