@@ -83,4 +83,30 @@ def mutual_information(df: DataFrame, keys: Sequence[str], a: str, b: str, bins:
     hx = plogp(joint.groupBy(*keys, "i").agg(F.sum("n").alias("n"))).withColumnRenamed("h", "hx")
     hy = plogp(joint.groupBy(*keys, "j").agg(F.sum("n").alias("n"))).withColumnRenamed("h", "hy")
     out = plogp(joint).join(hx, list(keys)).join(hy, list(keys))
-    return out.select(*keys, F.when(F.col("h") > 0, (F.col("hx") + F.col("hy")) / F.col("h")).otherwise(F.lit(2.0)).alias("nmi"))
+    nmi = 2 * (F.col("hx") + F.col("hy") - F.col("h")) / F.greatest(F.col("hx") + F.col("hy"), F.lit(1e-12))
+    return out.select(*keys, F.greatest(F.lit(0.0), F.least(F.lit(1.0), nmi)).alias("nmi"))
+
+
+def correlation(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
+    """``keys, ncc``: normalised cross-correlation of two columns over the rows where both are finite; 0 where either does not vary."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    ok = df.where(x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y) & (F.abs(x) < float("inf")) & (F.abs(y) < float("inf")))
+    spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
+    return ok.groupBy(*keys).agg(F.when(spread * F.count("*") > 1e-12, F.try_divide(F.covar_pop(x, y), spread)).otherwise(F.lit(0.0)).alias("ncc"))
+
+
+def edge_overlap(pixels: DataFrame, image: str, row: str, col: str, a: Column, b: Column, reach: int = 2) -> DataFrame:
+    """``image, n_a, n_b, f1``: F1 of two masks where a pixel agrees if the other mask has one within ``reach`` steps along rows and columns.
+
+    0 where either mask is empty or nothing agrees. Repeated pixels count once; images without masked pixels
+    have no row. Masks meet on the pixels they reach, so cost is linear in them.
+    """
+    at = [image, row, col]
+    masks = pixels.where(a | b).select(*at, a.cast("int").alias("a"), b.cast("int").alias("b")).groupBy(*at).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    steps = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if abs(i) + abs(j) <= reach]
+    far = masks.withColumn("s", F.explode(F.array(*steps))).select(image, (F.col(row) + F.col("s.i")).alias(row), (F.col(col) + F.col("s.j")).alias(col), F.col("a").alias("near_a"), F.col("b").alias("near_b"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    own = masks.select(image, F.col(row).cast("int").alias(row), F.col(col).cast("int").alias(col), F.lit(0).alias("near_a"), F.lit(0).alias("near_b"), "a", "b")
+    cells = far.unionByName(own).groupBy(*at).agg(*[F.max(c).alias(c) for c in ("near_a", "near_b", "a", "b")]).where("a = 1 or b = 1")
+    g = cells.groupBy(image).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * F.col("near_b")).alias("x"), F.sum(F.col("b") * F.col("near_a")).alias("y"))
+    precision, recall = F.try_divide(F.col("x"), F.col("n_a")), F.try_divide(F.col("y"), F.col("n_b"))
+    return g.select(image, "n_a", "n_b", F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)).alias("f1"))

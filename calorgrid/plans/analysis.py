@@ -102,7 +102,7 @@ def _(spark, sf):
     return thinning.sampling_manifest(pixels, sample)
 
 
-@query("smp06_sample_checksum")
+@query("smp06_sample_checksum", f"""select seed, count(*) as n, {', '.join(f"cast(sum(cast('0x' || substr(h, {8 * k + 1}, 8) as bigint)) as bigint) as d{k}" for k in range(8))} from (select seed, sha256(group_name || '|' || image_id || '|' || thermal_row || '|' || thermal_col) h from {sample_sql('surface_cover')}) group by 1""")
 def _(spark, sf):
     s = _sample(spark, sf)[1]
     row = F.sha2(F.concat_ws("|", "group_name", "image_id", F.col("thermal_row").cast("string"), F.col("thermal_col").cast("string")), 256)
@@ -249,20 +249,31 @@ def _(spark, sf):
     return out.unionByName(single, allowMissingColumns=True)
 
 
-@query("st09_bootstrap_mean")
-def _(spark, sf):
-    """95 % intervals of the mean by 1000 resamples of each cover's thinned sample, seeded by the cover's name."""
+def _bootstrap(estimate: str):
+    """1000 resamples of a group's values, seeded by its name; the estimate and its 2.5 and 97.5 percentiles."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import zlib
 
+        f = getattr(np, estimate)
         v = pdf.sort_values(["image_id", "thermal_row", "thermal_col"])["delta_t_c"].to_numpy()
         rng = np.random.default_rng(SEED + zlib.crc32(pdf["group_name"].iloc[0].encode()))
-        means = np.array([rng.choice(v, len(v)).mean() for _ in range(1000)])
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame({"group_name": [pdf["group_name"].iloc[0]], "n": [len(v)], "mean": [v.mean()], "low": [low], "high": [high]})
+        estimates = np.array([f(rng.choice(v, len(v))) for _ in range(1000)])
+        low, high = np.quantile(estimates, [0.025, 0.975])
+        return pd.DataFrame({"group_name": [pdf["group_name"].iloc[0]], "n": [len(v)], estimate: [f(v)], "low": [low], "high": [high]})
+
+    return run
 
-    rows = _sample(spark, sf)[1]  # a group's sample holds at most PER_GROUP pixels
-    return rows.groupBy("group_name").applyInPandas(run, "group_name string, n long, mean double, low double, high double")
+
+@query("st09_bootstrap_mean")
+def _(spark, sf):
+    """95 % intervals of the mean of each cover's thinned sample, of at most PER_GROUP pixels."""
+    return _sample(spark, sf)[1].groupBy("group_name").applyInPandas(_bootstrap("mean"), "group_name string, n long, mean double, low double, high double")
+
+
+@query("st09_bootstrap_median")
+def _(spark, sf):
+    """The same of the median."""
+    return _sample(spark, sf)[1].groupBy("group_name").applyInPandas(_bootstrap("median"), "group_name string, n long, median double, low double, high double")
 
 
 @query("st10_density")
@@ -284,7 +295,8 @@ def _(spark, sf):
 @query("st12_pearson", "select image_id, round(abs(corr(cast(temperature_c as double), cast(thermal_row as double))), 6) as r from pixel_samples where isfinite(temperature_c) group by 1")
 def _(spark, sf):
     p = px(spark, sf).where(finite(F.col("temperature_c")))
-    return p.groupBy("image_id").agg(F.round(F.abs(F.corr(F.col("temperature_c").cast("double"), F.col("thermal_row").cast("double"))), 6).alias("r"))
+    t, r = F.col("temperature_c").cast("double"), F.col("thermal_row").cast("double")
+    return p.groupBy("image_id").agg(F.round(F.abs(F.try_divide(F.covar_pop(t, r), F.sqrt(F.var_pop(t) * F.var_pop(r)))), 6).alias("r"))
 
 
 @query(
@@ -292,16 +304,36 @@ def _(spark, sf):
     """with o as (select image_id, cast(temperature_c as double) x, cast(thermal_col as double) y from pixel_samples where not isnan(temperature_c) and temperature_c is not null), e as (select image_id, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from o group by 1),
     j as (select image_id, case when x1 > x0 then least(31, floor((x - x0) / (x1 - x0) * 32)) else 0 end i, case when y1 > y0 then least(31, floor((y - y0) / (y1 - y0) * 32)) else 0 end k, cast(count(*) as double) n from o join e using (image_id) group by 1, 2, 3),
     h as (select image_id, ln(sum(n)) - sum(n * ln(n)) / sum(n) h from j group by 1), hx as (select image_id, ln(sum(n)) - sum(n * ln(n)) / sum(n) h from (select image_id, i, sum(n) n from j group by 1, 2) group by 1), hy as (select image_id, ln(sum(n)) - sum(n * ln(n)) / sum(n) h from (select image_id, k, sum(n) n from j group by 1, 2) group by 1)
-    select image_id, round(case when h.h > 0 then (hx.h + hy.h) / h.h else 2.0 end, 5) as nmi from h join hx using (image_id) join hy using (image_id)""",
+    select image_id, round(greatest(0.0, least(1.0, 2 * (hx.h + hy.h - h.h) / greatest(hx.h + hy.h, 1e-12))), 5) as nmi from h join hx using (image_id) join hy using (image_id)""",
 )
 def _(spark, sf):
     return QA.mutual_information(px(spark, sf), ["image_id"], "temperature_c", "thermal_col").withColumn("nmi", F.round("nmi", 5))
 
 
-@query("st14_display_limits", "select image_id, round(quantile_cont(v, 0.01), 4) as low, round(quantile_cont(v, 0.99), 4) as high from (select image_id, cast(temperature_c as double) v from pixel_samples where isfinite(temperature_c)) group by 1")
+@query("st13_cross_correlation", "select image_id, round(coalesce(case when sqrt(var_pop(x) * var_pop(y)) * count(*) > 1e-12 then corr(x, y) end, 0), 5) as ncc from (select image_id, cast(temperature_c as double) x, cast(thermal_col as double) y from pixel_samples where isfinite(temperature_c) and thermal_col is not null) group by 1")
+def _(spark, sf):
+    return QA.correlation(px(spark, sf), ["image_id"], "temperature_c", "thermal_col").withColumn("ncc", F.round("ncc", 5))
+
+
+@query(
+    "st13_edge_overlap",
+    """with m as (select image_id, thermal_row::int r, thermal_col::int c, max(coalesce(shadow_flag = 1, false)::int) a, max(coalesce(temperature_c < 15, false)::int) b from pixel_samples where coalesce(shadow_flag = 1, false) or coalesce(temperature_c < 15, false) group by 1, 2, 3),
+    o as (select i, j from range(-2, 3) x(i), range(-2, 3) y(j) where abs(i) + abs(j) <= 2), d as (select distinct image_id, r + i r, c + j c, k from (select image_id, r, c, 'a' k from m where a = 1 union all select image_id, r, c, 'b' from m where b = 1), o),
+    s as (select m.image_id, sum(a) na, sum(b) nb, sum(a * (db.k is not null)::int) x, sum(b * (da.k is not null)::int) y from m left join d da on da.k = 'a' and da.image_id = m.image_id and da.r = m.r and da.c = m.c left join d db on db.k = 'b' and db.image_id = m.image_id and db.r = m.r and db.c = m.c group by 1)
+    select image_id, cast(na as bigint) as n_a, cast(nb as bigint) as n_b, round(case when na > 0 and nb > 0 and x + y > 0 then 2 * (x / na) * (y / nb) / (x / na + y / nb) else 0 end, 6) as f1 from s""",
+)
+def _(spark, sf):
+    """How the cold pixels of a capture follow its shaded ones."""
+    a, b = F.coalesce(F.col("shadow_flag") == 1, F.lit(False)), F.coalesce((F.col("temperature_c") < 15) & ~F.isnan("temperature_c"), F.lit(False))
+    return QA.edge_overlap(px(spark, sf), "image_id", "thermal_row", "thermal_col", a, b).withColumn("f1", F.round("f1", 6))
+
+
+@query("st14_display_limits", "select image_id, round(a - p, 4) as low, round(z + p, 4) as high from (select *, case when a = z then greatest(0.5, abs(a) * 0.01) else 0 end p from (select image_id, quantile_cont(v, 0.01) a, quantile_cont(v, 0.99) z from (select image_id, cast(temperature_c as double) v from pixel_samples where isfinite(temperature_c)) group by 1))")
 def _(spark, sf):
-    q = exact_quantiles(px(spark, sf), ["image_id"], F.col("temperature_c"), {"low": 0.01, "high": 0.99})
-    return q.select("image_id", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+    """Where the values of a capture are shown: between its first and last percent, padded where these are equal."""
+    q = exact_quantiles(px(spark, sf), ["image_id"], F.col("temperature_c"), {"low": 0.01, "high": 0.99}, reread=True)
+    pad = F.when(F.col("low") == F.col("high"), F.greatest(F.lit(0.5), F.abs("low") * 0.01)).otherwise(0.0)
+    return q.select("image_id", F.round(F.col("low") - pad, 4).alias("low"), F.round(F.col("high") + pad, 4).alias("high"))
 
 
 @query("t05_duplicate_times", f"select record_id from (select record_id, t, count(*) over (partition by flight_id, t) n from (select record_id, flight_id, {STAMP_SQL.format('thermal_path')} t from validation_records)) where n > 1")

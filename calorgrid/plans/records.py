@@ -74,6 +74,22 @@ def _(spark, sf):
     return table(spark, sf, "luhk_cells").select("luhk_raw_code", "luhk_category_name", c.alias("category")).distinct()
 
 
+_BY_NAME = {v.lower(): k for k, v in COVERS.items() if k not in (0, 9)}
+
+
+@query("proj23_cover_resolver", "select value, id, case when id is not null then name end as cover from (select v.value, c.id, c.name from (select distinct trim(surface_cover_class) as value from pixel_samples union select distinct upper(trim(surface_cover_class)) from pixel_samples union select distinct cast(luhk_raw_code % 11 as varchar) from luhk_cells) v left join (values " + ", ".join(f"({k}, $${v}$$)" for k, v in COVERS.items() if k not in (0, 9)) + ") c(id, name) on try_cast(v.value as int) = c.id or try_cast(v.value as int) is null and lower(v.value) = lower(c.name)) where value is not null")
+def _(spark, sf):
+    """Cover ids of texts that are an id or a name in any case; 0, 9 and unknown ones resolve to nothing."""
+    names = px(spark, sf).select(F.trim("surface_cover_class").alias("value")).distinct()
+    numbers = table(spark, sf, "luhk_cells").select((F.col("luhk_raw_code") % 11).cast("string").alias("value"))
+    values = names.unionByName(names.select(F.upper("value").alias("value"))).unionByName(numbers).where("value is not null").distinct()
+    number = F.col("value").try_cast("int")
+    name_of = F.create_map(*[F.lit(x) for k, v in COVERS.items() if k not in (0, 9) for x in (k, v)])
+    id_of = F.create_map(*[F.lit(x) for k, v in _BY_NAME.items() for x in (k, v)])
+    found = F.when(number.isNull(), id_of[F.lower("value")]).when(name_of[number].isNotNull(), number)
+    return values.select("value", found.alias("id")).withColumn("cover", name_of[F.col("id")])
+
+
 _REASONS = {"temperature_qa_failed": "Temperature check failed", "label_unknown": "No label", "annotation_not_accepted": "Annotation not accepted"}
 
 
@@ -354,16 +370,26 @@ def _(spark, sf):
     return m.select("flight_id", "measurement_id", "kind", "statistic", F.round("value", 6).alias("value"), "x", "status")
 
 
-@query("st11_spectrum_summary", f"""select family, group_name, n, round(m, 4) as mean, round(q, 4) as median, case when n < 100 then 'insufficient_samples' when u < 5 then 'too_few_distinct_values' when sd < 0.02 then 'near_constant' else 'eligible' end as density
-    from (select family, group_name, count(*) n, avg(cast(delta_t_c as double)) m, quantile_cont(cast(delta_t_c as double), 0.5) q, count(distinct delta_t_c) u, stddev_samp(cast(delta_t_c as double)) sd from {FAMILY_SQL} group by 1, 2)""")
+_POOLED = ["measurement_type", "temperature_source", "temperature_definition", "temperature_unit", "ambient_source", "ambient_definition", "ambient_unit", "ambient_data_qa_status", "source_method"]
+
+
+@query("st11_spectrum_summary", f"""with f as (select family, group_name, delta_t_c from {FAMILY_SQL} union all select 'overall', 'all formal pixels', delta_t_c from {FAMILY_SQL} where family = 'image_comparison'), k as (select count(*) n from (select distinct {', '.join(f'coalesce({c}, $$$$) as {c}' for c in _POOLED)} from {FAMILY_SQL} where family = 'image_comparison'))
+    select family, group_name, n, round(m, 4) as mean, round(q, 4) as median, case when family = 'overall' and (select n from k) > 1 then 'not_pooled_heterogeneous_sources' when n < 100 then 'insufficient_samples' when u < 5 then 'too_few_distinct_values' when sd < 0.02 then 'near_constant' else 'eligible' end as density
+    from (select family, group_name, count(*) n, avg(cast(delta_t_c as double)) m, quantile_cont(cast(delta_t_c as double), 0.5) q, count(distinct delta_t_c) u, stddev_samp(cast(delta_t_c as double)) sd from f group by 1, 2)""")
 def _(spark, sf):
-    p = family_groups(px(spark, sf)).select("family", "group_name", F.col("delta_t_c").cast("double").alias("d"))
+    """Every group of every family and all formal pixels, which are not pooled into one density where their sources differ."""
+    d = F.col("delta_t_c").cast("double").alias("d")
+    every = family_groups(px(spark, sf))
+    whole = every.where("family = 'image_comparison'")
+    strata = whole.select(*[F.coalesce(c, F.lit("")).alias(c) for c in _POOLED]).distinct().count()
+    p = every.select("family", "group_name", d).unionByName(whole.select(F.lit("overall").alias("family"), F.lit("all formal pixels").alias("group_name"), d))
     g = p.groupBy("family", "group_name", "d").agg(F.count("*").alias("c"))  # values first, so that a hot group is combined map-side
     s = g.groupBy("family", "group_name").agg(F.sum("c").alias("n"), F.count("*").alias("u"), F.sum(F.col("c") * F.col("d")).alias("s"), F.sum(F.col("c") * F.col("d") * F.col("d")).alias("ss"))
     sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / F.when(F.col("n") > 1, F.col("n") - 1)))
     q = exact_quantiles(p, ["family", "group_name"], F.col("d"), {"q": 0.5}).drop("n_values")
     out = s.join(q, ["family", "group_name"])
-    return out.select("family", "group_name", "n", F.round(F.col("s") / F.col("n"), 4).alias("mean"), F.round("q", 4).alias("median"), density_status(F.col("n"), F.col("u"), sd).alias("density"))
+    status = F.when((F.col("family") == "overall") & F.lit(strata > 1), "not_pooled_heterogeneous_sources").otherwise(density_status(F.col("n"), F.col("u"), sd))
+    return out.select("family", "group_name", "n", F.round(F.col("s") / F.col("n"), 4).alias("mean"), F.round("q", 4).alias("median"), status.alias("density"))
 
 
 @query("agg28_family_totals", "select analysis_family, cast(sum(full_eligible_pixel_count) as bigint) as eligible, cast(sum(sampled_pixel_count) as bigint) as sampled, max(full_image_count) as images from sample_coverage group by 1")

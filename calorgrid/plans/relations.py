@@ -220,6 +220,30 @@ def _(spark, sf):
     return table(spark, sf, "subzero_qa").groupBy("flight_id").agg(below(0).alias("below_0"), below(-5).alias("below_5"), below(-10).alias("below_10"), F.round(100.0 * below(0) / F.count("*"), 6).alias("percent"))
 
 
+def _cold(t):
+    below = lambda c: F.count_if(t < c)
+    return [below(0).alias("below_0"), below(-5).alias("below_5"), below(-10).alias("below_10"), F.round(F.try_divide(100.0 * below(0), F.count(t)), 6).alias("percent")]
+
+
+_COLD = "count(*) filter (where t < 0) as below_0, count(*) filter (where t < -5) as below_5, count(*) filter (where t < -10) as below_10, round(100.0 * count(*) filter (where t < 0) / nullif(count(t), 0), 6) as percent"
+_TEMPERATURES = "(select *, case when isfinite(temperature_c) then cast(temperature_c as double) end t from pixel_samples)"
+
+
+@query("agg14_by_image", f"select image_id, {_COLD} from {_TEMPERATURES} group by 1")
+def _(spark, sf):
+    return px(spark, sf).groupBy("image_id").agg(*_cold(F.when(finite(F.col("temperature_c")), F.col("temperature_c"))))
+
+
+@query("agg14_by_class", f"select image_id, surface_cover_class, {_COLD} from {_TEMPERATURES} group by 1, 2")
+def _(spark, sf):
+    return px(spark, sf).groupBy("image_id", "surface_cover_class").agg(*_cold(F.when(finite(F.col("temperature_c")), F.col("temperature_c"))))
+
+
+@query("agg14_by_shadow", f"select image_id, shadow_flag, {_COLD} from {_TEMPERATURES} where shadow_valid group by 1, 2")
+def _(spark, sf):
+    return px(spark, sf).where("shadow_valid").groupBy("image_id", "shadow_flag").agg(*_cold(F.when(finite(F.col("temperature_c")), F.col("temperature_c"))))
+
+
 @query("agg15_recurring_coordinates", """with k as (select thermal_row, thermal_col, count(distinct image_id) k from pixel_samples where temperature_c > 30 and not isnan(temperature_c) group by 1, 2), h as (select k, count(*) n from k group by 1)
     select cast(s as bigint) as images, coalesce(h.n, 0) as n_coordinates from generate_series(2, greatest(12, (select count(distinct image_id) from pixel_samples))) g(s) left join h on h.k = s""")
 def _(spark, sf):

@@ -345,7 +345,8 @@ def _(spark, sf):
     return e.select("vec_id", F.round(geo.shoelace(F.col("x"), F.col("y")), 6).alias("area"))
 
 
-@query("geo08_valid_polygon")
+@query("geo08_valid_polygon", f"""with e as (select vec_id, [cast(v as double) for v in embedding[1:8]] x, [cast(v as double) for v in embedding[9:16]] y from embeddings), a as (select *, {' + '.join(f"(x[{i + 1}] * y[{(i + 1) % 8 + 1}] - x[{(i + 1) % 8 + 1}] * y[{i + 1}])" for i in range(8))} s from e)
+    select vec_id, len(x) = len(y) and len(x) >= 3 and len([v for v in x || y if v is null or not isfinite(v)]) = 0 and abs(s / 2) >= 1e-6 as valid from a""")
 def _(spark, sf):
     part = lambda a: F.transform(F.slice("embedding", a, 8), lambda v: v.cast("double"))
     e = table(spark, sf, "embeddings").select("vec_id", part(1).alias("x"), part(9).alias("y"))
@@ -403,7 +404,7 @@ def _(spark, sf):
     return table(spark, sf, "sample_coverage").select("group_name", (20260715 + F.crc32(F.col("group_name").cast("binary"))).alias("seed")).distinct()
 
 
-@query("jsn01_interval_json")
+@query("jsn01_interval_json", "select flight_id, cast(to_json([s[i + 1] - s[i] for i in range(1, len(s))]) as varchar) as gaps_json from (select flight_id, list_sort(list(distinct capture_seq)) s from subzero_qa where capture_seq is not null group by 1)")
 def _(spark, sf):
     e = table(spark, sf, "subzero_qa").groupBy("flight_id").agg(F.sort_array(F.collect_set("capture_seq")).alias("s"))  # bounded by the captures of a flight
-    return e.select("flight_id", F.to_json(F.zip_with(F.slice("s", 2, 1 << 30), "s", lambda b, a: b - a)).alias("gaps_json"))
+    return e.select("flight_id", F.to_json(F.zip_with(F.slice("s", 2, F.size("s")), F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))), lambda b, a: b - a)).alias("gaps_json"))

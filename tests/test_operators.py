@@ -154,3 +154,27 @@ def test_alignment(spark):
     assert [r["k"] for r in rows] == ["a"] and rows[0]["rmse"] < 1e-9
     box = spark.range(1).select(alignment.clamped_box(F.lit(-5.0), F.lit(500.0), F.lit(50.0), F.lit(0.2), (640, 512)).alias("b")).first()["b"]
     assert tuple(box) == (0, 500, 50, 501)
+
+
+def test_edge_overlap_against_masks(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.random((30, 30)) < 0.05, rng.random((30, 30)) < 0.04
+    rows = [("i", r, c, bool(a[r, c]), bool(b[r, c])) for r in range(30) for c in range(30)] + [("only", 1, 1, True, False), ("none", 1, 1, False, False)]
+    got = {x["i"]: x for x in QA.edge_overlap(spark.createDataFrame(rows + rows[:40], "i string, r int, c int, a boolean, b boolean"), "i", "r", "c", F.col("a"), F.col("b")).collect()}
+
+    def grown(m):
+        out = np.zeros_like(m)
+        for r, c in zip(*np.nonzero(m)):
+            for i in range(-2, 3):
+                for j in range(-2, 3):
+                    if abs(i) + abs(j) <= 2 and 0 <= r + i < 30 and 0 <= c + j < 30:
+                        out[r + i, c + j] = True
+        return out
+
+    p, q = (a & grown(b)).sum() / a.sum(), (b & grown(a)).sum() / b.sum()
+    assert got["i"]["f1"] == pytest.approx(2 * p * q / (p + q)) and got["only"]["f1"] == 0.0 and "none" not in got
+
+
+def test_correlation_of_what_does_not_vary(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", None, 1.0), ("b", 1.0, 5.0), ("b", 2.0, 5.0), ("c", 1.0, 1.0)], "k string, x double, y double")
+    assert {r["k"]: r["ncc"] for r in QA.correlation(df, ["k"], "x", "y").collect()} == {"a": pytest.approx(1.0), "b": 0.0, "c": 0.0}
