@@ -14,7 +14,7 @@ from calorgrid.operators import quality as QA, ranks, temporal as T, thinning
 from calorgrid.operators.selection import exact_quantiles
 from calorgrid.plans.registry import Registry
 from calorgrid.plans.scalars import FAMILY_SQL, GRID_SQL, STAMP_SQL, _mix_sql, family_groups, grid, px, stamp
-from calorgrid.runtime import scratch, side_by_side, table
+from calorgrid.runtime import broadcast_if_small, scratch, side_by_side, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -395,8 +395,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     g = grid(spark, sf)
-    whole = g.groupBy("image_id").count().where("count = 4096").select("image_id")
-    r = T.pixelwise_range(g.join(F.broadcast(whole), "image_id"), "image_id", "thermal_row", "thermal_col", "v", whole.count())  # noqa: E501
+    whole = scratch(g.groupBy("image_id").count().where("count = 4096").select("image_id"))
+    n = whole.count()
+    r = T.pixelwise_range(g.join(broadcast_if_small(whole, n), "image_id"), "image_id", "thermal_row", "thermal_col", "v", n)
     return r.withColumns({c: F.round(c, 6) for c in ("max_value", "min_value", "range")})
 
 

@@ -11,7 +11,7 @@ from calorgrid.operators.selection import exact_quantiles
 from calorgrid.operators.timenorm import with_parses
 from calorgrid.plans.analysis import _COVER_PX, cover_pixels, family_sample, sample_sql
 from calorgrid.plans.registry import Registry
-from calorgrid.plans.scalars import FAMILY_SQL, GRID_SQL, family_groups, grid, px
+from calorgrid.plans.scalars import CELL_BOXES_SQL, FAMILY_SQL, GRID_SQL, cell_boxes, family_groups, grid, px
 from calorgrid.runtime import scratch, table
 from calorgrid.sources.tables import one_row_each, with_defaults
 
@@ -102,17 +102,21 @@ def _(spark, sf):
     return px(spark, sf).where("exclusion_reason is not null").groupBy("exclusion_reason").agg(F.count("*").alias("n")).select("exclusion_reason", "n", m.alias("message"))
 
 
-@query("dt01_parsed_text", r"""select record_id, epoch_us(strptime(trim(capture_datetime), '%Y:%m:%d %H:%M:%S')) as wall_us from validation_records where regexp_matches(trim(capture_datetime), '^\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}$') and try_strptime(trim(capture_datetime), '%Y:%m:%d %H:%M:%S') is not null""")
+@query("dt01_parsed_text", r"""with t as (select record_id, trim(capture_datetime) t from validation_records) select record_id, case when regexp_matches(t, '^\d{4}[:-]\d{2}[:-]\d{2}[ T]\d{2}:\d{2}:\d{2}$') then epoch_us(try_strptime(substr(t, 1, 4) || '-' || substr(t, 6, 2) || '-' || substr(t, 9, 2) || ' ' || substr(t, 12, 8), '%Y-%m-%d %H:%M:%S')) end as wall_us from t""")
 def _(spark, sf):
-    v = table(spark, sf, "validation_records").where(F.col("capture_datetime").rlike(r"^ *\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2} *$")).select("record_id", "capture_datetime")
-    return with_parses(v, "capture_datetime", "p").where("p_one is not null").select("record_id", F.col("p_one").alias("wall_us"))
+    """Wall times in the camera's or the ISO form; other forms (see ``p5_capture_instants``) give null here."""
+    known = F.col("capture_datetime").rlike(r"^ *\d{4}[:-]\d{2}[:-]\d{2}[ T]\d{2}:\d{2}:\d{2} *$")
+    v = table(spark, sf, "validation_records").select("record_id", F.when(known, F.col("capture_datetime")).alias("t"))
+    return with_parses(v, "t", "p").select("record_id", F.col("p_one").alias("wall_us"))
 
 
-@query("dt02_zone_to_utc", r"""select record_id, epoch_us(strptime(capture_datetime, '%Y%m%d%H%M%S')) - 28800000000 as utc_us from validation_records where regexp_matches(capture_datetime, '^\d{14}$') and capture_timezone = 'Asia/Hong_Kong' and try_strptime(capture_datetime, '%Y%m%d%H%M%S') is not null""")
+@query("dt02_zone_to_utc", r"""select record_id, case when regexp_matches(capture_datetime, '^\d{14}$') and capture_timezone = 'Asia/Hong_Kong' then epoch_us(try_strptime(capture_datetime, '%Y%m%d%H%M%S')) - 28800000000 end as utc_us from validation_records""")
 def _(spark, sf):
-    v = table(spark, sf, "validation_records").where(F.col("capture_datetime").rlike(r"^\d{14}$") & (F.col("capture_timezone") == "Asia/Hong_Kong")).select("record_id", "capture_datetime", "capture_timezone")
-    p = with_parses(v, "capture_datetime", "p").where("p_one is not null")
-    return p.select("record_id", F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("p_one"), F.col("capture_timezone"))).alias("utc_us"))
+    """Instants of wall times of 14 digits in Hong Kong; the general case is ``p5_capture_instants``."""
+    known = F.col("capture_datetime").rlike(r"^\d{14}$") & (F.col("capture_timezone") == "Asia/Hong_Kong")
+    v = table(spark, sf, "validation_records").select("record_id", F.when(known, F.col("capture_datetime")).alias("t"))
+    p = with_parses(v, "t", "p")
+    return p.select("record_id", F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("p_one"), "Asia/Hong_Kong")).alias("utc_us"))
 
 
 @query("dt03_time_priority", r"""with c as (select record_id, case when regexp_matches(capture_datetime, '^\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}$') then try_strptime(capture_datetime, '%Y:%m:%d %H:%M:%S') end a, case when regexp_matches(capture_time_local, '^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$') then try_strptime(capture_time_local, '%Y-%m-%d %H:%M:%S') end b, try_strptime(nullif(regexp_extract(thermal_path, 'DJI_(\d{14})', 1), ''), '%Y%m%d%H%M%S') f from validation_records)
@@ -125,20 +129,22 @@ def _(spark, sf):
     return v.select("record_id", origin.alias("origin"), F.coalesce("a_one", "b_one", "f_one").alias("wall_us"))
 
 
-@query("dt04_bundle_agreement", r"""with c as (select record_id, to_timestamp(cast(trim(capture_datetime) as bigint)) a, capture_time_local l from validation_records where regexp_matches(trim(capture_datetime), '^\d{10}$')),
-    p as (select record_id, epoch_us(a) a, epoch_us(strptime(substr(l, 1, 19), '%Y-%m-%dT%H:%M:%S')) - (case substr(l, 20, 1) when '-' then -1 else 1 end) * (cast(substr(l, 21, 2) as bigint) * 3600000000 + cast(substr(l, 24, 2) as bigint) * 60000000) b from c where regexp_matches(l, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{2}:\d{2}$'))
-    select record_id, abs(a - b) <= 1 as valid from p""")
+@query("dt04_bundle_agreement", r"""with c as (select record_id, case when regexp_matches(trim(capture_datetime), '^\d{10}$') then cast(trim(capture_datetime) as bigint) * 1000000 end a, case when regexp_matches(capture_time_local, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{2}:\d{2}$') then capture_time_local end l from validation_records)
+    select record_id, abs(a - (epoch_us(try_strptime(substr(l, 1, 19), '%Y-%m-%dT%H:%M:%S')) - (case substr(l, 20, 1) when '-' then -1 else 1 end) * (cast(substr(l, 21, 2) as bigint) * 3600000000 + cast(substr(l, 24, 2) as bigint) * 60000000))) <= 1 as valid from c""")
 def _(spark, sf):
-    v = table(spark, sf, "validation_records").where(F.trim("capture_datetime").rlike(r"^\d{10}$") & F.col("capture_time_local").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{2}:\d{2}$"))
-    p = with_parses(with_parses(v.select("record_id", "capture_datetime", "capture_time_local"), "capture_datetime", "a"), "capture_time_local", "b")
+    """Whether epoch seconds and a local time with offset name the same instant; null where a row has not both."""
+    a = F.when(F.trim("capture_datetime").rlike(r"^\d{10}$"), F.col("capture_datetime")).alias("a")
+    b = F.when(F.col("capture_time_local").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{2}:\d{2}$"), F.col("capture_time_local")).alias("b")
+    p = with_parses(with_parses(table(spark, sf, "validation_records").select("record_id", a, b), "a", "a"), "b", "b")
     return p.select("record_id", (F.abs(F.col("a_one") - (F.col("b_one") - F.col("b_off") * 1_000_000)) <= 1).alias("valid"))
 
 
-@query("geo05_box_overlap", """select a.cell_key as a, b.cell_key as b from (select distinct cell_key, cell_min_lat s, cell_max_lat n, cell_min_lon w, cell_max_lon e from luhk_cells where cell_min_lon < cell_max_lon) a join (select distinct cell_key, cell_min_lat s, cell_max_lat n, cell_min_lon w, cell_max_lon e from luhk_cells where cell_min_lon < cell_max_lon) b on a.cell_key < b.cell_key and a.s < b.n + 0.00005 and b.s < a.n + 0.00005 and a.w < b.e + 0.00005 and b.w < a.e + 0.00005""")
+@query("geo05_box_overlap", f"""with c as {CELL_BOXES_SQL} select distinct a.cell_key as a, b.cell_key as b from c a join c b on a.cell_key < b.cell_key and a.w0 < b.w1 + 0.00005 and b.w0 < a.w1 + 0.00005 and a.u0 < b.u1 + 0.00005 and b.u0 < a.u1 + 0.00005""")
 def _(spark, sf):
-    c = table(spark, sf, "luhk_cells").where("cell_min_lon < cell_max_lon").selectExpr("cell_key", "cell_min_lat as s", "cell_max_lat + 0.00005 as n", "cell_min_lon as w", "cell_max_lon + 0.00005 as e").distinct()
-    a, b = c.toDF("a", "as_", "an", "aw", "ae"), c.toDF("b", "bs", "bn", "bw", "be")
-    return J.overlapping(a, b, a_box=("aw", "ae", "as_", "an"), b_box=("bw", "be", "bs", "bn"), tile=0.005).where("a < b").select("a", "b")
+    """Land-use cells that touch or overlap."""
+    c = cell_boxes(spark, sf).selectExpr("cell_key", "u0 as w", "u1 + 0.00005 as e", "w0 as s", "w1 + 0.00005 as n")
+    a, b = c.toDF("a", "aw", "ae", "as_", "an"), c.toDF("b", "bw", "be", "bs", "bn")
+    return J.overlapping(a, b, a_box=("aw", "ae", "as_", "an"), b_box=("bw", "be", "bs", "bn"), tile=0.005).where("a < b").select("a", "b").distinct()
 
 
 @query("geo13_affine_fit")
@@ -306,15 +312,37 @@ def _(spark, sf):
     return best.where("b.s > 0").select("label", "b.vec_id", F.round(F.col("b.s").cast("double"), 5).alias("score"))
 
 
-@query("x17_camera_neighbours", "select record_id, abs(focal_length_mm - 9.1) <= 0.5 as near_wide from validation_records where focal_length_mm is not null")
+@query("proj15_camera_tolerance", "select record_id, abs(focal_length_mm - 9.1) <= 0.5 as near_wide from validation_records where focal_length_mm is not null")
 def _(spark, sf):
     return table(spark, sf, "validation_records").where("focal_length_mm is not null").select("record_id", near(F.col("focal_length_mm"), 9.1, 0.5).alias("near_wide"))
 
 
+@query(
+    "x17_annotation_template",
+    """with c as (select image_id, luhk_cell_id, surface_cover_class k, count(*) n, sum(coalesce(shadow_flag, 0)) s from pixel_samples where luhk_cell_id <> '' and surface_cover_class is not null group by 1, 2, 3),
+    g as (select image_id, luhk_cell_id, arg_min(k, struct_pack(n := -n, k := k)) k, max(n) m, sum(n) t, sum(s) s from c group by 1, 2)
+    select image_id as pair_id, luhk_cell_id as segment_id, k as suggested_class, '' as manual_class, case when 2 * s > t then 'shaded' else 'sunlit' end as shadow_status, round(m / t, 6) as confidence, 'Not yet' as review_status, '' as notes from g""",
+)
+def _(spark, sf):
+    """Segments (the land-use cells of a capture) with the most frequent cover as suggestion, laid out for review."""
+    p = px(spark, sf).where("luhk_cell_id != '' and surface_cover_class is not null")
+    c = p.groupBy("image_id", "luhk_cell_id", F.col("surface_cover_class").alias("k")).agg(F.count("*").alias("n"), F.sum(F.coalesce("shadow_flag", F.lit(0))).alias("s"))
+    g = c.groupBy("image_id", "luhk_cell_id").agg(F.min_by("k", F.struct((-F.col("n")).alias("n"), "k")).alias("k"), F.max("n").alias("m"), F.sum("n").alias("t"), F.sum("s").alias("s"))
+    none = F.lit("")
+    shade = F.when(2 * F.col("s") > F.col("t"), "shaded").otherwise("sunlit")
+    return g.select(
+        F.col("image_id").alias("pair_id"), F.col("luhk_cell_id").alias("segment_id"), F.col("k").alias("suggested_class"), none.alias("manual_class"), shade.alias("shadow_status"), F.round(F.col("m") / F.col("t"), 6).alias("confidence"),
+        F.lit("Not yet").alias("review_status"), none.alias("notes"),
+    )
+
+
 @query("geo04_hong_kong_grid")
 def _(spark, sf):
-    v = table(spark, sf, "validation_records").where("gps_latitude between 22 and 23 and gps_longitude between 113 and 115")
-    return v.select("record_id", geo.hong_kong_grid(F.col("gps_latitude"), F.col("gps_longitude")).alias("g")).select("record_id", F.round("g.easting", 2).alias("easting"), F.round("g.northing", 2).alias("northing"))
+    """Grid coordinates of every record in the territory the grid is made for, null elsewhere."""
+    v = table(spark, sf, "validation_records").withColumn("inside", F.expr("coalesce(gps_latitude between 22 and 23 and gps_longitude between 113 and 115, false)"))
+    g = v.where("inside").select("record_id", geo.hong_kong_grid(F.col("gps_latitude"), F.col("gps_longitude")).alias("g"))
+    g = g.select("record_id", F.round("g.easting", 2).alias("easting"), F.round("g.northing", 2).alias("northing"))
+    return g.unionByName(v.where("not inside").select("record_id"), allowMissingColumns=True)
 
 
 @query("geo12_region_of_interest", """with c as (select record_id, least(1.0, tan(radians(61.0) / 2) / tan(radians(degrees(2 * atan(36.0 / (2 * focal_length_mm * 2)))) / 2)) s from validation_records where focal_length_mm > 0)

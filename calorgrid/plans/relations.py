@@ -9,7 +9,7 @@ from calorgrid.operators import describe as D, joins as J
 from calorgrid.operators.selection import exact_quantiles
 from calorgrid.plans.analysis import family_sample, sample_sql
 from calorgrid.plans.registry import Registry
-from calorgrid.plans.scalars import FAMILY_SQL, GRID_SQL, STAMP_SQL, family_groups, grid, px, stamp
+from calorgrid.plans.scalars import CELL_BOXES_SQL, FAMILY_SQL, GRID_SQL, STAMP_SQL, cell_boxes, family_groups, grid, px, stamp
 from calorgrid.runtime import scratch, table
 
 query = Registry()
@@ -103,15 +103,14 @@ def _(spark, sf):
     return q.select("qa_id", F.coalesce("a", "b", "c").alias("cover"), origin.alias("origin"))
 
 
-@query("join13_overlap", """with f as (select record_id, gps_longitude - altitude_m * 1e-5 x0, gps_longitude + altitude_m * 1e-5 x1, gps_latitude - altitude_m * 8e-6 y0, gps_latitude + altitude_m * 8e-6 y1 from validation_records where gps_latitude between -90 and 90 and gps_longitude between -180 and 180 and altitude_m > 0),
-    c as (select cell_key, cell_min_lon u0, cell_max_lon u1, cell_min_lat w0, cell_max_lat w1 from luhk_cells where cell_min_lon < cell_max_lon group by all)
-    select record_id, count(*) as n_cells, round(sum((least(x1, u1) - greatest(x0, u0)) * (least(y1, w1) - greatest(y0, w0))) * 1e9, 3) as area from f join c on x0 < u1 and u0 < x1 and y0 < w1 and w0 < y1 group by 1""")
+@query("join13_overlap", f"""with f as (select record_id, gps_longitude - altitude_m * 1e-5 x0, gps_longitude + altitude_m * 1e-5 x1, gps_latitude - altitude_m * 8e-6 y0, gps_latitude + altitude_m * 8e-6 y1 from validation_records where gps_latitude between -90 and 90 and gps_longitude between -180 and 180 and altitude_m > 0),
+    c as {CELL_BOXES_SQL}
+    select record_id, count(distinct cell_key) as n_cells, round(sum((least(x1, u1) - greatest(x0, u0)) * (least(y1, w1) - greatest(y0, w0))) * 1e9, 3) as area from f join c on x0 < u1 and u0 < x1 and y0 < w1 and w0 < y1 group by 1""")
 def _(spark, sf):
     v = table(spark, sf, "validation_records").where("gps_latitude between -90 and 90 and gps_longitude between -180 and 180 and altitude_m > 0")
     f = v.select("record_id", F.expr("gps_longitude - altitude_m * 1e-5").alias("x0"), F.expr("gps_longitude + altitude_m * 1e-5").alias("x1"), F.expr("gps_latitude - altitude_m * 8e-6").alias("y0"), F.expr("gps_latitude + altitude_m * 8e-6").alias("y1"))
-    c = table(spark, sf, "luhk_cells").where("cell_min_lon < cell_max_lon").select("cell_key", F.col("cell_min_lon").alias("u0"), F.col("cell_max_lon").alias("u1"), F.col("cell_min_lat").alias("w0"), F.col("cell_max_lat").alias("w1")).distinct()
-    hits = J.overlapping(f, c, a_box=("x0", "x1", "y0", "y1"), b_box=("u0", "u1", "w0", "w1"), tile=0.002)
-    return hits.groupBy("record_id").agg(F.count("*").alias("n_cells"), F.round(F.sum("overlap_area") * 1e9, 3).alias("area"))
+    hits = J.overlapping(f, cell_boxes(spark, sf), a_box=("x0", "x1", "y0", "y1"), b_box=("u0", "u1", "w0", "w1"), tile=0.002)
+    return hits.groupBy("record_id").agg(F.count_distinct("cell_key").alias("n_cells"), F.round(F.sum("overlap_area") * 1e9, 3).alias("area"))
 
 
 WINDOWS = [("early", "2023-01-01 00:00:00", "2023-12-31 23:59:59"), ("spring", "2023-03-01 00:00:00", "2024-05-31 23:59:59"), ("all", "1970-01-01 00:00:00", "2100-01-01 00:00:00")]

@@ -26,6 +26,18 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
 GRID_SQL = """(select printf('IMG_%05d', vec_id // 64) image_id, cast(vec_id % 64 as int) thermal_row, cast(generate_subscripts(embedding, 1) - 1 as int) thermal_col, cast(unnest(embedding) as double) v, label from embeddings)"""
 
 
+CELL_BOXES_SQL = """(select distinct cell_key, u0, u1, cell_min_lat w0, cell_max_lat w1 from (select *, cell_min_lon u0, case when cell_min_lon <= cell_max_lon then cell_max_lon else 180 end u1 from luhk_cells union all select *, -180, cell_max_lon from luhk_cells where cell_min_lon > cell_max_lon))"""
+
+
+def cell_boxes(spark, sf):
+    """``cell_key, u0, u1, w0, w1``: longitudes and latitudes of each cell, one that crosses the 180th meridian as two boxes."""
+    west, east = F.col("cell_min_lon"), F.col("cell_max_lon")
+    one = F.struct(west.alias("u0"), F.when(west <= east, east).otherwise(F.lit(180.0)).alias("u1"))
+    boxes = F.when(west > east, F.array(one, F.struct(F.lit(-180.0).alias("u0"), east.alias("u1")))).otherwise(F.array(one))
+    c = table(spark, sf, "luhk_cells").select("cell_key", F.explode(boxes).alias("b"), F.col("cell_min_lat").alias("w0"), F.col("cell_max_lat").alias("w1"))
+    return c.select("cell_key", "b.u0", "b.u1", "w0", "w1").distinct()
+
+
 #: The capture time in a file name or image id, as SQL.
 STAMP_SQL = "try_strptime(nullif(regexp_extract({}, 'DJI_([0-9]{{14}})', 1), ''), '%Y%m%d%H%M%S')"
 
@@ -235,9 +247,9 @@ def _(spark, sf):
     return table(spark, sf, "validation_records").where("pair_id is not null").select("record_id", head.alias("session"), F.get(F.split(head, "/"), F.lit(1)).alias("location"))
 
 
-@query("str03_number_in_text", r"""select doc_id, try_cast(nullif(regexp_extract(replace(replace(text, '−', '-'), ',', ''), '[-+]?\d+(\.\d+)?([eE][-+]?\d+)?', 0), '') as double) as first_number from documents where not contains(lower(text), 'below sea')""")
+@query("str03_number_in_text", r"""select doc_id, case when contains(lower(text), 'below sea') then -abs(n) else n end as first_number from (select doc_id, text, try_cast(nullif(regexp_extract(replace(replace(text, '−', '-'), ',', ''), '[-+]?\d+(\.\d+)?([eE][-+]?\d+)?', 0), '') as double) n from documents)""")
 def _(spark, sf):
-    return table(spark, sf, "documents").where(~F.lower("text").contains("below sea")).select("doc_id", T.number_in_text(F.col("text")).alias("first_number"))
+    return table(spark, sf, "documents").select("doc_id", T.number_in_text(F.col("text")).alias("first_number"))
 
 
 @query("str04_coordinate", """with c as (select record_id, gps_latitude g from validation_records where gps_latitude between -90 and 90), t as (select record_id, g, floor(abs(g)) d, floor((abs(g) - floor(abs(g))) * 60) m from c)
