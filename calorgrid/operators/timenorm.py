@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from calorgrid.runtime import broadcast_if_small, scratch, spread
+from calorgrid.runtime import broadcast_if_small, scratch, small_methods, spread
 
 OFFSET = r"(Z|UTC|GMT|[+-]\d{1,2}:?\d{2}|[+-]\d{1,2})?"
 CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*(AM|PM|A\.M\.|P\.M\.)?\s*" + OFFSET
@@ -161,7 +161,9 @@ def normalise(df: DataFrame, *, row_id: str, text: str, fallback: str, zone: str
     rows = df.select(F.col(row_id).alias("__id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("__t"), F.col(fallback).cast("string").alias("__l"), F.col(zone).alias("__z"), F.lower(F.trim(F.col(assumption))).alias("__a"))
     rows = with_parses(with_parses(spread(rows, "__id", per_core=1), "__t", "p"), "__l", "l").drop("__t", "__l")
     rows = rows.withColumn("likes", _signature("p", "l")).withColumn("llikes", _signature("l", None))
-    rows = scratch(rows.withColumn("sig", F.concat_ws(",", F.col("likes").cast("array<string>"))).withColumn("lsig", F.concat_ws(",", F.col("llikes").cast("array<string>"))))
+    rows = rows.withColumn("sig", F.concat_ws(",", F.col("likes").cast("array<string>"))).withColumn("lsig", F.concat_ws(",", F.col("llikes").cast("array<string>")))
+    with small_methods(spark):
+        rows = scratch(rows)
     evidence = rows.select("source", F.explode(F.array(F.struct("sig", "likes"), F.struct(F.col("lsig").alias("sig"), F.col("llikes").alias("likes")))).alias("e")).select("source", "e.*")
     counts = evidence.groupBy("source", "sig").agg(F.first("likes").alias("likes"), F.count("*").alias("n"))
     picks = scratch(counts.groupBy("source").applyInPandas(_mixture(1e-10, 2000), "source string, sig string, pick string, posterior double, order_weight double"))
@@ -217,4 +219,6 @@ def normalise(df: DataFrame, *, row_id: str, text: str, fallback: str, zone: str
         .otherwise("no_zone")
     )
     reading = F.when(F.col("kind") == "slash", F.col("ppick")).otherwise(F.col("kind"))
-    return rows.withColumn("utc_micros", utc).select(F.col("__id").alias(row_id), "utc_micros", status.alias("status"), reading.alias("reading"))
+    out = rows.withColumn("utc_micros", utc).select(F.col("__id").alias(row_id), "utc_micros", status.alias("status"), reading.alias("reading"))
+    with small_methods(spark):
+        return scratch(out)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.util import inheritable_thread_target
@@ -13,6 +15,7 @@ from pyspark.util import inheritable_thread_target
 #: A side is broadcast only if it has been counted and its rows, at their schema's width, fit into this.
 BROADCAST_BYTES = 8 << 20
 
+_limit = threading.RLock()
 _written: list[tuple[object, object]] = []
 
 
@@ -53,6 +56,22 @@ def scratch(df: DataFrame) -> DataFrame:
     return back
 
 
+@contextmanager
+def small_methods(spark: SparkSession):
+    """Plans run inside generate no method that the JVM leaves uncompiled for its length (8,000 bytes); for very long expressions.
+
+    The session's own setting holds again afterwards.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    with _limit:
+        before = spark.conf.get(name)
+        spark.conf.set(name, "8000")
+        try:
+            yield
+        finally:
+            spark.conf.set(name, before)
+
+
 def drop_scratch(*frames: DataFrame) -> None:
     """Delete scratch tables that no later plan reads."""
     for frame in frames:
