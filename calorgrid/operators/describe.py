@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from calorgrid.functions.predicates import finite
-from calorgrid.operators.selection import exact_quantiles
+from calorgrid.operators.selection import FINE, exact_quantiles
 
 SPREAD = {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}
 
@@ -23,7 +23,7 @@ def describe(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str,
     base = df.select(*keys, v.alias("__x"))
     sd = F.stddev_samp("__x")
     moments = base.groupBy(*keys).agg(F.count("__x").alias("n"), F.avg("__x").alias("mean"), (sd if single_sd is None else F.coalesce(sd, F.when(F.count("__x") == 1, F.lit(single_sd)))).alias("sd"), F.min("__x").alias("min"), F.max("__x").alias("max"))
-    q = exact_quantiles(base, keys, F.col("__x"), probs)
+    q = exact_quantiles(base, keys, F.col("__x"), probs, scale=FINE)
     q = q.toDF(*[f"__{c}" if c in keys else c for c in q.columns])
     cond = F.lit(True)
     for k in keys:
@@ -49,7 +49,7 @@ def extremes(df: DataFrame, keys: Sequence[str], value: str, row: str, col: str,
     base = df.where(finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("__x"), F.col(row).alias("__r"), F.col(col).alias("__c"))
     at = F.struct("__r", "__c")
     ends = base.groupBy(*keys).agg(F.min("__x").alias("min_value"), F.max("__x").alias("max_value"), F.count("*").alias("n"), F.min_by(at, F.struct("__x", "__r", "__c")).alias("__lo"), F.min_by(at, F.struct((-F.col("__x")).alias("m"), "__r", "__c")).alias("__hi"))
-    q = exact_quantiles(base, keys, F.col("__x"), {"q01": 0.01, "q99": 0.99}).drop("n_values")
+    q = exact_quantiles(base, keys, F.col("__x"), {"q01": 0.01, "q99": 0.99}, scale=FINE).drop("n_values")
     rename = lambda d: d.toDF(*[f"__{c}" if c in keys else c for c in d.columns])
     q = rename(q)
     same = lambda a, b: [a[k].eqNullSafe(b[f"__{k}"]) for k in keys]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from calorgrid.operators.selection import exact_quantiles
+from calorgrid.operators.selection import FINE, exact_quantiles
 from calorgrid.runtime import scratch
 
 
@@ -217,7 +217,7 @@ def group_tests(sample: DataFrame, *, scope: str, group: str, unit: str, value:
     status = F.when(F.col("n_groups").isNotNull(), "exploratory_only_spatial_dependence_remains").otherwise("skipped")
     why = F.when(F.col("n_groups").isNull(), "Fewer than two groups meet both minimum sampled-pixel and minimum-image rules.").otherwise("")
     overall = scopes.join(kw, "s", "left").select(F.col("s").alias("scope"), "n_groups", "statistic", "freedom", "p_value", status.alias("status"), why.alias("reason"))
-    q = exact_quantiles(rows, ["s", "g"], F.col("v"), {"median": 0.5}, reread=True).drop("n_values")
+    q = exact_quantiles(rows, ["s", "g"], F.col("v"), {"median": 0.5}, reread=True, scale=FINE).drop("n_values")
     info = scratch(info.join(q, ["s", "g"], "left"))
     a, b = (info.toDF("s", *[f"{c}_{side}" for c in ("group", "n", "images", "mean", "median")]) for side in "ab")
     every = a.join(b, "s").where("group_a < group_b")  # groups of a scope are few

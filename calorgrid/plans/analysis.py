@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from calorgrid.functions import hashing
 from calorgrid.functions.predicates import finite
 from calorgrid.operators import quality as QA, ranks, temporal as T, thinning
-from calorgrid.operators.selection import exact_quantiles
+from calorgrid.operators.selection import FINE, exact_quantiles
 from calorgrid.plans.registry import Registry
 from calorgrid.plans.scalars import FAMILY_SQL, GRID_SQL, STAMP_SQL, _mix_sql, family_groups, grid, px, stamp
 from calorgrid.runtime import broadcast_if_small, scratch, side_by_side, table
@@ -331,7 +331,7 @@ def _(spark, sf):
 @query("st14_display_limits", "select image_id, round(a - p, 4) as low, round(z + p, 4) as high from (select *, case when a = z then greatest(0.5, abs(a) * 0.01) else 0 end p from (select image_id, quantile_cont(v, 0.01) a, quantile_cont(v, 0.99) z from (select image_id, cast(temperature_c as double) v from pixel_samples where isfinite(temperature_c)) group by 1))")
 def _(spark, sf):
     """Where the values of a capture are shown: between its first and last percent, padded where these are equal."""
-    q = exact_quantiles(px(spark, sf), ["image_id"], F.col("temperature_c"), {"low": 0.01, "high": 0.99}, reread=True)
+    q = exact_quantiles(px(spark, sf), ["image_id"], F.col("temperature_c"), {"low": 0.01, "high": 0.99}, reread=True, scale=FINE)
     pad = F.when(F.col("low") == F.col("high"), F.greatest(F.lit(0.5), F.abs("low") * 0.01)).otherwise(0.0)
     return q.select("image_id", F.round(F.col("low") - pad, 4).alias("low"), F.round(F.col("high") + pad, 4).alias("high"))
 
@@ -349,7 +349,7 @@ def capture_series(spark, sf):
     """Each flight's captures with time, local day and the statistics of their eligible temperatures, each pixel once."""
     p = px(spark, sf).where(F.col("analysis_eligible") & F.col("target_mask") & finite(F.col("temperature_c")))
     p = scratch(p.groupBy("flight_id", "image_id", "thermal_row", "thermal_col").agg(F.min(F.col("temperature_c").cast("double")).alias("v")))
-    q = exact_quantiles(p, ["flight_id", "image_id"], F.col("v"), {"median": 0.5, "q95": 0.95}, reread=True).drop("n_values").withColumnsRenamed({"flight_id": "__f", "image_id": "__i"})
+    q = exact_quantiles(p, ["flight_id", "image_id"], F.col("v"), {"median": 0.5, "q95": 0.95}, reread=True, scale=FINE).drop("n_values").withColumnsRenamed({"flight_id": "__f", "image_id": "__i"})
     m = p.groupBy("flight_id", "image_id").agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.min("v").alias("min"))
     c = m.join(q, m["flight_id"].eqNullSafe(q["__f"]) & m["image_id"].eqNullSafe(q["__i"])).drop("__f", "__i")
     return c.withColumn("at", stamp("image_id")).withColumn("window_id", F.date_format("at", "yyyy-MM-dd"))
