@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from calorgrid.llm import packing, quantiles, reading, sample, tokenize
-from calorgrid.operators.selection import exact_quantiles
+from calorgrid.operators.selection import FINE, exact_quantiles
 from calorgrid.runtime import broadcast_if_small, drop_scratch, scratch, table
 
 STRATUM = ["analysis_family", "group_name", "image_id"]
@@ -136,7 +136,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
         keys = broadcast_if_small(open_rows.select(*[F.col(c).alias(f"__{c}") for c in SUMMARY_KEYS]).distinct(), n_open)
         held = packs.join(keys, same(packs, keys), "left_semi").select(*SUMMARY_KEYS, "image_id", F.explode(F.arrays_zip("pos", "vals")).alias("x"))
         values = held.groupBy(*SUMMARY_KEYS, "image_id", "x.pos").agg(F.min("x.vals").alias("d"))
-        exact = exact_quantiles(values, SUMMARY_KEYS, F.col("d"), {f"__{q}": p for q, p in PERCENTILES.items()})
+        exact = exact_quantiles(values, SUMMARY_KEYS, F.col("d"), {f"__{q}": p for q, p in PERCENTILES.items()}, scale=FINE)
         exact = exact.toDF(*[f"__{c}" if c in SUMMARY_KEYS else c for c in exact.columns])
         off = F.lit(False)
         for q in PERCENTILES:
